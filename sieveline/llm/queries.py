@@ -7,8 +7,21 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import table
 from sieveline.llm.exact_dedup import exact_dedup
+from sieveline.llm.mixture import mix
+from sieveline.llm.secret_scan import digest, scan
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the one that stays for its text."""
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document, found once for each distinct text."""
+    found, _ = scan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return digest(found).withColumnRenamed("id", "doc_id")
+
+
+def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
