@@ -9,6 +9,7 @@ from sieveline.llm.common import table
 from sieveline.llm.exact_dedup import exact_dedup
 from sieveline.llm.mixture import mix
 from sieveline.llm.secret_scan import digest, scan
+from sieveline.llm.simhash_dedup import simhash_dedup
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,3 +26,9 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SimHash of every document and the least document that near-duplicates lead to."""
+    found = simhash_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
