@@ -10,6 +10,7 @@ from sieveline.llm.exact_dedup import exact_dedup
 from sieveline.llm.mixture import mix
 from sieveline.llm.secret_scan import digest, scan
 from sieveline.llm.simhash_dedup import simhash_dedup
+from sieveline.llm.tokenise import encode, token_counts
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,3 +33,13 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SimHash of every document and the least document that near-duplicates lead to."""
     found = simhash_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, and whether they decode to it."""
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document."""
+    return token_counts(table(spark, sf_dir, "documents"))
