@@ -11,6 +11,7 @@ from sieveline.llm.mixture import mix
 from sieveline.llm.secret_scan import digest, scan
 from sieveline.llm.simhash_dedup import simhash_dedup
 from sieveline.llm.tokenise import encode, token_counts
+from sieveline.llm.toxicity import toxicity
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,3 +44,8 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of tokens of every document."""
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels that are not held out."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
