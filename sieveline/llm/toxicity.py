@@ -38,6 +38,8 @@ CANDIDATES = 4096
 STEMS = (3, 4, 5, 6)
 #: A candidate must be this much likelier in label 1 (a G statistic; the second is for what is not covered yet).
 G_FIRST, G_LEFT = 12.0, 14.0
+#: Least log odds of an entry; share of a stem's rows that a narrower entry must explain to stand for it.
+LEAST_ODDS, NARROW = 1.5, 0.85
 #: A row of label 1 is covered by so many entries.
 COVER = 3
 WINDOW = 4
@@ -256,6 +258,8 @@ def _chosen(rows: DataFrame, n1: int, n0: int) -> list[tuple[str, bool]]:
             of_term[i][0 if label else 1].append(r)
     need = np.where(has.toxic.to_numpy() == 1, COVER, 0)
     b = np.array([len(x[1]) for x in of_term], float)
+    odds = np.log((np.array([len(x[0]) for x in of_term]) + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
+    of_term = [x if o >= LEAST_ODDS else ([], []) for x, o in zip(of_term, odds, strict=True)]
     open_, out = np.ones(len(terms), bool), []
     while open_.any():
         a = np.array([(need[x[0]] > 0).sum() if o else 0 for x, o in zip(of_term, open_, strict=True)], float)
@@ -263,6 +267,8 @@ def _chosen(rows: DataFrame, n1: int, n0: int) -> list[tuple[str, bool]]:
         best = int(np.lexsort((np.array([len(t) for t in terms]), -g))[0])
         if g[best] < G_LEFT:
             break
+        inner = [i for i in np.flatnonzero(open_) if i != best and not terms[best].startswith("=") and terms[i].lstrip("=").startswith(terms[best]) and a[i] >= NARROW * a[best]]
+        best = max(inner, key=lambda i: (terms[i].startswith("="), a[i]), default=best)  # the word itself, or a longer stem, if it explains the stem
         term = terms[best]
         out.append((term.lstrip("="), not term.startswith("=")))
         need[of_term[best][0]] -= 1
