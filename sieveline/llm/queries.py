@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import table
 from sieveline.llm.exact_dedup import exact_dedup
+from sieveline.llm.knn_join import knn_join
 from sieveline.llm.mixture import mix
 from sieveline.llm.secret_scan import digest, scan
 from sieveline.llm.simhash_dedup import simhash_dedup
@@ -49,3 +50,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from the labels that are not held out."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of each vector whose id is divisible by 50."""
+    return knn_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
