@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import table
 from sieveline.llm.exact_dedup import exact_dedup
 from sieveline.llm.knn_join import knn_join
+from sieveline.llm.license_scan import license_scan
 from sieveline.llm.mixture import mix
 from sieveline.llm.secret_scan import digest, scan
 from sieveline.llm.simhash_dedup import simhash_dedup
@@ -55,3 +56,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of each vector whose id is divisible by 50."""
     return knn_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or that of its nearest directory.
+
+    The tables have no paths, so that a document's is /source/lang/<hundred>/<doc_id>; a document of at most 60 words that has
+    a licence speaks for its directory, and one of an even shorter text for all of its language or source.
+    """
+    docs = table(spark, sf_dir, "documents")
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+"))
+    name = F.concat_ws("/", F.lit(""), part("source"), part("lang"), F.coalesce(F.floor(F.col("doc_id") / 100).cast("string"), F.lit("none")), part("doc_id"))
+    name = F.when(size <= 10, F.concat_ws("/", F.lit(""), part("source"), part("doc_id"))).when(size <= 25, F.concat_ws("/", F.lit(""), part("source"), part("lang"), part("doc_id"))).otherwise(name)
+    files = docs.select(name.alias("path"), "text")
+    found = license_scan(files, F.regexp_count("text", F.lit(r"\S+")) <= 60)
+    return found.select(F.regexp_extract("path", "[^/]*$", 0).try_cast("long").alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), "how", "source_path")
