@@ -12,6 +12,7 @@ from sieveline.llm.license_scan import license_scan
 from sieveline.llm.mixture import mix
 from sieveline.llm.secret_scan import digest, scan
 from sieveline.llm.simhash_dedup import simhash_dedup
+from sieveline.llm.suffix_tree import score
 from sieveline.llm.tokenise import encode, token_counts
 from sieveline.llm.toxicity import toxicity
 
@@ -72,3 +73,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs.select(name.alias("path"), "text")
     found = license_scan(files, F.regexp_count("text", F.lit(r"\S+")) <= 60)
     return found.select(F.regexp_extract("path", "[^/]*$", 0).try_cast("long").alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), "how", "source_path")
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document under a suffix tree, and under its base."""
+    return score(table(spark, sf_dir, "documents"))
