@@ -25,7 +25,24 @@ class Vocabulary:
     longest: int
     #: Whether a piece may hold a space after another character; if not, each space begins a new segment.
     crosses: bool = False
+    #: Whether a piece holds a newline.
+    newlines: bool = False
     texts: dict[int, str] = field(default_factory=dict)
+    #: Neighbouring characters of any piece: between two others no piece reaches over.
+    pairs: frozenset[str] = frozenset()
+    bytes_of: dict[int, bytes] = field(default_factory=dict)
+    trie: dict = field(default_factory=dict)  # letters to nodes; a node's score is under the empty string
+
+
+    def finder(self):
+        """An automaton of all pieces, which is built anew where it is used."""
+        import ahocorasick
+
+        out = ahocorasick.Automaton()
+        for piece, score in self.scores.items():
+            out.add_word(piece, (len(piece), score))
+        out.make_automaton()
+        return out
 
 
 def default_path() -> str:
@@ -54,7 +71,13 @@ def load(path: str | None = None, zipf: bool | None = None) -> Vocabulary:
     for piece, i in ids.items():
         scores[piece] = -math.log(i - first + 2.7) if ranks else raw[piece]
     crosses = any(SPACE in p.lstrip(SPACE) for p in ids)
-    return Vocabulary(ids, scores, tuple(byte_ids), max(map(len, ids), default=1), crosses, {i: p for p, i in ids.items()})
+    trie: dict = {}
+    for piece, score in scores.items():
+        node = trie
+        for c in piece:
+            node = node.setdefault(c, {})
+        node[""] = score
+    return Vocabulary(ids, scores, tuple(byte_ids), max(map(len, ids), default=1), crosses, any("\n" in p for p in ids), {i: p for p, i in ids.items()}, frozenset(p[k : k + 2] for p in ids for k in range(len(p) - 1)), {i: bytes([b]) for b, i in enumerate(byte_ids)}, trie)
 
 
 def marked(text: str) -> str:
@@ -62,32 +85,25 @@ def marked(text: str) -> str:
     return SPACE + text.replace(" ", SPACE)
 
 
+def _width(character: str) -> int:
+    return len(character.encode("utf-8", "surrogatepass"))
+
+
 class Stream:
-    """Viterbi over characters that arrive one by one, in memory bounded by the longest piece and the open stretch.
+    """Viterbi over characters that arrive in turn, in memory bounded by the longest piece and the open stretch.
 
-    ``feed`` gives the ids that have become certain: those before the latest boundary on which the paths of all positions that
-    a further piece can still start from converge.  Of equal scores the longest last piece wins.
+    An automaton of all pieces names those that end at each character.  ``feed`` gives the ids that have become certain: those
+    before the latest boundary on which the paths of all positions that a further piece can start from converge.  Of equal
+    scores the longest last piece wins.
     """
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, finder=None) -> None:
+        self.v, self.finder = vocabulary, finder or vocabulary.finder()
+        self.search = None
         self.text = ""  # what is not committed yet
         self.score = [0.0]  # best score up to each position of it
         self.back: list[int] = [0]  # where the last piece of that path starts
-        self.since = 0
-
-    def _step(self) -> None:
-        end, scores, score = len(self.score), self.v.scores, self.score
-        best, start = -math.inf, end - 1
-        for a in range(max(0, end - self.v.longest), end):
-            s = scores.get(self.text[a:end])
-            if s is not None and score[a] + s > best:
-                best, start = score[a] + s, a
-        single = score[end - 1] + BYTE_SCORE * len(self.text[end - 1].encode("utf-8", "surrogatepass"))
-        if single > best:
-            best, start = single, end - 1
-        score.append(best)
-        self.back.append(start)
+        self.offset = 0  # characters that are committed
 
     def _ids(self, upto: int) -> list[int]:
         out, at = [], upto
@@ -109,37 +125,72 @@ class Stream:
         return live.pop()
 
     def feed(self, text: str) -> list[int]:
-        out = []
-        for c in text:
-            self.text += c
-            self._step()
-            self.since += 1
-            if self.since >= 2 * self.v.longest:
+        out: list[int] = []
+        size = 2 * self.v.longest
+        for at in range(0, len(text), size):
+            self._read(text[at : at + size])
+            if len(self.text) > size:
                 out += self._commit(self._converged())
         return out
 
+    def _read(self, text: str) -> None:
+        score, back = self.score, self.back
+        done = len(score) - 1  # positions up to here are settled
+        self.text += text
+        score += [-math.inf] * len(text)
+        back += [0] * len(text)
+        if self.search is None:
+            self.search = self.finder.iter(text)
+        else:
+            self.search.set(text, False)
+        shift = 1 - self.offset
+        for end, (size, own) in self.search:
+            end += shift
+            while done < end - 1:
+                done += 1
+                self._settle(done)
+            s = score[end - size] + own
+            if s > score[end]:
+                score[end], back[end] = s, end - size
+        while done < len(score) - 1:
+            done += 1
+            self._settle(done)
+
+    def _settle(self, at: int) -> None:
+        """Where no path of pieces beats it, a character stands for itself, in bytes if need be."""
+        if self.score[at] < self.score[at - 1]:
+            single = self.score[at - 1] + BYTE_SCORE * _width(self.text[at - 1])
+            if single > self.score[at]:
+                self.score[at], self.back[at] = single, at - 1
+
     def _commit(self, at: int) -> list[int]:
-        self.since = 0
         if not at:
             return []
         out = self._ids(at)
         base = self.score[at]
         self.text, self.score, self.back = self.text[at:], [s - base for s in self.score[at:]], [max(0, b - at) for b in self.back[at:]]
+        self.offset += at
         return out
 
     def end(self) -> list[int]:
         return self._commit(len(self.score) - 1)
 
 
-def encode_marked(text: str, vocabulary: Vocabulary) -> list[int]:
-    stream = Stream(vocabulary)
+def encode_marked(text: str, vocabulary: Vocabulary, finder=None) -> list[int]:
+    stream = Stream(vocabulary, finder)
     return stream.feed(text) + stream.end()
 
 
 def segments(text: str, vocabulary: Vocabulary) -> list[str]:
-    """Stretches of a marked text that no piece crosses: runs of marks with the word that follows."""
+    """Stretches of a marked text that no piece crosses: runs of marks with the word that follows, and single newlines
+    where no piece holds one."""
     if vocabulary.crosses:
         return [text]
+    if "\n" in text and not vocabulary.newlines:
+        out = []
+        for line in text.split("\n"):
+            out += [*segments(line, vocabulary), "\n"]
+        return out[:-1]
     out, parts = [], text.split(SPACE)
     marks = 0
     if parts[0]:
@@ -154,12 +205,26 @@ def segments(text: str, vocabulary: Vocabulary) -> list[str]:
     return out
 
 
+def unbridged(text: str, vocabulary: Vocabulary) -> list[str]:
+    """A stretch cut wherever no piece reaches over: there all paths converge."""
+    pairs, out, start = vocabulary.pairs, [], 0
+    for k in range(1, len(text)):
+        if text[k - 1 : k + 1] not in pairs:
+            out.append(text[start:k])
+            start = k
+    out.append(text[start:])
+    return out
+
+
+def decode_marked(ids: list[int], vocabulary: Vocabulary) -> str:
+    byte = vocabulary.bytes_of
+    out = b"".join(byte[i] if i in byte else vocabulary.texts[i].encode("utf-8", "surrogatepass") for i in ids)
+    return out.decode("utf-8", "replace")
+
+
 def decode(ids: list[int], vocabulary: Vocabulary) -> str:
     """The text that was encoded."""
-    byte = {i: b for b, i in enumerate(vocabulary.byte_ids)}
-    out = b"".join(bytes([byte[i]]) if i in byte else vocabulary.texts[i].encode("utf-8", "surrogatepass") for i in ids)
-    text = out.decode("utf-8", "surrogatepass").replace(SPACE, " ")
-    return text[1:]
+    return decode_marked(ids, vocabulary).replace(SPACE, " ")[1:]
 
 
 def counts(words: list[str], vocabulary: Vocabulary) -> dict[str, int]:
@@ -169,25 +234,30 @@ def counts(words: list[str], vocabulary: Vocabulary) -> dict[str, int]:
     stack, so each node of the trie is scored once; a word's end stores its count.
     """
     out: dict[str, int] = {}
-    scores, longest = vocabulary.scores, vocabulary.longest
-    score, tokens, before = [0.0], [0], ""
+    trie, ids = vocabulary.trie, vocabulary.ids
+    score, tokens, walks, before = [0.0], [0], [[]], ""
     for word in sorted(set(words)):
         same, most = 0, min(len(before), len(word))
         while same < most and before[same] == word[same]:
             same += 1
-        del score[same + 1 :], tokens[same + 1 :]
+        del score[same + 1 :], tokens[same + 1 :], walks[same + 1 :]
         for end in range(same + 1, len(word) + 1):
-            best, count = -math.inf, 0
-            for a in range(max(0, end - longest), end):
-                s = scores.get(word[a:end])
-                if s is not None and score[a] + s > best:
-                    best, count = score[a] + s, tokens[a] + 1
-            size = len(word[end - 1].encode("utf-8", "surrogatepass"))
-            if score[end - 1] + BYTE_SCORE * size > best:
-                known = word[end - 1] in vocabulary.ids
-                best, count = score[end - 1] + BYTE_SCORE * size, tokens[end - 1] + (1 if known else size)
+            c = word[end - 1]
+            on, best, count = [], -math.inf, 0
+            for a, node in (*walks[-1], (end - 1, trie)):
+                child = node.get(c)
+                if child is not None:
+                    s = child.get("")
+                    if s is not None and score[a] + s > best:
+                        best, count = score[a] + s, tokens[a] + 1
+                    on.append((a, child))
+            if best < score[end - 1]:
+                size = len(c.encode("utf-8", "surrogatepass"))
+                if score[end - 1] + BYTE_SCORE * size > best:
+                    best, count = score[end - 1] + BYTE_SCORE * size, tokens[end - 1] + (1 if c in ids else size)
             score.append(best)
             tokens.append(count)
+            walks.append(on)
         out[word] = tokens[-1]
         before = word
     return out

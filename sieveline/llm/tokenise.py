@@ -21,52 +21,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import whole_texts
-from sieveline.llm.pieces import Vocabulary, counts, decode, encode_marked, load, marked, segments
+from sieveline.llm.pieces import SPACE, Vocabulary, counts, decode, decode_marked, encode_marked, load, marked, segments, unbridged
 
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: A stretch of more characters is not remembered.
 LONGEST_REMEMBERED = 64
 
 
-def _ids(text: str, vocabulary: Vocabulary, memory: dict[str, list[int]]) -> list[int]:
-    out: list[int] = []
-    if not text:
-        return out
-    for part in segments(marked(text), vocabulary):
-        ids = memory.get(part)
-        if ids is None:
-            ids = encode_marked(part, vocabulary)
-            if len(part) <= LONGEST_REMEMBERED:
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                memory[part] = ids
-        out += ids
-    return out
+class _Remembered(dict):
+    """What a function makes of a stretch; cleared when full, and not kept for long stretches."""
+
+    def __init__(self, make) -> None:
+        self.make = make
+
+    def __missing__(self, part: str):
+        made = self.make(part)
+        if len(part) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[part] = made
+        return made
+
+
+def _stretches(text: str, vocabulary: Vocabulary) -> list[str]:
+    return segments(marked(text), vocabulary) if text else []
 
 
 def _encode_rows(vocabulary: Vocabulary):
     schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
-    from_pieces = [b""] * (max(vocabulary.texts, default=0) + 1)
-    for i, piece in vocabulary.texts.items():
-        from_pieces[i] = piece.replace("▁", " ").encode("utf-8", "surrogatepass")
-    for b, i in enumerate(vocabulary.byte_ids):
-        from_pieces[i] = bytes([b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, list[int]] = {}
+        wrong: set[str] = set()  # stretches whose ids do not decode to them; decoding goes stretch by stretch
+
+        def made(part: str) -> bytes:
+            ids = [i for piece in unbridged(part, vocabulary) for i in within[piece]]
+            if decode_marked(ids, vocabulary) != part:
+                wrong.add(part)
+            return np.array(ids, dtype=np.int32).tobytes()
+
+        finder = vocabulary.finder()
+        within = _Remembered(lambda part: encode_marked(part, vocabulary, finder))
+        known = _Remembered(made)
+        get = known.__getitem__
         for batch in batches:
             keys = batch.column(0)
             texts = whole_texts(batch)
             for at in range(0, len(texts), 256):
-                flat: list[np.ndarray] = []
-                same = []
+                flat, same = [], []
                 for raw in texts[at : at + 256]:
-                    ids = _ids(raw.decode("utf-8"), vocabulary, memory)
-                    flat.append(np.array(ids, dtype=np.int32))
-                    same.append(b"".join(map(from_pieces.__getitem__, ids))[1:] == raw)
-                sizes = [len(x) for x in flat]
+                    text = raw.decode("utf-8")
+                    parts = _stretches(text, vocabulary)
+                    flat.append(b"".join(map(get, parts)))
+                    same.append(SPACE not in text and (not wrong or wrong.isdisjoint(parts)))
+                sizes = [len(x) // 4 for x in flat]
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat)))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(flat), dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([keys.slice(at, 256), pa.array(sizes, pa.int64()), lists, pa.array(same)], schema=schema)
 
     return run
@@ -103,7 +112,7 @@ def _count_rows(vocabulary: Vocabulary):
             keys = batch.column(0)
             texts = whole_texts(batch)
             for at in range(0, len(texts), 256):
-                parts = [segments(marked(t.decode("utf-8")), vocabulary) if t else [] for t in texts[at : at + 256]]
+                parts = [_stretches(t.decode("utf-8"), vocabulary) for t in texts[at : at + 256]]
                 new = {w for p in parts for w in p if w not in memory}
                 if len(memory) + len(new) > REMEMBERED:
                     memory = {}

@@ -33,18 +33,19 @@ def score(ids, v):
 
 
 def test_stream_reaches_the_best_score(vocabulary):
-    rng = random.Random(1)
+    rng, finder = random.Random(1), vocabulary.finder()
     for n in range(150):
         text = "".join(rng.choice([SPACE, SPACE, "t", "h", "e", "in", "g", "tion", "é", "語", "\n"]) for _ in range(n))
-        ids = encode_marked(text, vocabulary)
+        ids = encode_marked(text, vocabulary, finder)
         assert math.isclose(score(ids, vocabulary), whole(text, vocabulary), abs_tol=1e-6)
-        parts = [i for s in segments(text, vocabulary) for i in encode_marked(s, vocabulary)]
+        parts = [i for s in segments(text, vocabulary) for i in encode_marked(s, vocabulary, finder)]
         assert math.isclose(score(parts, vocabulary), score(ids, vocabulary), abs_tol=1e-6) and "".join(segments(text, vocabulary)) == text
         assert len(ids) == 0 or sum(counts([text], vocabulary).values()) == len(ids)
 
 
 def test_window_stays_bounded(vocabulary):
-    stream, most = Stream(vocabulary), 0
+    finder = vocabulary.finder()
+    stream, most = Stream(vocabulary, finder), 0
     text = marked("the quick brown fox jumps over lazy dogs and tokenisation goes on " * 300)
     out = []
     for c in text:
