@@ -13,7 +13,7 @@ times; rows that repeat are mixed one by one; an empty table gives an empty resu
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from fractions import Fraction
 
 import numpy as np
@@ -87,10 +87,11 @@ def _quota_rows(quotas: dict[int, int], block: int):
     return run
 
 
-def passes(block: Column) -> Column:
+def passes(block: Column, own=F.col) -> Column:
     """How often the mix takes a block of a shard; ``turn`` seeds an order of the blocks that visits each once."""
-    extra = F.pmod(block * F.lit(2147483647) + F.col("turn"), F.greatest(F.col("blocks"), F.lit(1))) < F.col("quota") % F.greatest(F.col("blocks"), F.lit(1))
-    return F.floor(F.col("quota") / F.greatest(F.col("blocks"), F.lit(1))) + extra.cast("long")
+    n = F.greatest(own("blocks"), F.lit(1))
+    extra = F.pmod(block * F.lit(2147483647) + own("turn"), n) < own("quota") % n
+    return F.floor(own("quota") / n) + extra.cast("long")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction = Fraction(3, 2), seed: int = 0, block: int = BLOCK) -> DataFrame:
@@ -138,32 +139,15 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         keyed = keyed.withColumn("__n", number("doc_id", "source", "__words"))
         same &= F.col("__k") == F.col("__n")
     rows = keyed.join(plan.hint("shuffle_hash"), same)
-    return rows.mapInPandas(_cut_rows(docs.columns, block), docs.schema)
-
-
-def _cut_rows(columns: list[str], block: int):
-    import re
-
-    word = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for values in frame.itertuples(index=False, name=None):
-                row = dict(zip(frame.columns, values, strict=True))
-                size, start, blocks = row["__size"], row["__start"], row["__blocks"]
-                base, extra = divmod(row["__quota"], blocks)
-                at = np.arange(start // block, (start + size - 1) // block + 1, dtype=np.int64)
-                each = base + (((at * 2147483647 + row["__turn"]) % blocks) < extra)
-                of_word = each[(np.arange(start, start + size) // block) - at[0]]
-                for turn in range(1, int(each.max()) + 1):
-                    chosen = of_word >= turn
-                    if chosen.all():
-                        out.append({c: row[c] for c in columns})
-                    else:
-                        parts = word.findall(row["text"].encode())
-                        text = b"".join(p for p, keep in zip(parts, chosen, strict=True) if keep).decode()
-                        out.append({c: row[c] for c in columns} | {"text": text} | ({"n_chars": len(text)} if "n_chars" in columns else {}))
-            yield pd.DataFrame(out, columns=columns)
-
-    return run
+    own = lambda c: F.col(f"__{c}")
+    first, last = F.floor(own("start") / block), F.floor((own("start") + own("size") - 1) / block)
+    each = F.transform(F.sequence(first, last), lambda b: passes(b, own))
+    rows = rows.withColumn("__each", each).withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max("__each"))))
+    whole = F.array_min("__each") >= F.col("__turn")
+    words = F.regexp_extract_all("text", F.lit(_WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    at = lambda i: (F.floor((own("start") + i) / block) - first + 1).cast("int")
+    part = F.array_join(F.filter(words, lambda w, i: F.element_at("__each", at(i)) >= F.col("__turn")), "")
+    out = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
