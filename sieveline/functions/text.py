@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Leet substitutions (fixed values).
 LEET_DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
@@ -43,7 +44,7 @@ def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _clean(texts: pd.Series, decode: pd.Series, compose: pd.Series) -> pd.Series:
     out = [None if t is None else html.unescape(t) if d else t for t, d in zip(texts, decode, strict=True)]
     return pd.Series([None if t is None else unicodedata.normalize("NFC", t) if n else t for t, n in zip(out, compose, strict=True)], dtype=object)
