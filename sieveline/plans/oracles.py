@@ -10,7 +10,7 @@ from sieveline.sources.lexicon import DEMO, sql_values
 
 _TOKEN = r"\p{Tamil}+|\p{Latin}+|\p{Nd}+|\p{L}+|[^\s\p{L}\p{Nd}]+"
 _LEX = f"lexicon AS (SELECT * FROM {sql_values()}), exact AS (SELECT * FROM lexicon WHERE surface NOT LIKE '% %'), multi AS (SELECT * FROM lexicon WHERE surface LIKE '% %')"
-_TOK = f"tok AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') AS l FROM documents))"
+_TOK = f"tok AS MATERIALIZED (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') AS l FROM documents))"
 
 
 def _script(t: str) -> str:
@@ -18,7 +18,7 @@ def _script(t: str) -> str:
 
 
 #: Edit distance counts bytes in DuckDB: characters beyond ASCII, which no surface has, become one byte.
-_WORDS = f"words AS (SELECT DISTINCT lower(token) AS word, {_script('token')} AS script, regexp_replace(lower(token), '[^\\x00-\\x7F]', '#', 'g') AS bytes FROM tok)"
+_WORDS = f"words AS MATERIALIZED (SELECT DISTINCT lower(token) AS word, {_script('token')} AS script, regexp_replace(lower(token), '[^\\x00-\\x7F]', '#', 'g') AS bytes FROM tok)"
 _SUFFIXES = "(VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(LATIN_SUFFIXES)) + ") AS suffixes(rank, suffix)"
 _GUARD = "word NOT IN (" + ", ".join(f"'{w}'" for w in INNOCENT) + ")"
 _M = {
@@ -68,7 +68,9 @@ def _sums(gold: str, pred: str) -> str:
 def _collapsed(c: str) -> str:
     """Runs of a character beyond two dropped."""
     cs = f"string_split({c}, '')"
-    return f"array_to_string(list_filter({cs}, lambda c, i: NOT (i > 2 AND c <> chr(10) AND c = {cs}[i - 1] AND c = {cs}[i - 2])), '')"
+    # each character beside its two predecessors, so that the text is split once
+    zipped = f"list_zip({cs}, list_concat([''], {cs}), list_concat(['', ''], {cs}))"
+    return f"array_to_string(list_transform(list_filter({zipped}, lambda x: x[1] IS NOT NULL AND NOT (x[1] = x[2] AND x[1] = x[3] AND x[1] <> chr(10))), lambda x: x[1]), '')"
 
 
 _MENTIONS = r"regexp_replace(text, '(^|[^\p{L}\p{N}_\p{M}@])@[\p{L}\p{N}_\p{M}]+', '\1', 'g')"
@@ -179,8 +181,8 @@ SQL = {
         SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM g GROUP BY user_id, g""",
     "f11_batches": f"WITH n AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, {_NODES} AS l FROM pages)) SELECT page_id, (pos // 50)::INT AS batch, count(*) AS n FROM n GROUP BY ALL",
     "moderation_prf": f"""WITH {_LEX}, d AS (SELECT doc_id, toxic, regexp_replace(nfc_normalize(text), '(?i)(?:https?://|www\\.)\\S+', '', 'g') AS t FROM documents JOIN labels USING (doc_id)),
-        c AS (SELECT doc_id, toxic, {_collapsed('t')} AS t FROM d),
-        tok AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(t, '{_TOKEN}') AS l FROM c)),
+        c AS MATERIALIZED (SELECT doc_id, toxic, {_collapsed('t')} AS t FROM d),
+        tok AS MATERIALIZED (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(t, '{_TOKEN}') AS l FROM c)),
         {_WORDS}, {_matched('exact', 'suffix')}, {_PHRASES},
         bad AS (SELECT doc_id FROM tok JOIN best ON lower(token) = word WHERE b.severity <> 'low' UNION SELECT doc_id FROM starts),
         v AS (SELECT toxic = 1 AS g, doc_id IN (SELECT doc_id FROM bad) AS p FROM c), s AS (SELECT {_sums('g', 'p')} FROM v) SELECT tp, fp, fn, tn, {_PRF} FROM s""",
