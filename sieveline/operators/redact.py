@@ -37,14 +37,19 @@ def _unfolded(low: Column) -> tuple[Column, Column]:
 
 
 def _lookup(spans: Column, low: Column, folded: Column, plain: Column, strict_token: bool) -> Column:
-    """The last span of the word, of its leet folding or of its unstuffed form, else of the first flagged word inside it."""
-    words = F.transform(spans, lambda s: F.lower(s["token"]))
-    last = lambda w: F.try_element_at(F.filter(spans, lambda s: F.lower(s["token"]) == w), F.lit(-1))
-    found = F.coalesce(last(low), last(folded), last(plain))
+    """The span of the word, of its leet folding or of its unstuffed form, else of the first flagged word inside it."""
+    of = lambda w: F.try_element_at(F.filter(spans, lambda s: F.lower(s["token"]) == w), F.lit(1))
+    found = F.coalesce(of(low), of(folded), of(plain))
     if strict_token:
         return found
-    inside = F.filter(F.array_distinct(words), lambda w: F.contains(low, w) | F.contains(folded, w) | (w == plain))
-    return F.coalesce(found, last(F.try_element_at(inside, F.lit(1))))
+    inside = F.filter(spans, lambda s: F.contains(low, F.lower(s["token"])) | F.contains(folded, F.lower(s["token"])) | (F.lower(s["token"]) == plain))
+    return F.coalesce(found, F.try_element_at(inside, F.lit(1)))
+
+
+def _last_of_each(spans: str) -> Column:
+    """One span for each flagged word, the last, in the order of the words' first places: pieces meet words, not hits."""
+    words = F.array_distinct(F.transform(F.col(spans), lambda s: F.lower(s["token"])))
+    return F.transform(words, lambda w: F.element_at(F.filter(F.col(spans), lambda s: F.lower(s["token"]) == w), -1))
 
 
 def redact(rows: DataFrame, text: str = "text", spans: str = "flagged_spans", mode: str = "partial", mask: str | None = None, threshold: str = "all", categories: list[str] | None = None, replacements: dict[str, str] = POLITE, strict_token: bool = False) -> DataFrame:
@@ -74,10 +79,11 @@ def redact(rows: DataFrame, text: str = "text", spans: str = "flagged_spans", mo
 
     # white space and texts without a flagged word skip the lookups
     found = F.transform(pieces(raw), lambda p: F.when(p.rlike(r"(?U)^\s") | (F.size("__kept") == 0), F.struct(p.alias("p"), F.lit("").alias("a"), p.alias("w"), F.lit("").alias("z"), F.lit(None).cast("struct<token:string,source:string,canon:string,category:string,severity:string,match_type:string>").alias("s"))).otherwise(piece(p)))
-    out = rows.withColumn("__kept", kept).withColumn("__found", found)
+    # an exploded array of one keeps Spark from computing what follows anew for each use
+    out = rows.withColumn("__all", F.explode(F.array(kept))).withColumn("__kept", F.explode(F.array(_last_of_each("__all")))).withColumn("__found", F.explode(F.array(found)))
     hit = lambda x: x["s"].isNotNull()
     shown = F.transform("__found", lambda x: F.when(hit(x), F.concat(x["a"], masked(x["w"], x["s"]), x["z"])).otherwise(x["p"]))
     kind = F.transform("__found", lambda x: F.when(hit(x), F.concat(x["a"], polite(x["w"], x["s"]["canon"], replacements, FALLBACK), x["z"])).otherwise(x["p"]))
     hits = F.transform(F.filter("__found", hit), lambda x: F.struct(x["w"].alias("original_token"), masked(x["w"], x["s"]).alias("redacted_token"), F.lit(mode).alias("mode"), x["s"]["category"].alias("category"), x["s"]["severity"].alias("severity"), x["s"]["source"].alias("source"), x["s"]["canon"].alias("canon")))
     out = out.withColumn("censored", F.array_join(shown, "")).withColumn("redacted_spans", hits).withColumn("redacted_count", F.size("redacted_spans"))
-    return out.withColumn("polite_suggestion", F.when(F.col("redacted_count") > 0, F.array_join(kind, ""))).drop("__kept", "__found")
+    return out.withColumn("polite_suggestion", F.when(F.col("redacted_count") > 0, F.array_join(kind, ""))).drop("__all", "__kept", "__found")

@@ -16,7 +16,8 @@ SPAN = "struct<pos:int,token:string,tag:string,canon:string,category:string,seve
 def with_tokens(docs: DataFrame, text: str = "text", options: NormalizeOptions | None = NormalizeOptions()) -> DataFrame:
     """``docs`` with ``clean``, its normalised text, and ``tokens``.  Without options only NFC is applied."""
     clean = normalize(F.col(text), options) if options else nfc(F.coalesce(F.col(text), F.lit("")))
-    return docs.withColumn("clean", clean).withColumn("tokens", token_texts(F.col("clean")))
+    # an exploded array of one keeps Spark from computing both anew for each use
+    return docs.withColumn("clean", F.explode(F.array(clean))).withColumn("tokens", F.explode(F.array(token_texts(F.col("clean")))))
 
 
 def flagged_tokens(rows: DataFrame, entries: DataFrame, key: str, sensitivity: str = "standard", gate: str = "serving") -> DataFrame:
