@@ -175,13 +175,17 @@ def _flip_links(keys: DataFrame, radius: int) -> DataFrame:
 
 
 def links(prints: DataFrame, radius: int = 2, most: int = TREE) -> DataFrame:
-    """Links (u, v) that join the same keys as all pairs of distinct ``print`` within the radius."""
+    """Links (u, v) that join the same keys as all pairs of distinct ``print`` within the radius.
+
+    Prints of several hash functions, named by a column ``turn``, are linked apart from each other.
+    """
     if radius % 2:
         raise ValueError("the radius must be even: a key half-way is what links large shards")
     n = radius + 1
     edges = [round(64 * k / n) for k in range(n + 1)]
+    turn = F.col("turn").cast("int") if "turn" in prints.columns else F.lit(0)
     value = lambda a, b: F.call_function("shiftrightunsigned", F.col("print"), F.lit(a)).bitwiseAND(F.lit((1 << (b - a)) - 1))
-    blocks = F.array(*[F.struct(F.lit(k).alias("block"), value(a, b).alias("value")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+    blocks = F.array(*[F.struct((turn * n + k).alias("block"), value(a, b).alias("value")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
     rows = prints.select(F.explode(blocks).alias("s"), "print").select("s.block", "s.value", "print")
     dealt = rows.repartition("block", "value").sortWithinPartitions("block", "value", "print")
     made = cut(dealt.mapInArrow(_shard_rows(radius, most), "u long, v long"), "shards")
