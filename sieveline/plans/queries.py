@@ -340,11 +340,10 @@ def j3_neighbours(s, d):
 
 
 def j9_viterbi(s, d):
-    lit = lambda xs: F.array(*map(F.lit, xs))
-    tr = F.array(lit([0.2, 0.1, -9.0]), lit([0.1, 0.0, 0.6]), lit([0.3, 0.0, 0.2]))
-    em = F.transform(F.slice(T.token_texts(F.col("text")), 1, 200), lambda t: F.array((F.length(t) % 3).cast("double"), (F.ascii(t) % 4).cast("double"), (F.length(t) % 5).cast("double") / 2))
-    docs = _t(s, d, "documents").withColumn("em", em)
-    return docs.select("doc_id", F.array_join(crf.viterbi(lit([0.0, 0.0, -9.0]), tr, lit([0.0, 0.1, 0.0]), F.col("em")).cast("array<string>"), "").alias("path"))
+    tr = [[0.2, 0.1, -9.0], [0.1, 0.0, 0.6], [0.3, 0.0, 0.2]]
+    em = F.transform(T.token_texts(F.col("text")), lambda t: F.array((F.length(t) % 3).cast("double"), (F.ascii(t) % 4).cast("double"), (F.length(t) % 5).cast("double") / 2))
+    found = crf.paths(_t(s, d, "documents").select("doc_id", em.alias("em")), [0.0, 0.0, -9.0], tr, [0.0, 0.1, 0.0])
+    return found.select("doc_id", F.array_join(F.col("path").cast("array<string>"), "").alias("path"))
 
 
 def k5_running_counts(s, d):

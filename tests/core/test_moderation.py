@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from sieveline.operators import crf, matching, redact, spans, tagging
+from sieveline.plans import queries
 from sieveline.plans.api import Moderator, to_json
 from sieveline.sources import lexicon, readers
 
@@ -82,6 +83,20 @@ def test_viterbi_and_likelihood_against_all_paths(spark):
         assert math.isclose(r.ll, value(r.em, [i % 3 for i in range(len(r.em))]) - z, abs_tol=1e-9)
 
 
+def test_j9_decodes_whole_documents(spark, tmp_path):
+    rng = random.Random(5)
+    words = [["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 8))) for _ in range(n)] for n in (1, 7, 0, 199, 200, 201, 450)]
+    spark.createDataFrame([*((i, " ".join(w)) for i, w in enumerate(words)), (9, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.path for r in queries.j9_viterbi(spark, str(tmp_path)).collect()}
+    lit = lambda xs: F.array(*map(F.lit, xs))
+    tr = F.array(lit([0.2, 0.1, -9.0]), lit([0.1, 0.0, 0.6]), lit([0.3, 0.0, 0.2]))
+    ems = [(i, [[len(t) % 3 * 1.0, ord(t[0]) % 4 * 1.0, len(t) % 5 / 2] for t in w]) for i, w in enumerate(words)]
+    df = spark.createDataFrame(ems, "doc_id long, em array<array<double>>")
+    want = df.select("doc_id", crf.viterbi(lit([0.0, 0.0, -9.0]), tr, lit([0.0, 0.1, 0.0]), F.col("em")).alias("p")).collect()
+    assert got.pop(9) in (None, "") and got == {r.doc_id: "".join(map(str, r.p)) for r in want}
+    assert [len(got[i]) for i in range(7)] == [len(w) for w in words]
+
+
 def test_spans_nodes_and_json(spark):
     df = spark.createDataFrame([(1, 0, 4), (1, 4, 6), (1, 8, 9)], "id long, start int, end int")
     assert sorted((r.start, r.end) for r in spans.merged_intervals(df, "id").collect()) == [(0, 6), (8, 9)]
