@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The six white-space bytes of the contracts: space and 0x09 to 0x0D.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -31,20 +32,55 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that the application deletes when it ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends here.
 
     A table, not ``checkpoint()``, since the latter computes its input twice.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def narrow(df: DataFrame, column: str, kind: str) -> DataFrame:
-    """``df`` with the column cast to the type that an operator computes with."""
-    return df.withColumn(column, df[column].cast(kind))
+def drop_cut(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` wrote and that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str = "row") -> tuple[DataFrame, str]:
+    """``df``, written once, with a number for each row in a column of a new name.
+
+    Decisions are joined back by this number, never by an id of the data, which may be null or repeat.
+    """
+    name = fresh(df, name)
+    return cut(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns, so that an order of rows ends with it: rows that still tie are equal."""
+    own = [(F.col("`" + c.replace("`", "``") + "`"), t) for c, t in df.dtypes]
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in t or "variant" in t else c for c, t in own])
 
 
 def whole_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -1,14 +1,18 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-The mix is made of equal-token blocks.  Sources get blocks by the highest quotients ``target / (2 k + 1)``; the blocks of a
-source go in the same way to its shards, seeded groups of its documents; a shard then takes its quota of its own blocks, all
-of them as often as it can and a seeded choice once more.  A document may lie in several blocks: it is taken word by word.
+Sources get words by the highest quotients ``target / (2 k + 1)``, the unit being one token, so that a source of any size comes
+within a word or so of its target; the words of a source go in the same way to its shards, seeded groups of its documents.  A
+shard is cut into blocks of equal tokens and takes its quota of them: all as often as it can, and a seeded choice once more, the
+last block of which is taken only as far as the quota goes.  A document may lie in several blocks: it is taken word by word.
 
 Sources are those that a mix names: MAX_SOURCES at most, or the call fails rather than mix in part.  The number of shards of a
 source is bounded by MAX_SHARDS, so that what one task holds to apportion them is bounded too; documents stay on executors.
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; documents of size 0 are taken 0
-times; rows that repeat are mixed one by one; an empty table gives an empty result; other columns are ignored.
+times; rows that repeat are mixed one by one, and since the order within a shard ends with a hash of the row, reruns take the
+same words; equal quotients go to the first source or shard; a very long text lies in many blocks and may be taken in part; a
+table of any size, of one word too, is mixed; an empty table gives an empty result; other columns are ignored or carried, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -21,11 +25,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import cut
+from sieveline.llm.common import cut, fresh, numbered, row_hash
 
 BLOCK = 256
 SHARD_DOCS = 4096
 MAX_SHARDS = 1 << 16
+#: No document is taken more often than this.
+MOST = 2
+#: A prime above any number of blocks of a shard.
+STEP = 2147483647
 MAX_SOURCES = 1_000_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -76,78 +84,99 @@ def targets(sizes: Sequence[int], weights: Sequence[int], share: Fraction = Frac
         full.update(more)
 
 
-def _quota_rows(quotas: dict[int, int], block: int):
+def _quota_rows(quotas: dict[int, int], most: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard")
-        blocks = -(-rows["tokens"].to_numpy() // block)
-        rows["blocks"] = blocks
-        rows["quota"] = apportion(rows["tokens"].to_numpy(), quotas[int(rows["at"].iloc[0])], 2 * blocks)
-        return rows[["at", "shard", "blocks", "quota"]]
+        tokens = rows["tokens"].to_numpy()
+        rows["quota"] = apportion(tokens, quotas[int(rows["at"].iloc[0])], most * tokens)
+        return rows[["at", "shard", "tokens", "quota"]]
 
     return run
 
 
-def passes(block: Column, own=F.col) -> Column:
-    """How often the mix takes a block of a shard; ``turn`` seeds an order of the blocks that visits each once."""
-    n = F.greatest(own("blocks"), F.lit(1))
-    extra = F.pmod(block * F.lit(2147483647) + own("turn"), n) < own("quota") % n
-    return F.floor(own("quota") / n) + extra.cast("long")
+def _extra(at: Column, block: int) -> Column:
+    """How many words of a shard's block the seeded choice takes beyond the whole passes.
 
+    ``turn`` seeds an order that visits each block once (a prime step is coprime to any smaller number of blocks).  The words
+    before a block in that order are whole blocks but for the shard's last, which may be shorter.
+    """
+    n = F.greatest(F.ceil(F.col("tokens") / block), F.lit(1))
+    place = lambda b: F.pmod(b * F.lit(STEP) + F.col("turn"), n)
+    short = n * block - F.col("tokens")
+    before = place(at) * block - F.when(place(n - 1) < place(at), short).otherwise(0)
+    wanted = F.col("quota") % F.greatest("tokens", F.lit(1))
+    return F.greatest(wanted - before, F.lit(0))
 
-def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction = Fraction(3, 2), seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, and where its words lie in its shard."""
-    size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_WORD)).cast("long")
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
+
+def _plan(rows: DataFrame, weights: Sequence[int], share: Fraction, seed: int, block: int) -> DataFrame:
+    """``rows`` (row, doc_id, source, size, draw, tie) with source_size, target, taken, passes and parts.
+
+    A document's ``parts`` are, for each of its blocks, the words of it there and how many of these go in once more; ``passes``
+    is how often all of it is taken.
+    """
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"a mix has {MAX_SOURCES} sources at most")
     found.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    goal = targets([r.size for r in found], [weights[i % len(weights)] for i in range(len(found))], share)
-    quotas = apportion([float(g) for g in goal], round(sum(goal) / block))
+    goal = targets([r.size for r in found], [weights[i % len(weights)] for i in range(len(found))], share, MOST)
+    quotas = apportion([float(g) for g in goal], round(sum(goal)), [MOST * r.size for r in found])
     shards = [min(MAX_SHARDS, -(-r.docs // SHARD_DOCS)) for r in found]
     facts = rows.sparkSession.createDataFrame([(r.source, i, shards[i], r.size, float(goal[i])) for i, r in enumerate(found)], "name string, at int, shards int, source_size long, target double")
     facts = F.broadcast(facts) if len(found) <= 10_000 else facts
-    draw = F.xxhash64(F.lit(seed), "doc_id", "size")
-    placed = rows.join(facts, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("draw", draw).withColumn("shard", F.pmod(F.xxhash64("draw"), F.col("shards")).cast("int"))
-    placed = placed.withColumn("start", F.coalesce(F.sum("size").over(Window.partitionBy("at", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = rows.join(facts, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("shard", F.pmod(F.xxhash64("draw"), F.col("shards")).cast("int"))
+    order = Window.partitionBy("at", "shard").orderBy("draw", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0)))
     tokens = placed.groupBy("at", "shard").agg(F.sum("size").alias("tokens"))
     own = {i: int(q) for i, q in enumerate(quotas)}
-    plan = tokens.groupBy("at").applyInPandas(_quota_rows(own, block), "at int, shard int, blocks long, quota long")
+    plan = tokens.groupBy("at").applyInPandas(_quota_rows(own, MOST), "at int, shard int, tokens long, quota long")
     out = placed.join(plan, ["at", "shard"]).withColumn("turn", F.abs(F.xxhash64(F.lit(seed), "at", "shard") % F.lit(1 << 30)))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    inside = lambda b: F.least(F.col("start") + F.col("size"), (b + 1) * block) - F.greatest(F.col("start"), b * block)
-    taken = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda sum_, b: sum_ + inside(b) * passes(b))
-    out = out.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(F.lit(0).cast("long")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "start", "blocks", "quota", "turn")
+
+    def part(b: Column) -> Column:
+        begin = F.greatest(F.col("start"), b * block)
+        words = F.least(F.col("start") + F.col("size"), (b + 1) * block) - begin
+        return F.struct(words.alias("words"), F.greatest(F.lit(0), F.least(words, _extra(b, block) - (begin - b * block))).alias("more"))
+
+    none = F.array().cast("array<struct<words:bigint,more:bigint>>")
+    out = out.withColumn("passes", F.floor(F.col("quota") / F.greatest("tokens", F.lit(1)))).withColumn("parts", F.when(F.col("size") > 0, F.transform(F.sequence(first, last), part)).otherwise(none))
+    more = F.aggregate("parts", F.lit(0).cast("long"), lambda total, x: total + x["more"])
+    return out.withColumn("taken", F.col("passes") * F.col("size") + more)
+
+
+def _sizes(docs: DataFrame, seed: int, row: Column, tie: Column) -> DataFrame:
+    draw = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_WORD)).cast("long")
+    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), draw.alias("draw"), tie.alias("tie"))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction = Fraction(3, 2), seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target and taken."""
+    rows = cut(_sizes(docs, seed, F.lit(0).cast("long"), F.lit(0).cast("long")), "sizes")
+    return _plan(rows, weights, share, seed, block).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction = Fraction(3, 2), seed: int = 0, block: int = BLOCK) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each pass over a document, with the words that the pass takes.
 
-    A pass that takes all words keeps the text as it is; ``n_chars``, where there is one, is counted again.  Rows that
-    repeat doc_id, source and size are told apart by their order, which is of no consequence.
+    A pass that takes all words keeps the text as it is; ``n_chars``, where there is one, is counted again.
     """
-    block = options.get("block", BLOCK)
-    plan = mix(docs, **options).where("taken > 0").select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size", "start", "taken")], "blocks", "quota", "turn")
-    plan = plan.select(*[c for c in plan.columns if c.startswith("__")], *[F.col(c).alias(f"__{c}") for c in ("blocks", "quota", "turn")])
-    plan = cut(plan, "mix")
-    keyed = docs.withColumn("__words", F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_WORD)).cast("long"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    if not plan.groupBy("__doc_id", "__source", "__size").count().where("count > 1").isEmpty():
-        number = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*by))
-        plan = plan.withColumn("__k", number("__doc_id", "__source", "__size"))
-        keyed = keyed.withColumn("__n", number("doc_id", "source", "__words"))
-        same &= F.col("__k") == F.col("__n")
-    rows = keyed.join(plan.hint("shuffle_hash"), same)
-    own = lambda c: F.col(f"__{c}")
-    first, last = F.floor(own("start") / block), F.floor((own("start") + own("size") - 1) / block)
-    each = F.transform(F.sequence(first, last), lambda b: passes(b, own))
-    rows = rows.withColumn("__each", each).withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max("__each"))))
-    whole = F.array_min("__each") >= F.col("__turn")
-    words = F.regexp_extract_all("text", F.lit(_WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    at = lambda i: (F.floor((own("start") + i) / block) - first + 1).cast("int")
-    part = F.array_join(F.filter(words, lambda w, i: F.element_at("__each", at(i)) >= F.col("__turn")), "")
-    out = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    columns, kinds = docs.columns, dict(docs.dtypes)
+    docs, row = numbered(docs)
+    sizes = cut(_sizes(docs, seed, F.col(row), row_hash(docs.drop(row))), "sizes")
+    plan = cut(_plan(sizes, weights, share, seed, block).where("taken > 0").select("row", "passes", "parts"), "mix")
+    own = {c: fresh(docs, c) for c in ("of_row", "whole", "parts", "again")}
+    plan = plan.select(F.col("row").alias(own["of_row"]), F.col("passes").alias(own["whole"]), F.col("parts").alias(own["parts"]))
+    rows = docs.join(plan.hint("shuffle_hash"), F.col(row) == F.col(own["of_row"]))
+    parts = F.col(own["parts"])
+    some, all_ = F.exists(parts, lambda x: x["more"] > 0), F.forall(parts, lambda x: x["more"] == x["words"])
+    turns = F.transform(F.sequence(F.lit(1).cast("long"), F.col(own["whole"]) + F.when(some, 1).otherwise(0)), lambda t: (t > F.col(own["whole"])) & ~all_)
+    rows = rows.withColumn(own["again"], F.explode(turns))
+    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(_WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    head = F.element_at(parts, 1)["words"]  # the words before the second block, then blocks are whole
+    at = lambda i: F.when(i < head, 1).otherwise(F.floor((i - head) / block) + 2).cast("int")
+    inside = lambda i: F.when(i < head, i).otherwise((i - head) % block)
+    part = F.array_join(F.filter(words, lambda w, i: inside(i) < F.element_at(parts, at(i))["more"]), "")
+    out = rows.withColumn("text", F.when(F.col(own["again"]), part).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col(own["again"]), F.length("text").cast(kinds["n_chars"])).otherwise(F.col("n_chars")))
+    return out.select(*[f"`{c}`" for c in columns])
