@@ -6,22 +6,22 @@ pairs ``(hash, 256^length)`` are a monoid that Spark folds.  Texts of at most ``
 the chunks of longer ones are dealt to all tasks.  Equal fingerprints are only a conjecture: each member of a group is then
 compared with the row that stays, chunk by chunk, and whatever differs is grouped again by the text itself.
 
-Defined results: null texts count as empty; a null doc_id sorts last, after all numbers; of rows that repeat a doc_id and a
-text one stays; an empty table gives an empty result; other columns are ignored, whatever their names.
+Defined results: null texts count as empty; a null doc_id sorts last, after all numbers; of rows of equal texts exactly one
+stays, also if they repeat a doc_id or have none; very long texts are hashed and compared in chunks; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import SPACES, cut, whole_texts
+from sieveline.llm.common import SPACES, cut, fresh, numbered, whole_texts
 
 #: Below 2^31, so that a product of two residues fits a signed 64-bit integer in the JVM.
 PRIMES = (2147483629, 2147483587, 2147483563)
@@ -31,6 +31,8 @@ HUGE = 8 << 20
 COMPARED = 1 << 20
 #: Members of a group that share one copy of the chunks that stay.
 GROUP_PART = 256
+#: Groups that are dealt in salted parts, at most: those of more than this share of all rows.
+MOST_LARGE = 50_000
 
 _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _RUNS = re.compile(rb"  +")
@@ -63,18 +65,17 @@ def fingerprint(text: bytes, primes: tuple[int, ...] = PRIMES, chunk: int = CHUN
 
 
 def _print_rows(primes: tuple[int, ...]):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("crc", pa.int64()), ("text_sha256", pa.string()), ("print", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("raw", pa.int64()), ("n_bytes", pa.int64()), ("text_sha256", pa.string()), ("print", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, sums, digests, prints = [], [], [], []
+            sizes, digests, prints = [], [], []
             for raw in whole_texts(batch):
                 text = normalise(raw)
                 sizes.append(len(text))
-                sums.append(zlib.crc32(text))
                 digests.append(hashlib.sha256(text).hexdigest())
                 prints.append([h for h, _ in fingerprint(text, primes)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(digests, pa.string()), pa.array(prints, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(prints, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -103,46 +104,64 @@ def _folded(pairs: Column, prime: int, k: int) -> Column:
     return F.aggregate(pairs, start, lambda have, x: (have * x["pairs"][k][1] + x["pairs"][k][0]) % p)
 
 
-def fingerprints(docs: DataFrame, primes: tuple[int, ...] = PRIMES, huge_bytes: int = HUGE) -> DataFrame:
-    """doc_id, n_bytes, crc, text_sha256 and print (one residue for each prime) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def fingerprints(docs: DataFrame, primes: tuple[int, ...] = PRIMES, huge_bytes: int = HUGE, row: str | None = None) -> DataFrame:
+    """row, doc_id, raw, n_bytes, text_sha256 and print (one residue for each prime) of every row.
+
+    ``row`` names a column, or is null; ``raw`` is a hash of the text as it is, which with the doc_id finds the text again.
+    """
+    number = F.col(row) if row else F.lit(None).cast("long")
+    text = F.col("text").cast("string")
+    rows = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("raw"), text.alias("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0))
-    small = rows.where(size <= huge_bytes).mapInArrow(_print_rows(primes), "doc_id long, n_bytes long, crc long, text_sha256 string, print array<long>")
-    large = rows.where(size > huge_bytes).select("doc_id", normalised(F.col("text")).alias("bytes"))
+    small = rows.where(size <= huge_bytes).mapInArrow(_print_rows(primes), "row long, doc_id long, raw long, n_bytes long, text_sha256 string, print array<long>")
+    large = rows.where(size > huge_bytes).select("row", "doc_id", "raw", normalised(F.col("text")).alias("bytes"))
     large = large.withColumn("text_sha256", F.sha2("bytes", 256)).withColumn("key", F.xxhash64("doc_id", "text_sha256"))
     parts = large.select("key", F.posexplode(_chunks(F.col("bytes"), CHUNK * 16)).alias("at", "part")).repartition("key", "at")
     hashed = parts.mapInArrow(_chunk_rows(primes), "key long, at int, pairs array<array<long>>").dropDuplicates(["key", "at"])
     whole = hashed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "pairs"))).alias("c"))
     whole = whole.select("key", F.array(*[_folded(F.col("c"), p, k) for k, p in enumerate(primes)]).alias("print"))
-    facts = large.select("key", "doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), F.crc32("bytes").alias("crc"), "text_sha256")
+    facts = large.select("row", "key", "doc_id", "raw", F.octet_length("bytes").cast("long").alias("n_bytes"), "text_sha256")
     return small.unionByName(facts.join(whole, "key").select(*small.columns))
 
 
-def exact_dedup(docs: DataFrame, primes: tuple[int, ...] = PRIMES, huge_bytes: int = HUGE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_bytes, crc."""
-    prints = cut(fingerprints(docs, primes, huge_bytes).withColumn("row", F.monotonically_increasing_id()), "prints")
+def exact_dedup(docs: DataFrame, primes: tuple[int, ...] = PRIMES, huge_bytes: int = HUGE, row: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_bytes, row.
+
+    ``row`` may name a column that numbers the rows of ``docs``; else rows are numbered anew.
+    """
+    prints = fingerprints(docs, primes, huge_bytes, row)
+    prints = cut(prints if row else prints.withColumn("row", F.monotonically_increasing_id()), "prints")
     prints = prints.withColumn("key", F.xxhash64("n_bytes", "print"))
-    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row", "crc")
-    groups = prints.groupBy("key", "n_bytes", "print").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
-    groups = groups.select(F.col("key").alias("k"), F.col("n_bytes").alias("b"), F.col("print").alias("p"), "first", "group_size")
-    joined = prints.join(groups, (F.col("key") == F.col("k")) & (F.col("n_bytes") == F.col("b")) & (F.col("print") == F.col("p")))
-    members = cut(joined.select("doc_id", "row", "n_bytes", "crc", "text_sha256", "print", F.col("first.row").alias("keep_row"), F.col("first.doc_id").alias("keep_id"), "group_size"), "members")
+    same = ["key", "n_bytes", "print"]
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")
+    groups = cut(prints.groupBy(*same).agg(F.min(order).alias("first"), F.count("*").alias("group_size")), "groups")
+    # groups above a share of all rows are dealt in salted parts; there are no more than MOST_LARGE of them, so that they are sent to all
+    large = max(GROUP_PART, -(-(groups.agg(F.sum("group_size")).first()[0] or 0) // MOST_LARGE))
+    salts = F.ceil(F.col("group_size") / F.lit(large)).cast("int")
+    some = groups.where(F.col("group_size") > large).select(*[F.col(c).alias(f"l_{c}") for c in same], salts.alias("salts"))
+    is_large = [F.col(c) == F.col(f"l_{c}") for c in same]
+    dealt = prints.join(F.broadcast(some), is_large, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row"), F.col("salts")), F.lit(0)).cast("int")).select(*prints.columns, "salt")
+    copies = groups.select(*[F.col(c).alias(f"g_{c}") for c in same], "first", "group_size", F.explode(F.sequence(F.lit(0), salts - 1)).alias("g_salt"))
+    joined = dealt.join(copies, [F.col(c) == F.col(f"g_{c}") for c in (*same, "salt")])
+    members = cut(joined.select("doc_id", "row", "raw", "n_bytes", "text_sha256", "print", F.col("first.row").alias("keep_row"), F.col("first.doc_id").alias("keep_id"), "group_size"), "members")
     wrong = cut(_differing(docs, members.where("group_size > 1")), "differing")
     if not wrong.isEmpty():
         members = _regrouped(docs, members, wrong)
     kept = F.col("row") == F.col("keep_row")
-    return members.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "n_bytes", "crc")
+    return members.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "n_bytes", "row")
 
 
-_SAME = ("doc_id", "n_bytes", "crc")
+#: What tells a text of ``docs`` from others when its bytes are fetched.
+_SAME = ("doc_id", "raw", "text_sha256")
 
 
 def _with_text(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``members`` with their normalised bytes.  Each text moves once; the hash tables hold the small side."""
-    text = normalised(F.col("text").cast("string"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text"))
-    found = texts.join(members.hint("shuffle_hash"), F.col("d").eqNullSafe(F.col("doc_id"))).withColumn("bytes", text)
-    return found.where((F.octet_length("bytes") == F.col("n_bytes")) & (F.crc32("bytes") == F.col("crc"))).drop("d", "text")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("raw"))
+    found = texts.join(members.hint("shuffle_hash"), same).withColumn("bytes", normalised(F.col("text")))
+    return found.where(F.sha2("bytes", 256) == F.col("text_sha256")).drop("d", "h", "text")
 
 
 def _differing(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -154,7 +173,7 @@ def _differing(docs: DataFrame, members: DataFrame) -> DataFrame:
     texts = _with_text(docs, once)
     salts = F.ceil(F.col("group_size") / F.lit(GROUP_PART)).cast("int")
     chunks = texts.select(*_SAME, "row", "keep_row", salts.alias("salts"), F.posexplode(_chunks(F.col("bytes"), COMPARED)).alias("at", "part"))
-    kept = chunks.where("row = keep_row").select(F.col("keep_row").alias("k"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"), F.col("at").alias("a"), F.col("part").alias("kept_part"))
+    kept = chunks.where("row = keep_row").select(F.col("keep_row").alias("k"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"), F.col("at").alias("a"), F.col("part").alias("kept_part")).dropDuplicates(["k", "s", "a"])
     rest = chunks.where("row != keep_row").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
     both = rest.join(kept, (F.col("keep_row") == F.col("k")) & (F.col("salt") == F.col("s")) & (F.col("at") == F.col("a")), "left")
     return both.where(~F.col("part").eqNullSafe(F.col("kept_part"))).select(*[F.col(c).alias(f"w_{c}") for c in _SAME], F.col("keep_row").alias("w_row")).distinct()
@@ -163,23 +182,19 @@ def _differing(docs: DataFrame, members: DataFrame) -> DataFrame:
 def _regrouped(docs: DataFrame, members: DataFrame, wrong: DataFrame) -> DataFrame:
     """After a collision of fingerprints: the rows that differ are grouped by the whole text."""
     same = [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in _SAME]
-    odd = _with_text(docs, members.join(wrong, [*same, F.col("keep_row") == F.col("w_row")], "left_semi"))
+    odd = _with_text(docs, members.join(wrong, [*same, F.col("keep_row") == F.col("w_row")], "left_semi")).dropDuplicates(["row"])
     order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")
     first = odd.groupBy("bytes").agg(F.min(order).alias("first"))
-    again = cut(odd.join(first, "bytes").select("row", F.col("first.row").alias("new_row"), F.col("first.doc_id").alias("new_id")).distinct(), "regrouped")
+    again = cut(odd.join(first, "bytes").select("row", F.col("first.row").alias("new_row"), F.col("first.doc_id").alias("new_id")), "regrouped")
     out = members.drop("group_size").join(again, "row", "left")
     out = out.withColumn("keep_id", F.when(F.col("new_row").isNull(), F.col("keep_id")).otherwise(F.col("new_id"))).withColumn("keep_row", F.coalesce("new_row", "keep_row")).drop("new_row", "new_id")
     return out.join(out.groupBy("keep_row").agg(F.count("*").alias("group_size")), "keep_row")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
-    verdicts = exact_dedup(docs)
-    stay = cut(verdicts.where("kept").select(F.col("doc_id").alias("__d"), F.col("n_bytes").alias("__b"), F.col("crc").alias("__c")), "stay")
-    text = normalised(F.col("text").cast("string"))
-    keyed = docs.withColumn("__n", F.octet_length(text).cast("long")).withColumn("__s", F.crc32(text))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__n") == F.col("__b")) & (F.col("__s") == F.col("__c"))
-    out = keyed.join(stay.hint("shuffle_hash"), same, "left_semi").drop("__n", "__s")
-    if verdicts.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id", "text"])  # rows that repeat a doc_id
+    """The rows of ``docs`` that stay, with their own columns: one for each text, decided and joined by row number."""
+    columns = docs.columns
+    docs, row = numbered(docs)
+    stay = fresh(docs, "stays")
+    kept = exact_dedup(docs, row=row).where("kept").select(F.col("row").alias(stay))
+    return docs.join(kept.hint("shuffle_hash"), F.col(row) == F.col(stay), "left_semi").select(*[f"`{c}`" for c in columns])

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from sieveline.llm import exact_dedup as exact_dedup_module
 from sieveline.llm.exact_dedup import PRIMES, combine, exact_dedup, fingerprint, keep_first
 
 SCHEMA = "doc_id long, text string, row string, bytes int"
@@ -47,6 +48,24 @@ def test_repeated_rows_and_empty_table(spark):
     assert keep_first(df).columns == df.columns
 
 
+def test_null_and_repeated_ids_and_clashing_names(spark):
+    rows = [(None, "a b"), (None, "a  b"), (5, "c d"), (5, "c  d"), (5, "other"), (None, None), (None, "")]
+    df = spark.createDataFrame([(d, t, "x", 1, 2, "y") for d, t in rows], "doc_id long, text string, __d string, __n int, stays int, row string")
+    out = keep_first(df)
+    assert out.columns == df.columns
+    assert sorted(" ".join((r.text or "").split()) for r in out.collect()) == ["", "a b", "c d", "other"]
+    got = exact_dedup(df).collect()
+    assert sorted((r.group_size, r.kept) for r in got) == [(1, True), (2, False), (2, False), (2, False), (2, True), (2, True), (2, True)]
+
+
+def test_large_groups_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup_module, "GROUP_PART", 16)
+    rows = [(i, "same text") for i in range(400)] + [(1000 + i, f"text {i % 30}") for i in range(120)]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
+    got = exact_dedup(df).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == brute(rows)
+
+
 def test_fingerprints_compose():
     text = random.Random(2).randbytes(5000)
     whole = fingerprint(text, chunk=10**9)
