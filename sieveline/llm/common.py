@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Hot keys that are sent to all tasks, at most.
+MOST_LARGE = 50_000
 #: The six white-space bytes of the contracts: space and 0x09 to 0x0D.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -77,6 +79,19 @@ def numbered(df: DataFrame, name: str = "row") -> tuple[DataFrame, str]:
     return cut(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
+def looked_up(rows: DataFrame, table: DataFrame, on: list[tuple[str, str]], n: str, total: int, least: int = 4096) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and in ``n`` how many of the ``total`` rows have that key.
+
+    Keys of more than a MOST_LARGE-th of the rows (and of ``least``) are sent to all tasks, so that rows of a hot key stay where
+    they are; there are no more than MOST_LARGE of them.  All others are joined as usual.
+    """
+    bound = max(least, -(-total // MOST_LARGE))
+    same = [F.col(a) == F.col(b) for a, b in on]
+    hot = F.broadcast(table.where(F.col(n) > bound))
+    rest = rows.join(hot.select(*[b for _, b in on]), same, "left_anti")
+    return rows.join(hot, same).unionByName(rest.join(table.where(F.col(n) <= bound), same))
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of all columns, so that an order of rows ends with it: rows that still tie are equal."""
     own = [(F.col("`" + c.replace("`", "``") + "`"), t) for c, t in df.dtypes]

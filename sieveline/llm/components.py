@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import cut
+from sieveline.llm.common import cut, drop_cut, looked_up
 
 
-def _starred(links: DataFrame, large: bool) -> DataFrame:
-    """One round.  Minima are summed before the shuffle; the join on a hub's key is left to the skew rules of AQE."""
+def _starred(links: DataFrame, large: bool, n: int) -> DataFrame:
+    """One round over n links.  Minima are summed before the shuffle; those of hubs are sent to all tasks, so no task gets a hub."""
     if large:
         links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
-    both = links.join(low, F.col("u") == F.col("c"))
+    low = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"), "degree")
+    both = looked_up(links, low, [("u", "c")], "degree", 2 * n)
     if large:  # neighbours above u hang on the least of all
         out = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # u and its neighbours below hang on the least of these
@@ -24,13 +24,15 @@ def _starred(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every key that has a link, the root being the least key of its component, roots left out.
 
-    ``links`` has two long columns u and v.  Rounds end when the links no longer change; each is written to the shared folder.
+    ``links`` has two long columns u and v.  Rounds end when the links no longer change; each is written to the shared folder,
+    and the one before is deleted.
     """
     links = cut(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = lambda df: df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
     before = state(links)
     while before[0]:
-        links = cut(_starred(_starred(links, True), False), "links")
+        last, links = links, cut(_starred(_starred(links, True, before[0]), False, before[0]), "links")
+        drop_cut(last)
         after = state(links)
         if after == before:
             break

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import SPACES, cut, fresh, numbered, whole_texts
+from sieveline.llm.common import SPACES, cut, fresh, looked_up, numbered, whole_texts
 
 #: Below 2^31, so that a product of two residues fits a signed 64-bit integer in the JVM.
 PRIMES = (2147483629, 2147483587, 2147483563)
@@ -31,8 +31,6 @@ HUGE = 8 << 20
 COMPARED = 1 << 20
 #: Members of a group that share one copy of the chunks that stay.
 GROUP_PART = 256
-#: Groups that are dealt in salted parts, at most: those of more than this share of all rows.
-MOST_LARGE = 50_000
 
 _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _RUNS = re.compile(rb"  +")
@@ -135,14 +133,8 @@ def exact_dedup(docs: DataFrame, primes: tuple[int, ...] = PRIMES, huge_bytes: i
     same = ["key", "n_bytes", "print"]
     order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")
     groups = cut(prints.groupBy(*same).agg(F.min(order).alias("first"), F.count("*").alias("group_size")), "groups")
-    # groups above a share of all rows are dealt in salted parts; there are no more than MOST_LARGE of them, so that they are sent to all
-    large = max(GROUP_PART, -(-(groups.agg(F.sum("group_size")).first()[0] or 0) // MOST_LARGE))
-    salts = F.ceil(F.col("group_size") / F.lit(large)).cast("int")
-    some = groups.where(F.col("group_size") > large).select(*[F.col(c).alias(f"l_{c}") for c in same], salts.alias("salts"))
-    is_large = [F.col(c) == F.col(f"l_{c}") for c in same]
-    dealt = prints.join(F.broadcast(some), is_large, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row"), F.col("salts")), F.lit(0)).cast("int")).select(*prints.columns, "salt")
-    copies = groups.select(*[F.col(c).alias(f"g_{c}") for c in same], "first", "group_size", F.explode(F.sequence(F.lit(0), salts - 1)).alias("g_salt"))
-    joined = dealt.join(copies, [F.col(c) == F.col(f"g_{c}") for c in (*same, "salt")])
+    table = groups.select(*[F.col(c).alias(f"g_{c}") for c in same], "first", "group_size")
+    joined = looked_up(prints, table, [(c, f"g_{c}") for c in same], "group_size", groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0])
     members = cut(joined.select("doc_id", "row", "raw", "n_bytes", "text_sha256", "print", F.col("first.row").alias("keep_row"), F.col("first.doc_id").alias("keep_id"), "group_size"), "members")
     wrong = cut(_differing(docs, members.where("group_size > 1")), "differing")
     if not wrong.isEmpty():

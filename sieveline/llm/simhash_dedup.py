@@ -1,19 +1,22 @@
 """Near-duplicates by SimHash and BK-trees.
 
-Fingerprints of 64 bits that differ in at most ``radius`` bits agree in at least one of ``radius + 1`` blocks of bits.  So the
-distinct fingerprints are sharded by (block, its value), each shard gets a BK-tree (children keyed by their integer Hamming
-distance to the parent), and a query follows only the edges within the radius of its own distance.  A tree is at home in the
-task that holds its shard's queries: sending all trees to all tasks would broadcast data without a size bound.  A shard links
-its members by a spanning forest, never by all pairs.  Shards above TREE keys, as a mass of near copies makes them, are linked
-without a tree in linear work: keys within two bits share a key within one bit of both, so each key is grouped under itself and
-its 64 neighbours (larger radii take as many flips as half the radius).  Nothing is capped.
+Fingerprints of 64 bits that differ in at most ``radius`` bits agree in c of radius + c blocks of bits.  So the distinct
+fingerprints are sharded by (a choice of c blocks, their value), each shard gets a BK-tree (children keyed by their integer
+Hamming distance to the parent), and a query follows only the edges within the radius of its own distance.  c grows with the
+number of fingerprints, so that shards stay small.  A tree is at home in the task that holds its shard's queries: sending all
+trees to all tasks would broadcast data without a size bound.  A shard links its members by a spanning forest, never by all
+pairs.  Shards above TREE keys, as a mass of near copies makes them, are sharded once more by FINEST blocks; what then is still
+above is linked without a tree in linear work: keys within two bits share a key within one bit of both, so each key is grouped
+under itself and its 64 neighbours (larger radii take as many flips as half the radius).  Nothing is capped.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; a null doc_id never names a component
-unless all its ids are null; rows that repeat get the same result; an empty table gives an empty result.
+unless all its ids are null; rows that repeat get the same result; very long texts are hashed slice by slice; an empty table
+gives an empty result; other columns are ignored or carried, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import cut, whole_texts
+from sieveline.llm.common import cut, fresh, looked_up, numbered, whole_texts
 from sieveline.llm.components import components
 
 #: Keys that one tree holds.
 TREE = 1024
+#: Blocks that keys share at the finest.
+FINEST = 8
 #: Shingles that are in memory at once.
 SLICE = 1 << 16
 
@@ -54,12 +59,12 @@ def simhash(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def _print_rows(width: int, seed: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("print", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([simhash(t, width, seed) for t in whole_texts(batch)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints, pa.int64())], schema=schema)
 
     return run
 
@@ -117,24 +122,25 @@ def _forest(keys: list[int], radius: int) -> list[tuple[int, int]]:
 
 
 def _shard_rows(radius: int, most: int):
-    """Over rows sorted by shard: links (u, v); a key of a shard that has no tree comes out with v null."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    """Over rows sorted by shard: links (block, u, v); a key of a shard that has no tree comes out with v null."""
+    schema = pa.schema([("block", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
     mask = (1 << 64) - 1
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, keys, large = None, [], False
-        us: list[int] = []
-        vs: list[int | None] = []
+        found: list[tuple[int, int, int | None]] = []
 
         def end() -> None:
             if large:
-                us.extend(keys)
-                vs.extend([None] * len(keys))
+                found.extend((shard[0], k, None) for k in keys)
             elif len(keys) > 1:
-                for a, b in _forest([k & mask for k in keys], radius):
-                    us.append(signed(a))
-                    vs.append(signed(b))
+                found.extend((shard[0], signed(a), signed(b)) for a, b in _forest([k & mask for k in keys], radius))
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], schema.field(k).type) for k in range(3)], schema=schema)
+            found.clear()
+            return made
 
         for batch in batches:
             shards = np.stack([batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False)])
@@ -153,65 +159,95 @@ def _shard_rows(radius: int, most: int):
                     large = True
                     end()
                     keys = []
-                if len(us) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=schema)
-                    us.clear()
-                    vs.clear()
+                if len(found) > 50_000:
+                    yield out()
         end()
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=schema)
+        yield out()
 
     return run
 
 
 def _flip_links(keys: DataFrame, radius: int) -> DataFrame:
     """Links of any number of keys: each with the least of those that share a key within half the radius of both."""
-    near = keys.select(F.col("u"), F.col("u").alias("z"))
+    near = keys.select("turn", "u", F.col("u").alias("z"))
     bits = F.sequence(F.lit(0), F.lit(63))
     for _ in range(radius // 2):
-        flips = near.select("u", F.explode(F.concat(F.array("z"), F.transform(bits, lambda b: F.col("z").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))).alias("z"))
+        flips = near.select("turn", "u", F.explode(F.concat(F.array("z"), F.transform(bits, lambda b: F.col("z").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))).alias("z"))
         near = flips.distinct()
-    meet = near.groupBy("z").agg(F.min("u").alias("least"))
-    return near.join(meet, "z").where("u != least").select("u", F.col("least").alias("v")).distinct()
+    meet = near.groupBy("turn", "z").agg(F.min("u").alias("least"))
+    return near.join(meet, ["turn", "z"]).where("u != least").select("turn", "u", F.col("least").alias("v")).distinct()
+
+
+def masks(n: int, radius: int, most: int) -> list[int]:
+    """The bits that each sharding of n keys goes by: any two keys within the radius agree in all bits of one of them.
+
+    The 64 bits are cut into radius + c blocks, of which keys within the radius share c; there is a sharding for each choice of
+    c blocks.  c is the least for which shards of evenly spread keys hold a quarter of ``most``, so that trees stay small however
+    many keys there are.
+    """
+    c = 1
+    while c < FINEST and n / 2 ** (64 * c // (radius + c)) > most / 4:
+        c += 1
+    edges = [round(64 * k / (radius + c)) for k in range(radius + c + 1)]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(chosen) for chosen in itertools.combinations(blocks, c)]
+
+
+def _sharded(keys: DataFrame, found: list[int], radius: int, most: int) -> DataFrame:
+    """Links (turn, u, v) of keys (turn, print) in the shards of each mask; v is null for keys of shards above ``most``."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in found]
+    shards = F.array(*[F.struct((F.col("turn") * len(found) + k).alias("block"), F.col("print").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(signed)])
+    rows = keys.select(F.explode(shards).alias("s"), "print").select("s.block", "s.value", "print")
+    dealt = rows.repartition("block", "value").sortWithinPartitions("block", "value", "print")
+    made = cut(dealt.mapInArrow(_shard_rows(radius, most), "block int, u long, v long"), "shards")
+    return made.select(F.floor(F.col("block") / len(found)).cast("int").alias("turn"), "u", "v")
 
 
 def links(prints: DataFrame, radius: int = 2, most: int = TREE) -> DataFrame:
-    """Links (u, v) that join the same keys as all pairs of distinct ``print`` within the radius.
+    """Links (turn, u, v) that join the same keys as all pairs of distinct ``print`` within the radius.
 
     Prints of several hash functions, named by a column ``turn``, are linked apart from each other.
     """
     if radius % 2:
-        raise ValueError("the radius must be even: a key half-way is what links large shards")
-    n = radius + 1
-    edges = [round(64 * k / n) for k in range(n + 1)]
+        raise ValueError("the radius must be even: a key half-way is what links the largest shards")
     turn = F.col("turn").cast("int") if "turn" in prints.columns else F.lit(0)
-    value = lambda a, b: F.call_function("shiftrightunsigned", F.col("print"), F.lit(a)).bitwiseAND(F.lit((1 << (b - a)) - 1))
-    blocks = F.array(*[F.struct((turn * n + k).alias("block"), value(a, b).alias("value")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
-    rows = prints.select(F.explode(blocks).alias("s"), "print").select("s.block", "s.value", "print")
-    dealt = rows.repartition("block", "value").sortWithinPartitions("block", "value", "print")
-    made = cut(dealt.mapInArrow(_shard_rows(radius, most), "u long, v long"), "shards")
-    large = made.where("v IS NULL").select("u").distinct()
-    return made.where("v IS NOT NULL").unionByName(_flip_links(large, radius))
+    keys = prints.select(turn.alias("turn"), "print")
+    made = _sharded(keys, masks(keys.count(), radius, most), radius, most)
+    out, large = made.where("v IS NOT NULL"), made.where("v IS NULL").select("turn", F.col("u").alias("print")).distinct()
+    if large.isEmpty():
+        return out
+    # keys of large shards once more, by the finest blocks; the few that still meet in masses are linked by shared neighbours
+    made = _sharded(large, masks(1 << 62, radius, most), radius, most)
+    return out.unionByName(made.where("v IS NOT NULL")).unionByName(_flip_links(made.where("v IS NULL").select("turn", "u").distinct(), radius))
 
 
-def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42, most: int = TREE) -> DataFrame:
-    """doc_id, print (signed) and component_id, the least doc_id that links reach, of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut(rows.mapInArrow(_print_rows(width, seed), "doc_id long, print long"), "simhash")
-    distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "prints")
+def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42, most: int = TREE, row: str | None = None) -> DataFrame:
+    """doc_id, print (signed) and component_id, the least doc_id that links reach, of every row.
+
+    If ``row`` names a column, also row and root, the least print of the component.
+    """
+    number = F.col(row) if row else F.lit(None).cast("long")
+    rows = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = cut(rows.mapInArrow(_print_rows(width, seed), "row long, doc_id long, print long"), "simhash")
+    distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
     roots = components(links(distinct.select("print"), radius, most))
-    named = distinct.join(roots, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = named.select(F.col("print").alias("p"), "root").join(least, "root").select("p", "component_id")
-    return prints.join(of_print, F.col("print") == F.col("p")).select("doc_id", "print", "component_id")
+    named = cut(distinct.join(roots, F.col("print") == F.col("node"), "left").select("print", "least", "n", F.coalesce("root", "print").alias("root")), "roots")
+    least = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
+    total = named.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    of_print = looked_up(named, least, [("root", "r")], "prints", total[0]).select(F.col("print").alias("p"), "n", "root", "component_id")
+    out = looked_up(prints, of_print, [("print", "p")], "n", total[1])
+    return out.select("doc_id", "print", "component_id", *(["row", "root"] if row else []))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component.
+    """The rows of ``docs``, one of each component: that of the least doc_id, of several such rows one.
 
-    Of rows that repeat a doc_id and a text one stays; a row without a doc_id cannot be named and stays.
+    Rows are joined by a number of their own, so null and repeated ids are told apart.
     """
-    found = cut(simhash_dedup(docs, **options).where("doc_id IS NOT NULL"), "components")
-    lost = found.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
-    lost = lost.select(F.col("doc_id").alias("__d"), (F.col("doc_id") != F.col("least")).alias("__out"), F.col("n").alias("__n"))
-    out = docs.join(lost.where("__out").select("__d").hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__d"), "left_anti")
-    return out if lost.where("__n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    columns = docs.columns
+    docs, row = numbered(docs)
+    found = cut(simhash_dedup(docs, row=row, **options), "components")
+    stays = fresh(docs, "stays")
+    best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("best"))
+    kept = best.select(F.col("best.row").alias(stays))
+    return docs.join(kept.hint("shuffle_hash"), F.col(row) == F.col(stays), "left_semi").select(*[f"`{c}`" for c in columns])

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.llm.components import components
-from sieveline.llm.simhash_dedup import BKTree, keep_one, links, simhash, simhash_dedup
+from sieveline.llm.simhash_dedup import BKTree, keep_one, links, masks, simhash, simhash_dedup
 
 SCHEMA = "doc_id long, text string, print string, root int"
 
@@ -110,4 +110,21 @@ def test_long_chain_and_empty(spark):
 
 def test_keep_one(spark):
     df = spark.createDataFrame([(2, "a b c d", "x", 1), (1, "A b  c d", "y", 1), (1, "A b  c d", "y", 1), (3, "other words are here", "x", 1), (None, "a b c d", "x", 1)], SCHEMA)
-    assert sorted((r.doc_id or 0, r.text) for r in keep_one(df).collect()) == [(0, "a b c d"), (1, "A b  c d"), (3, "other words are here")]
+    assert sorted((r.doc_id or 0, r.text) for r in keep_one(df).collect()) == [(1, "A b  c d"), (3, "other words are here")]
+
+
+def test_keep_one_without_ids_and_with_clashing_names(spark):
+    rows = [(None, "a b c d e"), (None, "A b c  d e"), (None, "quite other words are here"), (4, "x y z"), (4, "something else again now")]
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, row int, stays int")
+    assert sorted(r.text.lower()[:3] for r in keep_one(df).collect()) == ["a b", "qui", "som", "x y"]
+
+
+@pytest.mark.parametrize("n", [10, 10**4, 10**7, 10**10])
+@pytest.mark.parametrize("radius", [2, 4])
+def test_masks_share_one_for_keys_within_the_radius(n, radius):
+    rng = random.Random(n)
+    found = masks(n, radius, 1024)
+    for _ in range(300):
+        flips = sum(1 << b for b in rng.sample(range(64), radius))
+        assert any(not flips & m for m in found)
+    assert n / 2 ** min(m.bit_count() for m in found) <= 2 * 256
