@@ -130,6 +130,11 @@ def leet(c: Column) -> Column:
     return F.array_join(F.transform(pieces(destuff(c)), leet_word), "")
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def collapse_space(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, _WS, " "), "^ | $", "")
 
@@ -235,7 +240,7 @@ def mask_partial(c: Column, mark: str = "*") -> Column:
 
 
 def mask_tag(category: Column, severity: Column) -> Column:
-    name = lambda c: F.nullif(F.trim(c), F.lit(""))
+    name = lambda c: F.nullif(strip(c), F.lit(""))
     return F.concat(F.lit("[REDACTED: "), F.upper(F.coalesce(name(category), name(severity), F.lit("ABUSE"))), F.lit("]"))
 
 
@@ -249,7 +254,7 @@ def polite(token: Column, canon: Column, replacements: dict[str, str], fallback:
         return F.lit(fallback)
     keys = F.array(*map(F.lit, replacements))
     values = F.map_from_arrays(keys, F.array(*map(F.lit, replacements.values())))
-    t, c = F.lower(F.trim(token)), F.lower(F.trim(F.coalesce(canon, F.lit(""))))
+    t, c = F.lower(strip(token)), F.lower(strip(F.coalesce(canon, F.lit(""))))
     inside = F.filter(keys, lambda k: F.contains(t, k) | ((c != "") & F.contains(c, k)))
     return F.coalesce(F.try_element_at(values, t), F.try_element_at(values, c), F.try_element_at(values, F.try_element_at(inside, F.lit(1))), F.lit(fallback))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.functions.text import FOREIGN_SCRIPTS, TAMIL_BLOCK, dedup_key, stop_word_hits
+from sieveline.functions.text import FOREIGN_SCRIPTS, TAMIL_BLOCK, dedup_key, stop_word_hits, strip
 
 #: Labels of offensive rows (fixed values).
 OFFENSIVE_LABELS = (
@@ -25,7 +25,7 @@ SEED = 13
 
 def usable(pool: DataFrame) -> DataFrame:
     """text and label trimmed, null or blank texts dropped."""
-    rows = pool.dropna(subset=["text", "label"]).withColumn("text", F.trim("text")).withColumn("label", F.trim("label"))
+    rows = pool.dropna(subset=["text", "label"]).withColumn("text", strip(F.col("text"))).withColumn("label", strip(F.col("label")))
     return rows.where("text != ''")
 
 
@@ -113,7 +113,7 @@ def injected(words: DataFrame, fillers: list[str], most_before: int, least_befor
 
 def final_tag(corrected: Column, weak: Column) -> Column:
     """The corrected tag if it is not blank, else the weak one."""
-    return F.coalesce(F.nullif(F.trim(corrected), F.lit("")), F.trim(weak))
+    return F.coalesce(F.nullif(strip(corrected), F.lit("")), strip(weak))
 
 
 def leak_report(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

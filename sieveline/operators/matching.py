@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.functions.text import surface_script
 from sieveline.sources.lexicon import exact_surfaces, phrase_surfaces
 
 BROADCAST = 100_000
@@ -91,6 +92,25 @@ def match_words(words: DataFrame, entries: DataFrame, sensitivity: str = "standa
     return found.groupBy("word", "script").agg(best.alias("match"))
 
 
+def enumerable_matches(entries: DataFrame, most: int = BROADCAST) -> dict[str, dict] | None:
+    """All Latin words and Tamil surfaces that match exactly or by a Latin suffix; none if they are more than ``most``.
+
+    What Tamil suffixes are stripped from is not listed: such words are cut where they are met.
+    """
+    rows = exact_surfaces(entries).withColumn("script", surface_script(F.col("surface"))).orderBy("ord").limit(most + 1).collect()
+    if len(rows) * (1 + len(LATIN_SUFFIXES)) > most:
+        return None
+    out: dict[str, dict] = {}
+    own = [(r.surface, {c: r[c] for c in _MATCH}, r.script) for r in rows if r.script in ("TAMIL", "LATIN") and len(r.surface) >= 2]
+    for surface, match, _ in own:
+        out.setdefault(surface, match | {"match_type": "exact"})
+    for suffix in LATIN_SUFFIXES:  # of several ways to strip a word the first suffix counts
+        for surface, match, script in own:
+            if script == "LATIN" and len(surface) >= MIN_STEM:
+                out.setdefault(surface + suffix, match | {"match_type": "suffix_strip"})
+    return out
+
+
 def phrase_starts(tokens, phrases: list[str]):
     """Where two-token phrases start, left to right without overlap, in an array of tokens: no shuffle, no window."""
     if not phrases:
@@ -102,8 +122,11 @@ def phrase_starts(tokens, phrases: list[str]):
 
 
 def phrase_rows(entries: DataFrame) -> list:
-    """The phrases of a lexicon; a lexicon's phrases are few by nature."""
-    return phrase_surfaces(entries).select("surface", "canon", "category", "severity").collect()
+    """The phrases of a lexicon, which become literals: BROADCAST of them at most, or the call fails."""
+    rows = phrase_surfaces(entries).select("surface", "canon", "category", "severity").limit(BROADCAST + 1).collect()
+    if len(rows) > BROADCAST:
+        raise ValueError(f"a lexicon has {BROADCAST} phrases at most")
+    return rows
 
 
 def phrase_table(entries: DataFrame) -> list[str]:

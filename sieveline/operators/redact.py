@@ -1,11 +1,18 @@
-"""Redaction of flagged words in raw text: partial, tag, block and polite modes, as one narrow transform."""
+"""Redaction of flagged words in raw text: partial, tag, block and polite modes, as one narrow transform.
+
+A flagged word may stand in a piece of text in many disguises, each of which is a look-up in the words of that very text; an
+Arrow function does this for the flagged texts, all others pass by it.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.functions.text import AFFIX, affixes, destuff, leet, mask_block, mask_partial, mask_tag, pieces, polite
+from sieveline.functions.text import LEET_DIGITS, LEET_SYMBOLS
+from sieveline.scratch import fresh
 
 MODES = ("partial", "tag", "block", "polite")
 RANKS = {"low": 1, "medium": 2, "high": 3}
@@ -30,26 +37,101 @@ def allowed_spans(spans: Column, threshold: str = "all", categories: list[str] |
     return F.filter(spans, keep)
 
 
-def _unfolded(low: Column) -> tuple[Column, Column]:
-    """The leet folding and the unstuffed form of a lower-case word; most words hold nothing to fold."""
-    odd = low.rlike(r"[0-9@$!+|*._\-~^/]")
-    return F.when(odd, leet(low)).otherwise(low), F.when(odd, destuff(low)).otherwise(low)
-
-
-def _lookup(spans: Column, low: Column, folded: Column, plain: Column, strict_token: bool) -> Column:
-    """The span of the word, of its leet folding or of its unstuffed form, else of the first flagged word inside it."""
-    of = lambda w: F.try_element_at(F.filter(spans, lambda s: F.lower(s["token"]) == w), F.lit(1))
-    found = F.coalesce(of(low), of(folded), of(plain))
-    if strict_token:
-        return found
-    inside = F.filter(spans, lambda s: F.contains(low, F.lower(s["token"])) | F.contains(folded, F.lower(s["token"])) | (F.lower(s["token"]) == plain))
-    return F.coalesce(found, F.try_element_at(inside, F.lit(1)))
-
-
-def _last_of_each(spans: str) -> Column:
-    """One span for each flagged word, the last, in the order of the words' first places: pieces meet words, not hits."""
-    words = F.array_distinct(F.transform(F.col(spans), lambda s: F.lower(s["token"])))
-    return F.transform(words, lambda w: F.element_at(F.filter(F.col(spans), lambda s: F.lower(s["token"]) == w), -1))
+_SPAN = "struct<token:string,source:string,canon:string,category:string,severity:string,match_type:string>"
+_HIT = "struct<original_token:string,redacted_token:string,mode:string,category:string,severity:string,source:string,canon:string>"
+_PIECE = regex.compile(r"\s+|\S+")
+_AFFIX = regex.compile(r"([^\p{L}\p{N}_\u0B80-\u0BFF]*)([\p{L}\p{N}_\u0B80-\u0BFF]+)([^\p{L}\p{N}_\u0B80-\u0BFF]*)", regex.S)
+_STUFFED, _STUFFING = regex.compile(r"\b[\p{L}\d](?:[*._\-+~^/][\p{L}\d]){2,}\b"), regex.compile(r"[*._\-+~^/]")
+_ODD, _LETTER, _GRAPHEME = regex.compile(r"[0-9@$!+|*._\-~^/]"), regex.compile(r"\p{L}"), regex.compile(r".\p{M}*", regex.S)
+_SYMBOLS, _DIGITS = str.maketrans(LEET_SYMBOLS), str.maketrans(LEET_DIGITS)
+
+
+def graphemes_of(word: str) -> list[str]:
+    return _GRAPHEME.findall(word)
+
+
+def partly_masked(word: str, mark: str) -> str:
+    g = graphemes_of(word)
+    k = 0 if len(g) <= 2 else 1 if len(g) <= 6 else 2
+    return "".join(g[:k]) + mark * (len(g) - 2 * k) + "".join(g[len(g) - k :])
+
+
+def unstuffed(word: str) -> str:
+    return _STUFFED.sub(lambda m: _STUFFING.sub("", m[0]), word)
+
+
+def unleeted(word: str) -> str:
+    """The word with stuffing removed and digits and symbols folded to letters, by the rule of ``functions.text.leet_word``."""
+    word = unstuffed(word)
+    digits, symbols = sum(c in LEET_DIGITS for c in word), sum(c in LEET_SYMBOLS for c in word)
+    letters = bool(_LETTER.search(word))
+    if not letters and digits + symbols < 2:
+        return word
+    folded = word.translate(_SYMBOLS)
+    return folded.translate(_DIGITS) if letters or digits >= 3 else folded
+
+
+class _Redactor:
+    """The rewriting of one text after another in one mode."""
+
+    def __init__(self, mode: str, mark: str, replacements: dict[str, str], strict_token: bool) -> None:
+        self.mode, self.mark, self.replacements, self.strict = mode, mark, replacements, strict_token
+
+    def polite(self, word: str, canon: str | None) -> str:
+        own, canon = word.strip().lower(), (canon or "").strip().lower()
+        for key in (own, canon):
+            if key in self.replacements:
+                return self.replacements[key]
+        inside = (v for k, v in self.replacements.items() if k in own or (canon and k in canon))
+        return next(inside, FALLBACK)
+
+    def masked(self, word: str, span: dict) -> str:
+        if self.mode == "tag":
+            name = (span["category"] or "").strip() or (span["severity"] or "").strip() or "ABUSE"
+            return f"[REDACTED: {name.upper()}]"
+        if self.mode == "block":
+            return self.mark * max(len(graphemes_of(word)), len(word))
+        return self.polite(word, span["canon"]) if self.mode == "polite" else partly_masked(word, self.mark)
+
+    def find(self, low: str, spans: dict[str, dict]) -> dict | None:
+        """The span of the word, of its leet folding or of its unstuffed form, else of the first flagged word inside it."""
+        folded, plain = (unleeted(low), unstuffed(low)) if _ODD.search(low) else (low, low)
+        for form in (low, folded, plain):
+            if form in spans:
+                return spans[form]
+        if self.strict:
+            return None
+        return next((s for w, s in spans.items() if w in low or w in folded or w == plain), None)
+
+    def piece(self, p: str, spans: dict[str, dict]) -> tuple[str, str, str, dict] | None:
+        """Prefix, word, suffix and span of a piece, if it holds a flagged word."""
+        parts = _AFFIX.fullmatch(p)
+        span = self.find(parts[2].lower(), spans) if parts else None
+        if span is not None:
+            return parts[1], parts[2], parts[3], span
+        span = self.find(p.lower(), spans)
+        return None if span is None else ("", p, "", span)
+
+    def text(self, raw: str, kept: list[dict]) -> dict:
+        spans: dict[str, dict] = {}
+        for s in kept:  # of equal words the last span counts, at the place of the first
+            spans[s["token"].lower()] = s
+        known: dict[str, tuple | None] = {}
+        shown, kind, hits = [], [], []
+        for p in _PIECE.findall(raw):
+            if p not in known:
+                known[p] = None if p.isspace() else self.piece(p, spans)
+            found = known[p]
+            if found is None:
+                shown.append(p)
+                kind.append(p)
+                continue
+            before, word, after, span = found
+            masked = self.masked(word, span)
+            shown.append(before + masked + after)
+            kind.append(before + self.polite(word, span["canon"]) + after)
+            hits.append({"original_token": word, "redacted_token": masked, "mode": self.mode, **{c: span[c] for c in ("category", "severity", "source", "canon")}})
+        return {"censored": "".join(shown), "hits": hits, "kind": "".join(kind) if hits else None}
 
 
 def redact(rows: DataFrame, text: str = "text", spans: str = "flagged_spans", mode: str = "partial", mask: str | None = None, threshold: str = "all", categories: list[str] | None = None, replacements: dict[str, str] = POLITE, strict_token: bool = False) -> DataFrame:
@@ -57,33 +139,20 @@ def redact(rows: DataFrame, text: str = "text", spans: str = "flagged_spans", mo
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     mark = mask if mask is not None else "*" if mode == "partial" else "█"
+    redactor = _Redactor(mode, mark, dict(replacements), strict_token)
+    result = pa.struct([("censored", pa.string()), ("hits", pa.list_(pa.struct([(c, pa.string()) for c in ("original_token", "redacted_token", "mode", "category", "severity", "source", "canon")]))), ("kind", pa.string())])
+
+    @F.arrow_udf(f"struct<censored:string,hits:array<{_HIT}>,kind:string>")
+    def rewritten(texts: pa.Array, kept: pa.Array) -> pa.Array:
+        flagged = zip(texts.to_pylist(), kept.to_pylist(), strict=True)
+        return pa.array([None if t is None else redactor.text(t, k) for t, k in flagged], result)
+
     raw = F.coalesce(F.col(text), F.lit(""))
-    kept = allowed_spans(F.coalesce(F.col(spans), F.array().cast("array<struct<token:string,source:string,canon:string,category:string,severity:string,match_type:string>>")), threshold, categories)
-
-    def masked(word: Column, span: Column) -> Column:
-        if mode == "tag":
-            return mask_tag(span["category"], span["severity"])
-        if mode == "block":
-            return mask_block(word, mark)
-        if mode == "polite":
-            return polite(word, span["canon"], replacements, FALLBACK)
-        return mask_partial(word, mark)
-
-    def piece(p: Column) -> Column:
-        prefix, core, suffix = affixes(p)
-        whole = p.rlike(AFFIX)
-        of_core = _lookup(F.col("__kept"), F.lower(core), *_unfolded(F.lower(core)), strict_token)
-        of_piece = _lookup(F.col("__kept"), F.lower(p), *_unfolded(F.lower(p)), strict_token)
-        use_core = whole & of_core.isNotNull()
-        return F.struct(p.alias("p"), F.when(use_core, prefix).otherwise("").alias("a"), F.when(use_core, core).otherwise(p).alias("w"), F.when(use_core, suffix).otherwise("").alias("z"), F.when(use_core, of_core).otherwise(of_piece).alias("s"))
-
-    # white space and texts without a flagged word skip the lookups
-    found = F.transform(pieces(raw), lambda p: F.when(p.rlike(r"(?U)^\s") | (F.size("__kept") == 0), F.struct(p.alias("p"), F.lit("").alias("a"), p.alias("w"), F.lit("").alias("z"), F.lit(None).cast("struct<token:string,source:string,canon:string,category:string,severity:string,match_type:string>").alias("s"))).otherwise(piece(p)))
-    # an exploded array of one keeps Spark from computing what follows anew for each use
-    out = rows.withColumn("__all", F.explode(F.array(kept))).withColumn("__kept", F.explode(F.array(_last_of_each("__all")))).withColumn("__found", F.explode(F.array(found)))
-    hit = lambda x: x["s"].isNotNull()
-    shown = F.transform("__found", lambda x: F.when(hit(x), F.concat(x["a"], masked(x["w"], x["s"]), x["z"])).otherwise(x["p"]))
-    kind = F.transform("__found", lambda x: F.when(hit(x), F.concat(x["a"], polite(x["w"], x["s"]["canon"], replacements, FALLBACK), x["z"])).otherwise(x["p"]))
-    hits = F.transform(F.filter("__found", hit), lambda x: F.struct(x["w"].alias("original_token"), masked(x["w"], x["s"]).alias("redacted_token"), F.lit(mode).alias("mode"), x["s"]["category"].alias("category"), x["s"]["severity"].alias("severity"), x["s"]["source"].alias("source"), x["s"]["canon"].alias("canon")))
-    out = out.withColumn("censored", F.array_join(shown, "")).withColumn("redacted_spans", hits).withColumn("redacted_count", F.size("redacted_spans"))
-    return out.withColumn("polite_suggestion", F.when(F.col("redacted_count") > 0, F.array_join(kind, ""))).drop("__all", "__kept", "__found")
+    kept = allowed_spans(F.coalesce(F.col(spans).cast(f"array<{_SPAN}>"), F.array().cast(f"array<{_SPAN}>")), threshold, categories)
+    all_, made = fresh(rows, "kept"), fresh(rows, "made")
+    some = F.size(all_) > 0
+    out = rows.withColumn(all_, F.explode(F.array(kept)))
+    out = out.withColumn(made, rewritten(F.when(some, raw), F.when(some, F.col(all_))))
+    out = out.withColumn("censored", F.coalesce(F.col(made)["censored"], raw)).withColumn("polite_suggestion", F.col(made)["kind"])
+    out = out.withColumn("redacted_spans", F.coalesce(F.col(made)["hits"], F.array().cast(f"array<{_HIT}>"))).withColumn("redacted_count", F.size("redacted_spans"))
+    return out.drop(all_, made)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.functions.text import strip
+
 #: Elements whose text is not shown, and names of columns that hold text (fixed values).
 SKIPPED = ("script", "style", "noscript", "textarea", "input", "select", "option", "code", "pre")
 TEXT_COLUMNS = ("text", "comment", "tweet", "sentence", "content", "message", "review")
@@ -30,7 +32,7 @@ def read_raw(spark: SparkSession, path: str, columns: list[str], sep: str = "\t"
     rows = read_delimited(spark, path, [*columns, "_stray"], sep, quote="", header=False).drop("_stray")
     is_header = F.lit(True)
     for c in columns:
-        is_header = is_header & (F.trim(F.col(c)) == c)
+        is_header = is_header & (strip(F.col(c)) == c)
     return rows.where(~is_header)
 
 
@@ -57,7 +59,7 @@ def find_text_column(rows: DataFrame, asked: list[str] | None = None) -> str:
 
 def read_lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
     rows = spark.read.text(path).withColumnRenamed("value", "text")
-    return rows if blank else rows.where(F.trim("text") != "")
+    return rows if blank else rows.where(strip(F.col("text")) != "")
 
 
 def discover(spark: SparkSession, folder: str, known: list[str] = ()) -> DataFrame:
@@ -68,7 +70,7 @@ def discover(spark: SparkSession, folder: str, known: list[str] = ()) -> DataFra
 
 def split_lines(text: Column) -> Column:
     """Trimmed lines that are not empty."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
 
 
 def text_nodes(html: Column, least: int = 3) -> Column:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.functions.text import token_texts
+from sieveline.functions.text import strip, token_texts
 
 
 def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files: int | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def with_live_config(events: DataFrame, config: DataFrame, key: str) -> DataFram
 def flagged_lines(lines: DataFrame, words: list[str]) -> DataFrame:
     """Stateless scoring of lines: the flagged words of each, and whether it is safe."""
     hits = F.filter(F.transform(token_texts(F.col("value")), F.lower), lambda t: t.isin(*words))
-    return lines.where(F.trim("value") != "").withColumn("flagged_words", F.array_distinct(hits)).withColumn("safe", F.size("flagged_words") == 0)
+    return lines.where(strip(F.col("value")) != "").withColumn("flagged_words", F.array_distinct(hits)).withColumn("safe", F.size("flagged_words") == 0)
 
 
 def scan_batches(stream: DataFrame, handle) -> None:

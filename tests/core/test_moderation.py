@@ -1,8 +1,10 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from sieveline.functions import text as T
 from sieveline.operators import crf, matching, redact, spans, tagging
 from sieveline.plans import queries
 from sieveline.plans.api import Moderator, to_json
@@ -23,6 +25,58 @@ def test_verdicts(spark):
     assert got[5].flagged_spans[0].match_type == "suffix_strip"
 
 
+def test_null_and_repeated_keys_and_clashing_columns(spark):
+    """Rows are tagged by themselves: neither a key nor a column of theirs mixes them up."""
+    rows = [(None, "you idiot"), (1, "you idiot"), (1, "fine words here"), (1, "loser and scum"), (None, None)]
+    df = spark.createDataFrame([(k, t, "x", 5, "y", 6) for k, t in rows], "doc_id long, text string, spans string, starts int, clean string, kept int")
+    want = [False, False, True, False, True]
+    for sensitivity in ("standard", "strict", "maximum"):
+        got = Moderator(lexicon.from_rows(spark), sensitivity).transform(df).collect()
+        assert [r.safe for r in got] == want and [len(r.merged_tags) for r in got] == [len(r.tokens) for r in got]
+        assert {r.spans for r in got} == {"x"} and {r.starts for r in got} == {5}
+    long = tagging.tag_rows(df, lexicon.from_rows(spark)).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("tag") != "O").alias("hits")).collect()
+    assert {r.doc_id: (r.n, r.hits) for r in long} == {None: (2, 1), 1: (8, 3)}
+    assert [r.censored for r in redact.redact(Moderator(lexicon.from_rows(spark)).transform(df)).collect()] == ["you i***t", "you i***t", "fine words here", "l***r and s**m", ""]
+
+
+@pytest.mark.parametrize("sensitivity", ["standard", "strict", "maximum"])
+def test_a_lexicon_of_any_size_gives_the_same_spans(spark, sensitivity):
+    texts = ["idiot idiotla of the scumda and the idiott", "stupidkku xxmoronxx", "", None, "trash of the of the loser"] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = tagging.with_tokens(df)
+    spans = [tagging.with_spans(rows, lexicon.from_rows(spark), "s", sensitivity=sensitivity, **o).select("text", "s").collect() for o in ({}, {"most": 0})]
+    key = lambda r: (r.text is None, r.text, str(r.s))
+    assert sorted(map(key, spans[0])) == sorted(map(key, spans[1])) and any(r.s for r in spans[0])
+
+
+def test_tamil_surfaces(spark):
+    """Exact, stripped of up to five characters, and as a phrase; other scripts next to them."""
+    words = (("முட்டாள்", ("லூசு",), "profanity", "high"), ("போடா நாயே", (), "threat", "medium"), ("கழுதை", (), "profanity", "low"))
+    df = spark.createDataFrame([(0, "நீ முட்டாள் idiot"), (1, "முட்டாள்கள் லூசு123"), (2, "போடா நாயே"), (3, "கழுதை மரம்"), (4, "முட")], "doc_id long, text string")
+    got = Moderator(lexicon.from_rows(spark, words)).transform(df).orderBy("doc_id").collect()
+    assert [[(s.token, s.match_type) for s in r.flagged_spans] for r in got] == [[("முட்டாள்", "exact")], [("முட்டாள்கள்", "suffix_strip"), ("லூசு", "exact")], [("போடா", "exact"), ("நாயே", "exact")], [], []]
+    weak = tagging.tag_rows(df, lexicon.from_rows(spark, words)).where("tag != 'O'").count()
+    assert weak == 5
+
+
+def test_guard_words_are_no_misspellings(spark):
+    entries = lexicon.from_rows(spark, (("supers", (), "profanity", "high"), ("videos", (), "profanity", "high"), ("tamile", (), "profanity", "high")))
+    df = spark.createDataFrame([(w,) for w in ("super", "video", "tamil", "superz", "vidoes")], "text string")
+    got = {r.text: r.safe for r in Moderator(entries, "strict").transform(df, key="text").collect()}
+    assert got == {"super": True, "video": True, "tamil": True, "superz": False, "vidoes": True}
+
+
+def test_redaction_by_the_rules_of_the_column_functions(spark):
+    """The Arrow function folds and masks as the column expressions do."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("ab1354$@!*._-|+éத்") for _ in range(rng.randrange(1, 12))) for _ in range(500)]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    c = F.col("w")
+    rows = df.select("w", T.leet(c).alias("leet"), T.destuff(c).alias("plain"), T.mask_partial(c).alias("mask"), F.size(T.graphemes(c)).alias("g")).collect()
+    for r in rows:
+        assert (redact.unleeted(r.w), redact.unstuffed(r.w), redact.partly_masked(r.w, "*"), len(redact.graphemes_of(r.w))) == (r.leet, r.plain, r["mask"], r.g)
+
+
 def test_sensitivity(spark):
     assert [r.safe for r in run(spark, ["idiott", "1d10t", "trash"], "strict").collect()] == [False, False, True]
     assert [r.safe for r in run(spark, ["trash", "xxidiotxx"], "maximum").collect()] == [False, False]
