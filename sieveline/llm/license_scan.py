@@ -1,18 +1,21 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then nearest-ancestor inheritance.
 
-A file's passages are its lines and paragraphs that hold a cue of licensing; each is compared with all templates.  Inverse
+A file's passages are its lines, sentences and paragraphs that hold a cue of licensing; each is compared with all templates.  Inverse
 document frequencies come from all passages of all files; only terms of the templates need one (a vocabulary that the templates
 bound, so it is sent to all tasks), any other term counts as unseen.  A file whose best cosine reaches ``least`` has a licence
 of its own.  Directories get the licence of their licence files; all others inherit from the nearest ancestor that has one, by
-joins on paths over distinct directories, not files.
+joins on paths over distinct directories, not files.  A file that says it is under a licence that no template knows inherits none:
+its licence is unknown, so that a stricter one is never replaced by a looser one.
 
-Defined results: null and empty texts have no licence of their own; a null path inherits nothing; of several licence files in a
+Defined results: null and empty texts have no licence of their own; very long texts are read whole, line by line, so that a notice
+counts wherever it stands; of equal cosines the first template counts; a null path inherits nothing; of several licence files in a
 directory the highest cosine wins, then the smallest path, then the smallest licence; rows that repeat get the same result; an
 empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -25,8 +28,12 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import cut, whole_texts
 
 LEAST = 0.6
+#: Verdicts that a task remembers, by the digest of the passages.
+REMEMBERED = 10_000
 _CUE = r"(?i)licen[cs]|copyright|redistribut|warrant|spdx|public domain|permission"
 _CUES, _TERM, _LINE, _PARAGRAPH = re.compile(_CUE), re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*"), re.compile(r"[^\n\r]+"), re.compile(r"\r?\n[^\S\n]*\r?\n")
+_SENTENCE = re.compile(r"(?<=[.;!?])\s+")
+_STATEMENT = re.compile(r"(?i)\b(?:licen[cs]ed|released|distributed|available) under\b|spdx-license-identifier")
 
 #: Licences with the notices and headers that name them (fixed values, public texts).
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -60,14 +67,45 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "SPDX-License-Identifier: MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
-    "CC-BY-4.0": (
-        "SPDX-License-Identifier: CC-BY-4.0",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "SPDX-License-Identifier: LGPL-3.0",
     ),
-    "CC-BY-SA-4.0": (
-        "SPDX-License-Identifier: CC-BY-SA-4.0",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "SPDX-License-Identifier: LGPL-2.1",
     ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0",
+    ),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
+    "CC0-1.0": (
+        "SPDX-License-Identifier: CC0-1.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work, CC0 1.0 Universal.",
+    ),
+    **{
+        f"CC-{short}-4.0": (
+            f"SPDX-License-Identifier: CC-{short}-4.0",
+            f"Licensed under CC {short} 4.0.",
+            f"This work is licensed under a Creative Commons {long} 4.0 International License.",
+        )
+        for short, long in (
+            ("BY", "Attribution"),
+            ("BY-SA", "Attribution-ShareAlike"),
+            ("BY-NC", "Attribution-NonCommercial"),
+            ("BY-ND", "Attribution-NoDerivatives"),
+            ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+            ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+        )
+    },
     "ISC": (
         "SPDX-License-Identifier: ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -81,11 +119,17 @@ def terms(passage: str) -> Counter:
 
 
 def passages(text: str) -> list[str]:
-    """The lines, and the paragraphs of several lines, that hold a cue."""
+    """The lines, the sentences of a line of several, and the paragraphs of several lines, that hold a cue."""
     if not _CUES.search(text):
         return []
     lines = [x for x in _LINE.findall(text) if _CUES.search(x)]
-    return lines + [x for x in _PARAGRAPH.split(text) if "\n" in x.strip() and _CUES.search(x)]
+    sentences = [x for line in lines if len(parts := _SENTENCE.split(line.strip())) > 1 for x in parts if _CUES.search(x)]
+    return lines + sentences + [x for x in _PARAGRAPH.split(text) if "\n" in x.strip() and _CUES.search(x)]
+
+
+def states_one(found: list[str]) -> bool:
+    """Whether any passage says that something is under a licence, whichever."""
+    return any(_STATEMENT.search(x) for x in found)
 
 
 class Weights:
@@ -129,7 +173,10 @@ def _frequency_rows(vocabulary: frozenset[str]):
 
 
 def own_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, least: float = LEAST) -> DataFrame:
-    """path, license and score of the rows of ``files`` (path, text) that have a licence of their own, with the columns after them."""
+    """license and score of the rows of ``files`` (text and other columns) that say that they are under one, and the other columns.
+
+    The licence is null if no template reaches ``least``: it is unknown.
+    """
     templates = templates or TEMPLATES
     cued = files.where(F.col("text").rlike(_CUE))
     vocabulary = frozenset(t for forms in templates.values() for form in forms for t in terms(form))
@@ -138,22 +185,29 @@ def own_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None
     weights = Weights(templates, frequency.pop("", 0), frequency)
     rest = [c for c in files.columns if c != "text"]
 
+    def verdict(found: list[str]) -> tuple[float, str | None] | None:
+        score, name = weights.best(found)
+        return (score, name) if score >= least else (score, None) if states_one(found) else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[tuple[str, ...], tuple[float, str]] = {}
+        memory: dict[bytes, tuple[float, str | None] | None] = {}  # by a digest, so that its size does not go with the passages'
         for batch in batches:
             found = []
             for raw in whole_texts(batch):
-                key = tuple(passages(raw.decode("utf-8")))
+                parts = passages(raw.decode("utf-8"))
+                key = hashlib.blake2b("\n\n".join(parts).encode(), digest_size=16).digest()
                 if key not in memory:
-                    if len(memory) > 10_000:
+                    if len(memory) >= REMEMBERED:
                         memory.clear()
-                    memory[key] = weights.best(list(key))
+                    memory[key] = verdict(parts)
                 found.append(memory[key])
+            some = pa.array([x is not None for x in found], pa.bool_())
             columns = [batch.column(batch.schema.get_field_index(c)) for c in rest]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in found], pa.string()), pa.array([x[0] for x in found], pa.float64())], names=[*rest, "license", "score"])
+            made = [pa.array([x and x[1] for x in found], pa.string()), pa.array([x and x[0] for x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*columns, *made], names=[*rest, "license", "score"]).filter(some)
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in files.dtypes if c != "text")
-    return cued.select(*rest, "text").mapInArrow(run, f"{kinds}, license string, score double").where(F.col("score") >= least)
+    return cued.select(*rest, "text").mapInArrow(run, f"{kinds}, license string, score double")
 
 
 def directory(path: Column) -> Column:
@@ -162,7 +216,7 @@ def directory(path: Column) -> Column:
 
 
 def license_scan(files: DataFrame, is_license: Column, templates: dict[str, tuple[str, ...]] | None = None, least: float = LEAST) -> DataFrame:
-    """path, license, score, how ('own' or 'inherited') and source_path of every row of ``files`` (path, text).
+    """path, license, score, how ('own', 'inherited' or 'unknown') and source_path of every row of ``files`` (path, text).
 
     ``is_license`` is a condition on path and text that says which files speak for their directory.
     """
@@ -170,7 +224,7 @@ def license_scan(files: DataFrame, is_license: Column, templates: dict[str, tupl
     rows = rows.select("path", "text", F.coalesce(is_license, F.lit(False)).alias("speaks"))
     own = cut(own_licenses(rows, templates, least), "licenses")
     order = F.struct((-F.col("score")).alias("s"), "path", "license")
-    spoken = own.where("speaks AND path IS NOT NULL").groupBy(directory(F.col("path")).alias("ancestor")).agg(F.min(order).alias("l"))
+    spoken = own.where("speaks AND path IS NOT NULL AND license IS NOT NULL").groupBy(directory(F.col("path")).alias("ancestor")).agg(F.min(order).alias("l"))
 
     paths = rows.select("path")
     dirs = paths.where("path IS NOT NULL").select(directory(F.col("path")).alias("dir")).distinct()
@@ -181,14 +235,14 @@ def license_scan(files: DataFrame, is_license: Column, templates: dict[str, tupl
     near = near.groupBy("dir").agg(F.max_by("l", "depth").alias("l"))
 
     # files that repeat a path: each has its own text, but a path's licences are all of its rows' best
-    mine = own.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
+    mine = own.groupBy("path").agg(F.min(F.struct(F.isnull("license").alias("none"), (-F.col("score")).alias("s"), "license")).alias("m"))
     out = paths.join(mine.withColumnRenamed("path", "p"), F.col("path").eqNullSafe(F.col("p")) & F.col("path").isNotNull(), "left").withColumn("at", directory(F.col("path")))
     out = out.join(near, F.col("at") == F.col("dir"), "left")
-    has = F.col("m").isNotNull()
+    stated, known = F.col("m").isNotNull(), F.col("m.license").isNotNull()
     return out.select(
         "path",
-        F.coalesce("m.license", "l.license").alias("license"),
-        F.when(has, -F.col("m.s")).otherwise(-F.col("l.s")).alias("score"),
-        F.when(has, "own").when(F.col("l").isNotNull(), "inherited").alias("how"),
-        F.when(has, F.col("path")).otherwise(F.col("l.path")).alias("source_path"),
+        F.when(stated, F.col("m.license")).otherwise(F.col("l.license")).alias("license"),
+        F.when(stated, -F.col("m.s")).otherwise(-F.col("l.s")).alias("score"),
+        F.when(known, "own").when(stated, "unknown").when(F.col("l").isNotNull(), "inherited").alias("how"),
+        F.when(stated, F.col("path")).otherwise(F.col("l.path")).alias("source_path"),
     )

@@ -62,17 +62,19 @@ def op8_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence of every document, its own or that of its nearest directory.
 
-    The tables have no paths, so that a document's is /source/lang/<hundred>/<doc_id>; a document of at most 60 words that has
-    a licence speaks for its directory, and one of an even shorter text for all of its language or source.
+    The tables have no paths, so that they are made from source, language and id: /source/lang/<hundred>/<id>.  Every tenth
+    document is a file named LICENSE of its hundred, every hundredth of its language, every thousandth of its source.
     """
     docs = table(spark, sf_dir, "documents")
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+"))
-    name = F.concat_ws("/", F.lit(""), part("source"), part("lang"), F.coalesce(F.floor(F.col("doc_id") / 100).cast("string"), F.lit("none")), part("doc_id"))
-    name = F.when(size <= 10, F.concat_ws("/", F.lit(""), part("source"), part("doc_id"))).when(size <= 25, F.concat_ws("/", F.lit(""), part("source"), part("lang"), part("doc_id"))).otherwise(name)
-    files = docs.select(name.alias("path"), "text")
-    found = license_scan(files, F.regexp_count("text", F.lit(r"\S+")) <= 60)
-    return found.select(F.regexp_extract("path", "[^/]*$", 0).try_cast("long").alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), "how", "source_path")
+    number = F.col("doc_id").cast("long")
+    hundred, every = F.coalesce(F.floor(number / 100).cast("string"), F.lit("none")), lambda n: F.coalesce(number % n == 0, F.lit(False))
+    file = F.when(every(10), F.concat(F.lit("LICENSE-"), number.cast("string"))).otherwise(part("doc_id"))
+    folder = F.when(every(1000), F.concat_ws("/", F.lit(""), part("source"))).when(every(100), F.concat_ws("/", F.lit(""), part("source"), part("lang")))
+    folder = folder.otherwise(F.concat_ws("/", F.lit(""), part("source"), part("lang"), hundred))
+    files = docs.select(F.concat_ws("/", folder, file).alias("path"), "text")
+    found = license_scan(files, F.col("path").rlike("/LICENSE-[^/]*$"))
+    return found.select(F.regexp_extract("path", "([0-9]*)$", 1).try_cast("long").alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), "how", "source_path")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
