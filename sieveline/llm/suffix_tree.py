@@ -1,22 +1,25 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 The symbols are the frequent words (at least LEAST_WORD of all tokens, so at most 1 / LEAST_WORD of them), the end of a text,
-and one symbol for all rarer words, which are told apart by their own counts.  A context of up to ``depth`` symbols is a
-candidate if it makes up LEAST_CONTEXT of the tokens; it is retained if its next symbols diverge from what its longest retained
-suffix predicts by more than their number pays for (a minimum description length test on n times the Kullback-Leibler
-divergence).  Next-symbol distributions keep pairs of LEAST_PAIR of all tokens, two at least, are discounted, and give the rest
-of their mass to the suffix.  A position is scored in the longest suffix state that it reaches.
-
-The thresholds are shares, so that the tree that is sent to all tasks has a proven bound (1 / LEAST_PAIR pairs a level), while all
-that it is drawn from, the counts of every word and pair, is gathered from the whole corpus.  Rare words never travel to all
-tasks: the few tokens that they make up are joined with their counts.  They are no hot keys, since they are rare.
+and one symbol for all rarer words, which are told apart by their own counts.  A context is retained if its next symbols diverge
+from what its longest retained suffix predicts by more than their number pays for (a minimum description length test on n times
+the Kullback-Leibler divergence).  Next-symbol distributions keep pairs that occur twice at least, are discounted, and give the
+rest of their mass to the suffix.  A position is scored in the longest suffix state that it reaches.
+
+Contexts of up to ``depth`` symbols are candidates if they occur often; they make up the tree that is sent to all tasks.  What
+counts as often grows as the power GROWTH of the tokens, so that this tree gets richer with the input, by its power 1 - GROWTH,
+and still has a proven bound: least(n) times its pairs are no more than n tokens a level.  Every rare word that occurs is a
+context of its own, too, a refinement of the symbol of all rare words; these contexts are as many as the corpus has, so they
+never travel to all tasks: the tokens that follow rare words are dealt by the word, and counted, tested and scored there.  They
+are no hot keys, since the words are rare.
 
 Defined results: null and empty texts are their end alone; a null id counts as not held out; rows that repeat count and are
-scored each; an empty table gives an empty result; other columns are ignored.
+scored each; very long texts are laid out whole, one at a time; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,13 +31,17 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import cut, whole_texts
 
-LEAST_WORD, LEAST_CONTEXT, LEAST_PAIR = 1e-6, 2e-5, 5e-7
+LEAST_WORD = 1e-6
+#: How often a context and a pair of the tree occur in SCALE tokens at least; in others, by the power GROWTH of their number.
+LEAST_CONTEXT, LEAST_PAIR, SCALE, GROWTH = 1300, 32, 1 << 26, 2 / 3
 DEPTH, DISCOUNT = 3, 0.5
 RARE, END, BEGIN, FIRST = 0, 1, 2, 3
 #: Bits of a symbol in a key of several; 1 / LEAST_WORD symbols fit.
 BITS = 21
 #: Tokens, or distinct words, that a task counts before it passes them on.
 COUNTED, DISTINCT = 1 << 21, 250_000
+#: Rare tokens that a task holds beside those of one word.
+HELD = 200_000
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,23 +64,21 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _symbol_rows(frequent: list[str]):
     """Each text as symbols, with its rare words aside."""
-    schema = pa.schema([("row", pa.int64()), ("ids", pa.list_(pa.int32())), ("rare", pa.list_(pa.string()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.list_(pa.int32())), ("rare", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {w.encode(): i for i, w in enumerate(frequent, FIRST)}
         get = index.get
-        for batch in batches:
-            texts = whole_texts(batch)
-            for at in range(0, len(texts), 128):
-                ids, rare = [], []
-                for text in texts[at : at + 128]:
-                    words = text.lower().split()
-                    symbols = [get(w, RARE) for w in words]
-                    rare.append([w.decode() for w, s in zip(words, symbols, strict=True) if not s])
-                    symbols.append(END)
-                    ids.append(np.array(symbols, dtype=np.int32))
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 128), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids))), pa.array(rare, pa.list_(pa.string()))], schema=schema)
+        for batch in (x.slice(at, 128) for x in batches for at in range(0, x.num_rows, 128)):
+            ids, rare = [], []
+            for text in whole_texts(batch):
+                words = text.lower().split()
+                symbols = [get(w, RARE) for w in words]
+                rare.append([w.decode() for w, s in zip(words, symbols, strict=True) if not s])
+                symbols.append(END)
+                ids.append(np.array(symbols, dtype=np.int32))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids))), pa.array(rare, pa.list_(pa.string()))], schema=schema)
 
     return run
 
@@ -169,11 +174,18 @@ class Tree:
         return out + mass * self.root[symbol]
 
 
+def least(n: int, at_scale: float) -> int:
+    """How often something must occur in n tokens to be in the tree."""
+    return max(2, math.ceil(at_scale * (n / SCALE) ** GROWTH))
+
+
 def grow(symbols: DataFrame, root: np.ndarray, n: int, depth: int = DEPTH) -> Tree:
-    """Grow the tree level by level from the symbols (ids) of the training rows.  The driver holds what the shares bound."""
+    """Grow the tree level by level from the symbols (ids) of the training rows.  The driver holds what ``least`` bounds."""
+    if not 1 <= depth <= DEPTH:
+        raise ValueError(f"the depth is from 1 to {DEPTH}")
     tree = Tree(root, [], [], np.zeros(1, np.int64), np.ones(1), np.empty(0, np.int64), np.empty(0))
-    least, pair_least = max(2.0, n * LEAST_CONTEXT), max(2, int(np.ceil(n * LEAST_PAIR)))
-    candidates = np.flatnonzero(root * (n + 1) >= least).astype(np.int64)
+    context_least, pair_least = least(n, LEAST_CONTEXT), least(n, LEAST_PAIR)
+    candidates = np.flatnonzero(root * (n + 2) >= context_least).astype(np.int64)
     candidates = np.unique(np.concatenate([candidates[candidates != END], [BEGIN]]))
     for length in range(1, depth + 1):
         if not len(candidates):
@@ -212,8 +224,8 @@ def grow(symbols: DataFrame, root: np.ndarray, n: int, depth: int = DEPTH) -> Tr
             keys[order],
             np.concatenate([tree.shares, shares[mine]])[order],
         )
-        longer = (count >= least) & (symbol != END)
-        candidates = np.unique(candidates[at[longer]] << BITS | symbol[longer]) if length < 3 else np.empty(0, np.int64)
+        longer = (count >= context_least) & (symbol != END)
+        candidates = np.unique(candidates[at[longer]] << BITS | symbol[longer]) if length < depth else np.empty(0, np.int64)
     return tree
 
 
@@ -228,26 +240,107 @@ def _suffix_states(tree: Tree, keys: np.ndarray, length: int) -> np.ndarray:
 
 
 def _score_rows(tree: Tree, counts: np.ndarray):
-    """What the symbols of each row give: tokens, rare ones, log10 sums under the base (without its divisor) and the tree."""
-    schema = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("tree", pa.float64())])
+    """What the symbols of each row give: tokens, known ones, log10 sums under the base (without its divisor) and the tree, and
+    for each rare word the symbol that follows it with its probability under the tree."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("tree", pa.float64()), ("rare", pa.list_(pa.string())), ("next", pa.list_(pa.int32())), ("p", pa.list_(pa.float64()))])
     base = np.log10(counts + 1.0)
     base[RARE] = 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(a, 1000) for a in range(0, batch.num_rows, 1000)):
-                line, sizes = _laid(part, 1)
+                line, sizes = _laid(part, 3)
                 scored = line != BEGIN
-                log = np.zeros(len(line))
-                log[scored] = np.log10(tree.probability(tree.state(line, sizes)[scored], line[scored]))
+                p = np.ones(len(line))
+                p[scored] = tree.probability(tree.state(line, sizes)[scored], line[scored])
                 starts = np.cumsum(sizes) - sizes
                 add = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
                 known = add(((line != RARE) & scored & (counts[line] > 0)).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes - 1), pa.array(known), pa.array(add(np.where(scored, base[line], 0.0))), pa.array(add(log))], schema=schema)
+                after = np.flatnonzero(line == RARE) + 1  # a rare word is never the last symbol of its row
+                offsets = pa.array(np.concatenate([[0], np.cumsum(add((line == RARE).astype(np.int64)))]).astype(np.int32))
+                follow = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (line[after].astype(np.int32), p[after])]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sizes - 1), pa.array(known), pa.array(add(np.where(scored, base[line], 0.0))), pa.array(add(np.log10(p))), part.column(4), *follow], schema=schema)
 
     return run
 
 
+def _refined(total: np.ndarray, first: np.ndarray, pair: np.ndarray, train: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The probability at each row, of rows in the order of (word, next symbol).
+
+    ``total`` is each row's number of training rows of its word, ``first`` the start of each word, ``pair`` of each (word, next).
+    """
+    n = len(p)
+    sizes = np.diff([*pair, n])
+    word = np.searchsorted(first, pair, side="right") - 1  # of each pair
+    count = np.add.reduceat(train.astype(np.int64), pair)
+    of = total[pair]
+    expected = np.add.reduceat(p * train, pair) / np.maximum(count, 1)
+    kept = count >= 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.bincount(word, np.where(kept, count * np.log(count / np.maximum(of, 1) / np.maximum(expected, 1e-300)), 0.0), len(first))
+    rest = total[first] - np.bincount(word, np.where(kept, count, 0), len(first))
+    left_expected = np.maximum(1 - np.bincount(word, np.where(kept, expected, 0.0), len(first)), 1e-12)
+    gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / np.maximum(total[first], 1) / left_expected), 0.0)
+    width = np.bincount(word, kept, len(first))
+    retained = (width > 0) & (gain > 0.5 * width * np.log(np.maximum(total[first], 2)))
+    share = np.where(kept, (count - DISCOUNT) / np.maximum(of, 1), 0.0)
+    left = 1 - np.bincount(word, share, len(first))
+    return np.repeat(np.where(retained[word], share, 0.0), sizes) + np.repeat(np.where(retained[word], left[word], 1.0), sizes) * p
+
+
+def _rare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (word, next, row, train, p) in the order of (word, next): what the rare words of each row add.
+
+    A word's rows are held at a time; as it is rare, they are less than LEAST_WORD of the tokens.
+    """
+    schema = pa.schema([("row", pa.int64()), ("rare_known", pa.int64()), ("rare_base", pa.float64()), ("rare_tokens", pa.int64()), ("more", pa.float64())])
+
+    def out(rows: pa.RecordBatch) -> pa.RecordBatch:
+        new = lambda x: np.concatenate([[True], x[1:] != x[:-1]])
+        words = rows.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        follow, row, train, p = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5))
+        starts = new(words)
+        first, pair = np.flatnonzero(starts), np.flatnonzero(starts | new(follow))
+        sums = np.add.reduceat(train.astype(np.int64), first)
+        total = np.repeat(sums, np.diff([*first, len(p)]))
+        more = np.log10(_refined(total, first, pair, train, p)) - np.log10(p)
+        keys, at = np.unique(row, return_inverse=True)
+        add = lambda x: np.bincount(at, x, len(keys))
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(add(total > 0).astype(np.int64)), pa.array(add(np.log10(total + 1.0))), pa.array(add(np.ones(len(p))).astype(np.int64)), pa.array(add(more))], schema=schema)
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < HELD:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        words = whole.column(0)
+        last = words[len(words) - 1].as_py()
+        end = _first_of(words, last)
+        if end:
+            yield out(whole.slice(0, end))
+        held = [whole.slice(end)]
+        size = held[0].num_rows if end else 0  # a word of more than HELD rows waits for as many more
+    if held:
+        yield out(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def _first_of(words: pa.Array, word: str) -> int:
+    """Where the run of a word at the end of sorted words begins."""
+    low, high = 0, len(words)
+    while low < high:
+        mid = (low + high) // 2
+        if words[mid].as_py() == word:
+            high = mid
+        else:
+            low = mid + 1
+    return low
+
+
 def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % 7 == 2, F.lit(False))
@@ -255,8 +348,8 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     words = cut(rows.where("NOT held_out").select("text").mapInArrow(_word_rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "words")
     facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(facts.n), int(facts.v)
-    least = max(2, int(np.ceil(n * LEAST_WORD)))
-    top = words.where((F.col("n") >= least) & (F.col("word") != "")).orderBy(F.desc("n"), "word").toPandas()
+    often = max(2, math.ceil(n * LEAST_WORD))
+    top = words.where((F.col("n") >= often) & (F.col("word") != "")).orderBy(F.desc("n"), "word").toPandas()
     ends = (words.where("word = ''").first() or (None, 0))[1]
     counts = np.concatenate([[0, ends, 0], top.n.to_numpy(np.int64)]).astype(np.int64)
     rare_n, rare_v = n - int(counts.sum()), v - len(top) - (ends > 0)
@@ -265,39 +358,17 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     root[END] = (ends + 1) / (n + 2.0)
 
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    laid = rows.select("row", "text", "doc_id", "held_out")
-    symbols = cut(_with_ids(laid, top.word.tolist()), "symbols")
+    symbols = cut(rows.select("row", "doc_id", "held_out", "text").mapInArrow(_symbol_rows(top.word.tolist()), "row long, doc_id long, held_out boolean, ids array<int>, rare array<string>"), "symbols")
     tree = grow(symbols.where("NOT held_out").select("ids"), root, n, depth)
-    main = symbols.select("key", "ids").mapInArrow(_score_rows(tree, counts), "row long, n_tokens long, known long, base double, tree double")
-
-    rare = symbols.select("key", F.explode("rare").alias("word")).groupBy("key", "word").agg(F.count("*").alias("times"))
-    rare_words = words.where((F.col("n") < least) & (F.col("word") != "")).withColumnRenamed("word", "w")
-    joined = rare.join(rare_words, F.col("word") == F.col("w"), "left")
-    c = F.coalesce("n", F.lit(0))
-    of_row = joined.groupBy("key").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.log10(c + 1)).alias("rare_base"),
-        F.sum("times").alias("rare_tokens"),
-    )
-    out = symbols.select("key", "doc_id", "held_out").join(main, F.col("key") == F.col("row")).join(of_row.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left")
+    kinds = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, tree double, rare array<string>, next array<int>, p array<double>"
+    main = cut(symbols.mapInArrow(_score_rows(tree, counts), kinds), "scored")
+
+    rare = main.select("row", (~F.col("held_out")).alias("train"), F.explode(F.arrays_zip("rare", "next", "p")).alias("x")).select(F.col("x.rare").alias("word"), F.col("x.next").alias("next"), F.col("row").alias("of"), "train", F.col("x.p").alias("p"))
+    dealt = rare.repartition("word").sortWithinPartitions("word", "next")
+    sums = dealt.mapInArrow(_rare_rows, "of long, rare_known long, rare_base double, rare_tokens long, more double")
+    of_row = sums.groupBy("of").agg(*[F.sum(c).alias(c) for c in sums.columns[1:]])
+    out = main.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "tree").join(of_row, F.col("row") == F.col("of"), "left")
     zero = lambda x: F.coalesce(x, F.lit(0))
     base = F.col("base") + zero("rare_base") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
-    full = F.col("tree") + zero("rare_base") - zero("rare_tokens") * F.log10(F.lit(float(rare_n + rare_v + 1)))
+    full = F.col("tree") + zero("more") + zero("rare_base") - zero("rare_tokens") * F.log10(F.lit(float(rare_n + rare_v + 1)))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("rare_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), full.alias("score"))
-
-
-def _with_ids(laid: DataFrame, frequent: list[str]) -> DataFrame:
-    """doc_id, held_out, key, ids and rare of every row; the key is its number."""
-    packed = laid.select(F.col("row"), F.col("text"), F.col("doc_id"), F.col("held_out"))
-    inner = _symbol_rows(frequent)
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.list_(pa.int32())), ("rare", pa.list_(pa.string()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for part in inner(iter([batch])):
-                size = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), batch.column(2).slice(at, size), batch.column(3).slice(at, size), part.column(1), part.column(2)], schema=schema)
-                at += size
-
-    return packed.mapInArrow(run, "key long, doc_id long, held_out boolean, ids array<int>, rare array<string>")
