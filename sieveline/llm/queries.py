@@ -23,9 +23,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The secrets of every document, found once for each distinct text."""
-    found, _ = scan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return digest(found).withColumnRenamed("id", "doc_id")
+    """The secrets of every document, found once for each distinct text.
+
+    The documents come in two increments, as commits do: the second meets the ledger that the first has left in the shared
+    folder, so that texts which both hold are scanned in the first alone.
+    """
+    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    late = F.coalesce(F.crc32(F.col("id").cast("string")) % 2 == 1, F.lit(False))
+    early, ledger = scan(versions.where(~late))
+    rest, _ = scan(versions.where(late), ledger)
+    return digest(early.unionByName(rest)).withColumnRenamed("id", "doc_id")
 
 
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

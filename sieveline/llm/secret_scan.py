@@ -8,7 +8,8 @@ Matches are located without a UDF: the gaps between matches (``split``) and the
 alternate, so that running sums of their lengths are positions in code points.
 
 Defined results: a null text is an empty blob; rows with a null id are found like others; rows that repeat each get the
-findings; an empty table gives an empty result; other columns are ignored.
+findings; spans that start alike come in the order of the rules; very long texts are matched whole, in the JVM; an empty table
+gives an empty result, an empty ledger is like none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import cut
+from sieveline.llm.common import cut, looked_up
 
 
 @dataclass(frozen=True)
@@ -66,7 +67,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     ``versions`` has id and text; spans are arrays of struct<kind, start, end>, ends exclusive, in code points.
     """
     addressed = cut(blobs(versions), "blobs")
-    first = addressed.groupBy("blob").agg(F.min("id").alias("rep"))
+    first = addressed.groupBy("blob").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     wanted = [f"{r.kind}:{r.version}" for r in rules]
     if ledger is None:
         todo = first.withColumn("seen", F.array().cast("array<string>"))
@@ -77,8 +78,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     todo = cut(todo, "unseen")
 
     # one copy of each unseen blob: a text moves once, the hash tables hold the ids
-    texts = versions.select(F.col("id").cast("long").alias("id"), _text().alias("text"))
-    one = texts.join(todo.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rep"))).where(F.unhex(F.sha2("text", 256)) == F.col("blob"))
+    texts = versions.select(F.col("id").cast("long").alias("id"), F.unhex(F.sha2(_text(), 256)).alias("address"), _text().alias("text"))
+    one = texts.join(todo.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("address") == F.col("blob")))
     every = F.concat(*[_pieces(r, ~F.array_contains("seen", w)) for r, w in zip(rules, wanted, strict=True)])
     matches = one.select("blob", "rep", every.alias("m")).where(F.size("m") > 0).select("blob", F.explode("m").alias("m")).select("blob", "m.*").dropDuplicates(["blob", "kind", "at"])
     upto = Window.partitionBy("blob", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
@@ -98,8 +99,9 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     of_blob = flat.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("s"))).alias("s"))
     of_blob = of_blob.select("blob", F.transform("s", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    out = addressed.join(of_blob, "blob", "left").select("id", "blob", F.coalesce("spans", none).alias("spans"))
-    return out, fresh
+    every = first.join(of_blob, "blob", "left").select(F.col("blob").alias("b"), "copies", F.coalesce("spans", none).alias("spans"))
+    total = addressed.count()
+    return looked_up(addressed, every, [("blob", "b")], "copies", total).select("id", "blob", "spans"), fresh
 
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
