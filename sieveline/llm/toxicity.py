@@ -12,8 +12,9 @@ of all that the driver holds; identical texts count once.  A lexicon may be give
 are scored whole, on the executors, without a shuffle.
 
 Defined results: null and empty texts have no hits and get the score of a text without any; rows without an id are scored and
-never trained on; without labels of both kinds the score rests on the given lexicon, or is the share of label 1; an empty table
-gives an empty result; other columns are ignored.
+never trained on; without labels of both kinds the score rests on the given lexicon, or is the share of label 1; of entries with
+equal edits the first counts; rows that repeat get the same score; very long texts are scored whole, word by word; an empty table
+gives an empty result; other columns are ignored or carried.
 """
 
 from __future__ import annotations
@@ -33,8 +34,6 @@ from sieveline.llm.common import cut, whole_texts
 
 #: Most labelled rows that are learned from.
 SAMPLE = 20_000
-#: Most candidates for the lexicon that a first pass over the sample leaves.
-CANDIDATES = 4096
 STEMS = (3, 4, 5, 6)
 #: A candidate must be this much likelier in label 1 (a G statistic; the second is for what is not covered yet).
 G_FIRST, G_LEFT = 12.0, 14.0
@@ -238,7 +237,11 @@ def _chosen(rows: DataFrame, n1: int, n0: int) -> list[tuple[str, bool]]:
     counts = rows.mapInArrow(_count_rows, "term string, ones long, rows long").groupBy("term").agg(F.sum("ones").alias("a"), F.sum("rows").alias("r"))
     p = n1 / (n1 + n0)
     top = counts.where((F.col("a") >= 3) & (F.col("a") > F.col("r") * (p + 0.4 * (1 - p)))).withColumn("score", F.col("a") * F.col("a") / F.col("r"))
-    top = top.orderBy(F.desc("score"), F.length("term"), "term").limit(CANDIDATES).toPandas()
+    # the sample bounds how many terms there are; most go by the first test, where they are counted
+    g = lambda x, n: F.when(x > 0, x * F.log(x / n)).otherwise(0.0)
+    a, b, r = F.col("a").cast("double"), (F.col("r") - F.col("a")).cast("double"), F.col("r") / (n1 + n0)
+    top = top.where(2 * (g(a, n1 * r) + g(b, n0 * r) + g(n1 - a, n1 * (1 - r)) + g(n0 - b, n0 * (1 - r))) >= G_FIRST - 0.01)
+    top = top.orderBy(F.desc("score"), F.length("term"), "term").toPandas()
     top = top[_g(top.a, top.r - top.a, n1, n0) >= G_FIRST]
     terms = top.term.tolist()
     if not terms:

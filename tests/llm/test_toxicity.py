@@ -1,8 +1,9 @@
+import math
 import random
 
 import pytest
 
-from sieveline.llm.toxicity import Automaton, Lexicon, edits, keep_clean, toxicity
+from sieveline.llm.toxicity import Automaton, Lexicon, edits, keep_clean, learn, toxicity, training_rows
 
 DOCS = "doc_id long, text string, toxic int, score string"
 LABELS = "doc_id long, toxic int"
@@ -42,6 +43,41 @@ def test_quotation_counts_less_than_abuse():
     assert a.evidence("IDIOT!!! idi0t") > plain > a.evidence("nothing here") == 0
 
 
+STRIP = " \t\n\r\x0b\x0c.,;:!?*#$%&()[]{}<>/\\|~^_+=-'\"`´‘’“”„«»…¡¿"
+REPORTING = "said says say called calls wrote writes quote quoted quotes word term insult slur".split()
+ADDRESS = "you your youre u ya du dich dein ihr tu toi vous usted ustedes".split()
+
+
+def slow_evidence(text, lexicon):
+    """The summed weight of a text, word by word and entry by entry, by the full table of distances."""
+    words, best = (text or "").lower().split(), {}
+    for i, raw in enumerate(words):
+        word, hit = raw.strip(STRIP), None
+        for at, (letters, stem, _) in enumerate(lexicon.entries):
+            d = min(distance(letters, word[:k]) for k in range(len(word) + 1)) if stem else distance(letters, word)
+            if d <= edits(len(letters), stem) and (hit is None or (d, at) < hit):
+                hit = (d, at)
+        if hit is None or (hit[0] and word in lexicon.guards):
+            continue
+        before, after = words[max(0, i - 4) : i], words[i + 1 : i + 5]
+        near = {w.strip(STRIP) for w in before + after}
+        quotes = set('"“”„«»')
+        head = raw[: len(raw) - len(raw.lstrip(STRIP))]
+        opened = bool(quotes & set(head)) or any(w[:1] in quotes for w in before)
+        closed = any(quotes & set(w[-2:]) for w in (raw, *after))
+        factor = 0.25 if (opened and closed) or near & set(REPORTING) else 1.5 if near & set(ADDRESS) else 1.0
+        best[word] = max(best.get(word, 0.0), lexicon.entries[hit[1]][2] * 0.6 ** hit[0] * factor)
+    return sum(best.values())
+
+
+def test_score_against_brute_force(spark, tables):
+    docs, labels = tables
+    lexicon, slope, intercept = learn(training_rows(docs, labels))
+    assert lexicon.entries and slope > 0
+    want = [(str(r.doc_id), round(1 / (1 + math.exp(-(slope * min(slow_evidence(r.text, lexicon), 40.0) + intercept))), 9)) for r in docs.collect()]
+    assert sorted((str(r.doc_id), round(r.score, 9)) for r in toxicity(docs, labels).collect()) == sorted(want)
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     rng = random.Random(1)
