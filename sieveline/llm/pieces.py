@@ -227,6 +227,29 @@ def decode(ids: list[int], vocabulary: Vocabulary) -> str:
     return decode_marked(ids, vocabulary).replace(SPACE, " ")[1:]
 
 
+def count_long(word: str, vocabulary: Vocabulary) -> int:
+    """The number of tokens of one stretch's best path, in memory bounded by the longest piece: counts go along with scores."""
+    trie, ids, keep = vocabulary.trie, vocabulary.ids, vocabulary.longest + 1
+    score, tokens = [0.0] * keep, [0] * keep  # of the last positions, by their number modulo keep
+    walk: list[tuple[int, dict]] = []
+    for end, c in enumerate(word, 1):
+        on, best, count = [], -math.inf, 0
+        for a, node in (*walk, (end - 1, trie)):
+            child = node.get(c)
+            if child is not None:
+                s = child.get("")
+                if s is not None and score[a % keep] + s > best:
+                    best, count = score[a % keep] + s, tokens[a % keep] + 1
+                on.append((a, child))
+        before = (end - 1) % keep
+        if best < score[before]:
+            size = len(c.encode("utf-8", "surrogatepass"))
+            if score[before] + BYTE_SCORE * size > best:
+                best, count = score[before] + BYTE_SCORE * size, tokens[before] + (1 if c in ids else size)
+        score[end % keep], tokens[end % keep], walk = best, count, on
+    return tokens[len(word) % keep]
+
+
 def counts(words: list[str], vocabulary: Vocabulary) -> dict[str, int]:
     """The number of tokens of each word's best path, by one pass over the words in order.
 

@@ -6,9 +6,12 @@ mark of a space; stretches between such marks are therefore encoded one by one a
 task.  A mark that is in the text itself decodes to a space, as the format has no other sign for either: such texts are the
 only ones that do not come back as they were, and ``round_trip`` says so.
 
-Token counts insert a batch's distinct stretches in a trie, in the order of a walk, and compute scores once per shared prefix.
+Token counts insert a batch's distinct stretches in a trie, in the order of a walk, and compute scores once per shared prefix;
+a stretch of more than LONGEST_REMEMBERED characters, with which hardly any shares one, is counted in a window of its own.
 
-Defined results: null and empty texts have no ids and count 0; rows that repeat get the same; other columns are ignored.
+Defined results: null and empty texts have no ids and count 0; of paths of equal score the one whose last piece is longest is
+taken; very long texts, also without a space, need memory for the text itself, its ids and a window of the longest piece; rows
+that repeat get the same; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import whole_texts
-from sieveline.llm.pieces import SPACE, Vocabulary, counts, decode, decode_marked, encode_marked, load, marked, segments, unbridged
+from sieveline.llm.pieces import SPACE, Vocabulary, count_long, counts, decode, decode_marked, encode_marked, load, marked, segments, unbridged
 
 REMEMBERED = 400_000
 #: A stretch of more characters is not remembered.
@@ -113,12 +116,12 @@ def _count_rows(vocabulary: Vocabulary):
             texts = whole_texts(batch)
             for at in range(0, len(texts), 256):
                 parts = [_stretches(t.decode("utf-8"), vocabulary) for t in texts[at : at + 256]]
-                new = {w for p in parts for w in p if w not in memory}
+                short = {w for p in parts for w in p if len(w) <= LONGEST_REMEMBERED}
+                new = short - memory.keys()
                 if len(memory) + len(new) > REMEMBERED:
-                    memory = {}
-                    new = {w for p in parts for w in p}
+                    memory, new = {}, short
                 memory.update(counts(list(new), vocabulary))
-                get = memory.__getitem__
+                get = lambda w: memory[w] if len(w) <= LONGEST_REMEMBERED else count_long(w, vocabulary)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([keys.slice(at, 256), pa.array([len(p) for p in parts], pa.int64()), pa.array([sum(map(get, p)) for p in parts], pa.int64())], schema=schema)
 
     return run

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from sieveline.llm.pieces import BYTE_SCORE, SPACE, Stream, counts, decode, encode_marked, load, marked, segments
+from sieveline.llm.pieces import BYTE_SCORE, SPACE, Stream, count_long, counts, decode, default_path, encode_marked, load, marked, segments
 from sieveline.llm.tokenise import decoded, encode, token_counts
 
 SCHEMA = "doc_id long, text string, ids string, n_tokens int"
@@ -43,6 +43,55 @@ def test_stream_reaches_the_best_score(vocabulary):
         assert len(ids) == 0 or sum(counts([text], vocabulary).values()) == len(ids)
 
 
+def test_long_stretches_are_counted_as_in_the_trie(vocabulary):
+    rng = random.Random(4)
+    words = ["".join(rng.choice(["t", "h", "in", "g", "tion", "é", "語", "x", "aaa"]) for _ in range(n)) for n in (1, 2, 5, 17, 60, 300)]
+    assert {w: count_long(w, vocabulary) for w in words} == counts(words, vocabulary)
+    assert count_long("ab" * 200_000, vocabulary) == len(encode_marked("ab" * 200_000, vocabulary))
+
+
+def unigram(vocabulary, path):
+    """A unigram model file with the pieces and scores of the vocabulary: nothing is trained."""
+    proto = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    import sentencepiece
+
+    model = proto.ModelProto()
+    given = sentencepiece.SentencePieceProcessor(model_file=default_path())
+    for i in range(given.get_piece_size()):
+        name = given.id_to_piece(i)
+        kind = 6 if given.is_byte(i) else 2 if given.is_unknown(i) else 3 if given.is_control(i) else 1
+        model.pieces.add(piece=name, score=vocabulary.scores.get(name, 0.0), type=kind)
+    model.trainer_spec.model_type = 1
+    model.trainer_spec.byte_fallback = True
+    model.trainer_spec.vocab_size = len(model.pieces)
+    model.normalizer_spec.name = "identity"
+    model.normalizer_spec.add_dummy_prefix = True
+    model.normalizer_spec.remove_extra_whitespaces = False
+    model.normalizer_spec.escape_whitespaces = True
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    return sentencepiece.SentencePieceProcessor(model_file=str(path))
+
+
+def test_ids_are_those_of_the_library(spark, vocabulary, tmp_path):
+    """The public library, given the same pieces and scores as a unigram model, makes the same ids."""
+    library = unigram(vocabulary, tmp_path / "unigram.model")
+    texts = [t for (t,) in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts += [t for t in TEXTS if t and "\u0000" not in t]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in encode(df).collect()}
+    counted = {r.doc_id: r.n_tokens for r in token_counts(df).collect()}
+    same = 0
+    for i, text in enumerate(texts):
+        ids = library.encode(text)
+        same += ids == got[i]
+        # of paths of equal score either may be taken
+        total = lambda x: sum(0.0 if vocabulary.texts.get(k) is None else vocabulary.scores[vocabulary.texts[k]] for k in x)
+        assert ids == got[i] or math.isclose(total(ids), total(got[i]), rel_tol=1e-5)
+        assert counted[i] == len(got[i])
+    assert same >= 0.95 * len(texts)  # the others are ties
+
+
 def test_window_stays_bounded(vocabulary):
     finder = vocabulary.finder()
     stream, most = Stream(vocabulary, finder), 0
