@@ -1,14 +1,15 @@
-"""What the operators share: table access and the cutting of lineage."""
+"""What the operators share: table access, the cutting of lineage, joins on hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.scratch import cut, fresh, new_folder, numbered, shared_dir
+
+__all__ = ["MOST_LARGE", "SPACES", "cut", "drop_cut", "fresh", "looked_up", "new_folder", "numbered", "row_hash", "shared_dir", "table", "whole_texts"]
+
 #: Hot keys that are sent to all tasks, at most.
 MOST_LARGE = 50_000
 #: The six white-space bytes of the contracts: space and 0x09 to 0x0D.
@@ -20,40 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where it is unset, as in local tests, a folder of this machine is set for the session.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        path = "file://" + tempfile.mkdtemp(prefix="sieveline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that the application deletes when it ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
-
-def cut(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends here.
-
-    A table, not ``checkpoint()``, since the latter computes its input twice.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table that ``cut`` wrote and that nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm
@@ -62,23 +29,6 @@ def drop_cut(df: DataFrame) -> None:
         place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """``name``, or a longer one that no column of ``df`` has."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def numbered(df: DataFrame, name: str = "row") -> tuple[DataFrame, str]:
-    """``df``, written once, with a number for each row in a column of a new name.
-
-    Decisions are joined back by this number, never by an id of the data, which may be null or repeat.
-    """
-    name = fresh(df, name)
-    return cut(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
-
-
 def looked_up(rows: DataFrame, table: DataFrame, on: list[tuple[str, str]], n: str, total: int, least: int = 4096) -> DataFrame:
     """``rows`` joined with ``table``, which has one row for each key and in ``n`` how many of the ``total`` rows have that key.
 
