@@ -190,6 +190,16 @@ def tag_tokens(c: Column, spaces: bool = False) -> Column:
     return F.transform(token_texts(_text(c), spaces), lambda t: F.struct(t.alias("text"), script_of(t).alias("script")))
 
 
+def normalize_and_tag(c: Column, options: NormalizeOptions = NormalizeOptions(), spaces: bool = False) -> Column:
+    """struct<clean, tokens> of a text: normalised, then cut by script."""
+    return F.transform(F.array(normalize(c, options)), lambda t: F.struct(t.alias("clean"), tag_tokens(t, spaces).alias("tokens")))[0]
+
+
+def pool_text(c: Column) -> Column:
+    """The form in which texts of a pool are compared: normalised, in lower case."""
+    return F.lower(normalize(c))
+
+
 def surface_script(surface: Column) -> Column:
     """The script that a surface is matched by: its own if it is one run, else Tamil before Latin, else symbols."""
     found = token_texts(surface)

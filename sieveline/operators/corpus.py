@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.functions.text import FOREIGN_SCRIPTS, TAMIL_BLOCK, dedup_key, stop_word_hits, strip
+from sieveline.functions.text import FOREIGN_SCRIPTS, TAMIL_BLOCK, dedup_key, embedding_tokens, normalize, stop_word_hits, strip
+from sieveline.scratch import fresh, numbered, small
 
 #: Labels of offensive rows (fixed values).
 OFFENSIVE_LABELS = (
@@ -71,21 +72,41 @@ def quotas(rows: DataFrame, stratum: str, n: int) -> DataFrame:
     return share.select(stratum, "size", F.when(F.col("total") <= n, F.col("size")).otherwise(F.least("quota", "size")).alias("quota"))
 
 
+def first_drawn(rows: DataFrame, plan: DataFrame, stratum: str, key: str, chosen: str, seed: int = SEED) -> DataFrame:
+    """``rows`` with a column ``chosen``: whether a row is among the first of its stratum, by the quota of ``plan`` (stratum, quota).
+
+    Draws are counted in buckets of their first digits.  Rows of buckets before the one that the quota falls in are chosen as
+    they are; only that bucket's rows are put in order, so that no task orders a stratum.
+    """
+    names = {c: fresh(rows, c) for c in ("bucket", "of", "cut", "need", "rank")}
+    bucket = F.col(names["bucket"])
+    rows = rows.withColumn(names["bucket"], F.substring(draw(key, seed=seed), 1, 4))
+    counts = rows.groupBy(F.col(stratum).alias("s"), bucket.alias("b")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    sums = counts.withColumn("sum", F.sum("n").over(upto)).join(plan.select(F.col(stratum).alias("t"), "quota"), F.col("s").eqNullSafe(F.col("t")))
+    at = sums.where("sum >= quota").groupBy("s").agg(F.min(F.struct("b", (F.col("quota") - F.col("sum") + F.col("n")).alias("need"))).alias("x"))
+    at = at.select(F.col("s").alias(names["of"]), F.col("x.b").alias(names["cut"]), F.col("x.need").alias(names["need"]))
+    placed = rows.join(small(at), F.col(stratum).eqNullSafe(F.col(names["of"])), "left")
+    split = bucket == F.col(names["cut"])
+    order = Window.partitionBy(stratum).orderBy(draw(key, seed=seed), key)
+    inside = placed.where(split).withColumn(names["rank"], F.row_number().over(order)).withColumn(chosen, F.col(names["rank"]) <= F.col(names["need"])).drop(names["rank"])
+    outside = placed.where(~split | F.col(names["cut"]).isNull()).withColumn(chosen, F.coalesce(bucket < F.col(names["cut"]), F.lit(False)))
+    return outside.unionByName(inside).drop(*[names[c] for c in ("bucket", "of", "cut", "need")])
+
+
 def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int = SEED) -> DataFrame:
     """Exactly n rows (all, if fewer) by stratum, in a seeded order; small strata are topped up from the rest."""
-    plan = quotas(rows, stratum, n)
-    order = Window.partitionBy(stratum).orderBy(draw(key, seed=seed), key)
-    ranked = rows.join(F.broadcast(plan), stratum).withColumn("__r", F.row_number().over(order))
+    chosen = fresh(rows, "chosen")
+    drawn = first_drawn(rows, quotas(rows, stratum, n), stratum, key, chosen, seed)
     # chosen rows first, then the others: one cut at n gives the quota and the top-up
-    first = ranked.withColumn("__out", (F.col("__r") > F.col("quota")).cast("int")).orderBy("__out", draw(key, seed=seed), key).limit(n)
-    return first.drop("__r", "__out", "size", "quota")
+    return drawn.orderBy(F.desc(chosen), draw(key, seed=seed), key).limit(n).drop(chosen)
 
 
 def stratified_split(rows: DataFrame, stratum: str, key: str, seed: int = SEED) -> DataFrame:
     """A column ``split``: the first half of each stratum, in a seeded order, is dev, the rest test."""
-    w = Window.partitionBy(stratum)
-    rank = F.row_number().over(w.orderBy(draw(key, seed=seed), key))
-    return rows.withColumn("split", F.when(rank * 2 <= F.count("*").over(w), "dev").otherwise("test"))
+    chosen = fresh(rows, "chosen")
+    half = rows.groupBy(stratum).agg(F.floor(F.count("*") / 2).alias("quota"))
+    return first_drawn(rows, half, stratum, key, chosen, seed).withColumn("split", F.when(F.col(chosen), "dev").otherwise("test")).drop(chosen)
 
 
 def train_split(weak: DataFrame, gold: DataFrame, key: str) -> DataFrame:
@@ -120,3 +141,40 @@ def leak_report(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """One row: how many keys of either side, and how many are on both."""
     both = left.select(key).intersect(right.select(key))
     return left.agg(F.countDistinct(key).alias("left_ids")).crossJoin(right.agg(F.countDistinct(key).alias("right_ids"))).crossJoin(both.agg(F.count("*").alias("shared")))
+
+
+def pool_status(rows: DataFrame, text: str, order: list[Column]) -> DataFrame:
+    """``rows`` with clean, the normalised lower-case text, and status: empty, duplicate (of an earlier row), untrainable or kept."""
+    clean = F.lower(normalize(F.col(text)))
+    made = rows.withColumn("clean", F.explode(F.array(clean)))
+    trainable = F.size(embedding_tokens(F.col("clean"))) > 0
+    marked, row = numbered(made.withColumn("status", F.when(F.col("clean") == "", "empty").when(~trainable, "untrainable")))
+    # what is no candidate is known by itself; of equal texts the first row in order is kept, found without ordering a group
+    first = fresh(marked, "first")
+    kept = marked.where("status IS NULL").groupBy("clean").agg(F.min_by(row, F.struct(*order, F.col(row))).alias(first)).select(first)
+    out = marked.join(kept, F.col(row) == F.col(first), "left")
+    return out.withColumn("status", F.coalesce("status", F.when(F.col(first).isNull(), "duplicate").otherwise("kept"))).drop(row, first)
+
+
+def pool_statistics(status: DataFrame) -> DataFrame:
+    """One row: how many texts there are, how many of each status, and the tokens of those that are kept."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    tokens = F.sum(F.when(F.col("status") == "kept", F.size(embedding_tokens(F.col("clean")))).otherwise(0)).alias("tokens")
+    return status.agg(F.count("*").alias("raw"), n("empty"), n("duplicate"), n("untrainable"), n("kept"), tokens)
+
+
+def constant_rows(texts: DataFrame, text: str, **constants) -> DataFrame:
+    """Rows of generated sentences: the text and the same values beside each."""
+    return texts.select(text, *[F.lit(v).alias(c) for c, v in constants.items()])
+
+
+def attach_ids(rows: DataFrame, ids: DataFrame, key: str, id_: str) -> DataFrame:
+    """The rows whose key has an id, with it; keys that have none are left out."""
+    return rows.join(small(ids.select(key, id_)), key)
+
+
+def checked(report: DataFrame, *rules: Column) -> DataFrame:
+    """A one-row report, or an error that names the rule that it breaks."""
+    for rule in rules:
+        report = report.where(F.when(rule, F.lit(True)).otherwise(F.raise_error(F.lit(f"a check failed: {rule._jc.toString()}")).cast("boolean")))
+    return report

@@ -36,7 +36,7 @@ def viterbi(start: Column, transitions: Column, end: Column, emissions: Column)
     return F.when(F.coalesce(F.size(emissions), F.lit(0)) == 0, F.array().cast("array<int>")).otherwise(F.aggregate(_steps(emissions), first, step, finish))
 
 
-def _decoded(start: np.ndarray, transitions: np.ndarray, end: np.ndarray, sizes: np.ndarray, em: np.ndarray) -> np.ndarray:
+def decoded(start: np.ndarray, transitions: np.ndarray, end: np.ndarray, sizes: np.ndarray, em: np.ndarray) -> np.ndarray:
     """The tags of sequences that lie one after another in ``em``, step by step over all that are still long enough."""
     order = np.argsort(-sizes, kind="stable")
     order = order[sizes[order] > 0]
@@ -72,7 +72,7 @@ def paths(rows: DataFrame, start: Sequence[float], transitions: Sequence[Sequenc
             sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             em = lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(start))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            found = pa.ListArray.from_arrays(offsets, pa.array(_decoded(*fixed, sizes, em), pa.int32()))
+            found = pa.ListArray.from_arrays(offsets, pa.array(decoded(*fixed, sizes, em), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "path"])
 
     kind = dict(rows.dtypes)["doc_id"]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.scratch import ranked
+
+#: Tags (fixed values).
 TAGS = ("O", "B-ABUSE", "I-ABUSE")
 
 
@@ -69,19 +72,88 @@ def class_weights(counts: DataFrame, tags: tuple[str, ...] = TAGS, most: float =
 
 
 def vocabulary_ids(tokens: DataFrame, token: str, first: list[str], least: int = 1, most: int | None = None, offset: int = 2) -> DataFrame:
-    """(token, n, id): by falling count, then by first place; ids start after the special ones.
-
-    The cut to ``most`` words comes before ids are given, so that the one ordered task holds a vocabulary, not tokens.
-    """
+    """(token, n, id): by falling count, then by first place; ids start after the special ones."""
     place = F.min(F.struct(*first)).alias("first")
     counts = tokens.groupBy(F.col(token).alias("token")).agg(F.count("*").alias("n"), place).where(F.col("n") >= least)
     order = [F.desc("n"), F.col("first")]
     if most is not None:
         counts = counts.orderBy(*order).limit(most)
-    return counts.withColumn("id", F.row_number().over(Window.orderBy(*order)) + offset - 1).select("token", "n", "id")
+    return ranked(counts, order, "id").select("token", "n", (F.col("id") + offset - 1).alias("id"))
 
 
 def error_rows(rows: DataFrame, limit: int = 20) -> DataFrame:
     """False positives, those of profane or sexual context first."""
     ranked = rows.where("gold = 'O' AND pred != 'O'").withColumn("context_rank", F.col("category").isin("profanity", "sexual").cast("int"))
     return ranked.orderBy(F.desc("context_rank"), F.desc("kind"), "token", "doc_id", "pos").limit(limit)
+
+
+def missed_rows(rows: DataFrame, order: list[str], variants_only: bool = True, limit: int = 20) -> DataFrame:
+    """False negatives in the order of the text, by default only those that are spelling variants of the lexicon."""
+    missed = rows.where("gold != 'O' AND pred = 'O'")
+    return (missed.where("kind = 'variant'") if variants_only else missed).orderBy(*order).limit(limit)
+
+
+def error_counts(rows: DataFrame) -> DataFrame:
+    """One row: false negatives, those of spelling variants, and false positives."""
+    fn, fp = (F.col("gold") != "O") & (F.col("pred") == "O"), (F.col("gold") == "O") & (F.col("pred") != "O")
+    return rows.agg(F.count_if(fn).alias("fn"), F.count_if(fn & (F.col("kind") == "variant")).alias("variant_fn"), F.count_if(fp).alias("fp"))
+
+
+def top_error_tokens(rows: DataFrame, error: str, limit: int = 20) -> DataFrame:
+    """(token, n) of the commonest tokens of an error: fn (variants only) or fp."""
+    where = "gold != 'O' AND pred = 'O' AND kind = 'variant'" if error == "fn" else "gold = 'O' AND pred != 'O'"
+    counts = rows.where(where).groupBy(F.lower("token").alias("token")).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "token").limit(limit)
+
+
+def deltas(model: DataFrame, baseline: DataFrame) -> DataFrame:
+    """What a model adds to a baseline: precision, recall and f1 of two one-row results, less one another."""
+    names = ("precision", "recall", "f1")
+    one = lambda d, k: d.limit(1).select(F.lit(0).alias("one"), *[F.col(c).alias(f"{k}_{c}") for c in names])
+    both = one(model, "model").join(F.broadcast(one(baseline, "baseline")), "one")
+    return both.select(*[(F.col(f"model_{c}") - F.col(f"baseline_{c}")).alias(f"{c}_delta") for c in names])
+
+
+def verdict_totals(rows: DataFrame) -> DataFrame:
+    """One row: how many verdicts are safe and how many unsafe."""
+    return rows.agg(F.count_if("safe").alias("n_safe"), F.count_if(~F.col("safe")).alias("n_unsafe"))
+
+
+def with_best_so_far(log: DataFrame, order: str, metric: str, run: str | None = None) -> DataFrame:
+    """An epoch log with the best value so far and how many epochs it has been stale: what early stopping reads.
+
+    A log is read run by run, in the order of its epochs.
+    """
+    w = Window.partitionBy(*([run] if run else [])).orderBy(order)
+    before = F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    better = before.isNull() | (F.col(metric) > before)
+    marked = log.withColumn("best", F.greatest(F.coalesce(before, F.col(metric)), F.col(metric))).withColumn("at", F.row_number().over(w))
+    marked = marked.withColumn("improved", F.when(better, F.col("at")))
+    last = F.max("improved").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("stale", F.col("at") - last).drop("at", "improved")
+
+
+def report(model: DataFrame, baseline: DataFrame, key: str, title: str = "Gold test evaluation") -> str:
+    """A Markdown report of two systems' tags over the same tokens (gold, pred, kind, category and the key of the sentence).
+
+    Aggregates alone come to the driver: classes, pooled and by sentence, what the model adds, and its commonest errors.
+    """
+    pct = lambda x: f"{100 * x:.2f}%"
+    lines = [f"# {title}", ""]
+    abuse, sentences = {}, {}
+    for name, rows in (("Model", model), ("Lexicon baseline", baseline)):
+        abuse[name], sentences[name] = abuse_metrics(rows).first(), sentence_metrics(rows, key).first()
+        lines += [f"## {name}", "", "| class | precision | recall | f1 | support |", "|---|---:|---:|---:|---:|"]
+        of = {r.label: r for r in token_metrics(rows).collect()}
+        lines += [f"| {t} | {pct(of[t].precision)} | {pct(of[t].recall)} | {pct(of[t].f1)} | {of[t].support} |" for t in TAGS]
+        a, s = abuse[name], sentences[name]
+        lines += [f"| abuse, pooled | {pct(a.precision)} | {pct(a.recall)} | {pct(a.f1)} | {a.tp + a.fn} |", ""]
+        lines += [f"Unsafe sentences: precision {pct(s.precision)}, recall {pct(s.recall)}, f1 {pct(s.f1)}, {s.tp + s.fn} unsafe, {s.fp + s.tn} safe.", ""]
+    for what, by in (("Pooled abuse f1", abuse), ("Unsafe sentence f1", sentences)):
+        lines.append(f"- {what}: {pct(by['Model'].f1 - by['Lexicon baseline'].f1)} more ({pct(by['Model'].f1)} against {pct(by['Lexicon baseline'].f1)})")
+    e = error_counts(model).first()
+    lines += ["", "## Errors of the model", "", f"- {e.fn} false negatives, {e.variant_fn} of them spelling variants; {e.fp} false positives.", ""]
+    for head, error in (("Missed spelling variants", "fn"), ("False positives", "fp")):
+        found = top_error_tokens(model, error).collect()
+        lines += [f"### {head}", "", ", ".join(f"`{r.token}`: {r.n}" for r in found) or "None.", ""]
+    return "\n".join(lines)

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import surface_script
+from sieveline.scratch import BROADCAST, small
 from sieveline.sources.lexicon import exact_surfaces, phrase_surfaces
 
-BROADCAST = 100_000
 #: Romanised suffixes in the order in which they are tried (fixed values).
 LATIN_SUFFIXES = (
     "ingala", "unga", "kinga", "inga",
@@ -39,12 +39,6 @@ SENSITIVITIES = ("standard", "strict", "maximum")
 _MATCH = "canon", "category", "severity"
 
 
-def small(lexicon: DataFrame) -> DataFrame:
-    """The surfaces as a local table to broadcast if their count allows it, so that they are computed once."""
-    rows = lexicon.limit(BROADCAST + 1).collect()
-    return F.broadcast(lexicon.sparkSession.createDataFrame(rows, lexicon.schema)) if len(rows) <= BROADCAST else lexicon
-
-
 def _found(df: DataFrame, stage: int, kind: str, rank="0") -> DataFrame:
     return df.select("word", "script", F.lit(stage).alias("stage"), F.expr(rank).cast("int").alias("rank"), "ord", *_MATCH, F.lit(kind).alias("match_type"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import common_prefix, dominant_script, edit_threshold, vocabulary_words
+from sieveline.scratch import small
 
 
 def term_frequencies(rows: DataFrame, text: str, offensive: str) -> DataFrame:
@@ -34,11 +35,11 @@ def claimed(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
     manual = seeds.select(F.col("ord").alias("seed_ord"), "canon", F.posexplode("variants").alias("k", "variant"))
     found = candidates.select("seed_ord", "canon", (-F.col("off")).alias("k"), "variant").withColumn("late", F.lit(1))
     all_ = manual.withColumn("late", F.lit(0)).unionByName(found).withColumn("key", F.lower("variant"))
-    all_ = all_.join(F.broadcast(seeds.select(F.lower("canon").alias("key"))), "key", "left_anti")
+    all_ = all_.join(small(seeds.select(F.lower("canon").alias("key"))), "key", "left_anti")
     first = Window.partitionBy("key").orderBy("seed_ord", "late", "k", "variant")
     return all_.withColumn("n", F.row_number().over(first)).where("n = 1").select("canon", "variant")
 
 
 def merged_seeds(found: DataFrame, manual: DataFrame) -> DataFrame:
     """Found seeds whose canonical form is not a manual one, then all manual seeds."""
-    return found.join(F.broadcast(manual.select("canon")), "canon", "left_anti").withColumn("part", F.lit(0)).unionByName(manual.withColumn("part", F.lit(1)))
+    return found.join(small(manual.select("canon")), "canon", "left_anti").withColumn("part", F.lit(0)).unionByName(manual.withColumn("part", F.lit(1)))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from sieveline.functions.text import FRENCH_STOP_WORDS, LEET_DIGITS, LEET_SYMBOLS
+from sieveline.functions.text import FOREIGN_SCRIPTS, FRENCH_STOP_WORDS, LEET_DIGITS, LEET_SYMBOLS
 from sieveline.operators.corpus import SEED
+from sieveline.operators.heuristic import DEMO as HEURISTIC
 from sieveline.operators.matching import INNOCENT, LATIN_SUFFIXES
 from sieveline.operators.redact import FALLBACK, POLITE
 from sieveline.sources.lexicon import DEMO, sql_values
@@ -83,7 +84,7 @@ _KEY0 = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 _KEY = rf"trim(regexp_replace(regexp_replace({_collapsed('k')}, '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
 _STOP = "[" + ", ".join(f"'{w}'" for w in FRENCH_STOP_WORDS) + "]"
 _FRENCH = rf"len(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nl}}\p{{No}}]+'), lambda w: list_contains({_STOP}, w)))"
-_FOREIGN = r"[\x{0900}-\x{097F}\x{0980}-\x{09FF}\x{0A00}-\x{0A7F}\x{0A80}-\x{0AFF}\x{0B00}-\x{0B7F}\x{0C00}-\x{0C7F}\x{0C80}-\x{0CFF}\x{0D00}-\x{0D7F}\x{0600}-\x{06FF}\x{0E00}-\x{0E7F}]"
+_FOREIGN = FOREIGN_SCRIPTS
 _LATIN_WORDS = f"SELECT DISTINCT lower(token) AS word FROM tok WHERE {_script('token')} = 'LATIN'"
 _POLITE_IN = " ".join(f"WHEN contains(word, '{k}') THEN '{v}'" for k, v in POLITE.items())
 _POLITE_IS = " ".join(f"WHEN word = '{k}' THEN '{v}'" for k, v in POLITE.items())
@@ -96,6 +97,14 @@ _DRAW = f"md5('{SEED}:' || doc_id)"
 _FREQ = r"""freq AS (SELECT token, count(*) FILTER (toxic = 1) AS off, count(*) FILTER (toxic <> 1) AS safe
     FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{Tamil}{3,}|\p{Latin}{3,}')) AS token, toxic FROM documents JOIN labels USING (doc_id)) GROUP BY token)"""
 
+_ABC, TAMIL_LETTERS = "abcdefghijklmnopqrstuvwxyz", "அஆஇஈஉஊஎஏஐஒஓகஙசஞடணதநபமயரலவழ"
+#: Texts and turns as the normalisation leaves them (the tables hold no entities beyond those of pages).
+_URLS, _AT = r"(?i)(?:https?://|www\.)\S+", r"'(^|[^\p{L}\p{N}_\p{M}@])@[\p{L}\p{N}_\p{M}]+', '\1', 'g'"
+_CLEAN = rf"SELECT doc_id, trim(regexp_replace({_collapsed('u')}, '\s+', ' ', 'g')) AS t FROM (SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(text), '{_URLS}', '', 'g'), {_AT}) AS u FROM documents)"
+_CLEAN_TURNS = _CLEAN.replace("doc_id", "conv_id, turn").replace("documents", "conversations")
+_HEURISTIC = "(VALUES " + ", ".join(f"({k}, '{w}', '{c}')" for k, (w, _, c, _) in enumerate(HEURISTIC)) + ") AS h(rank, word, category)"
+_HEURISTIC_WORDS = "|".join(w for w, *_ in HEURISTIC)
+
 SQL = {
     "a1_lexicon_surfaces": f"WITH {_LEX} SELECT * FROM lexicon",
     "a16_text_nodes": f"SELECT page_id, count(*) AS nodes, sum(length(n)) AS chars FROM (SELECT page_id, unnest({_NODES}) AS n FROM pages) GROUP BY page_id",
@@ -120,7 +129,20 @@ SQL = {
     "d11_final_tag": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role ELSE upper(role) END AS final_tag FROM conversations",
     "e1_exact_match": f"WITH {_LEX}, {_TOK} SELECT canon, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tok JOIN exact ON lower(token) = surface GROUP BY canon",
     "e2_phrases": f"WITH {_LEX}, {_TOK}, {_PHRASES} SELECT doc_id, pos FROM starts",
-    "e3_suffix_strip": _best("suffix"),
+    "e3_suffix_strip": f"WITH {_TOK}, w AS ({_LATIN_WORDS}), m AS (SELECT word, rank, left(word, length(word) - length(suffix)) AS stem FROM w JOIN {_SUFFIXES} ON ends_with(word, suffix)) SELECT m.word, arg_min(stem, rank) AS canon FROM m JOIN w ON w.word = stem WHERE length(stem) >= 4 GROUP BY m.word",
+    "c39_tamil_suffix": rf"""WITH {_TOK}, w AS (SELECT DISTINCT translate(word, '{_ABC}', '{TAMIL_LETTERS}') AS word FROM ({_LATIN_WORDS})), t AS (SELECT word FROM w WHERE regexp_full_match(word, '\p{{Tamil}}+')),
+        m AS (SELECT word, n, left(word, length(word) - n) AS stem FROM t, range(1, 6) AS r(n) WHERE length(word) - n >= 4) SELECT m.word, arg_min(stem, n) AS canon FROM m JOIN t ON t.word = stem GROUP BY m.word""",
+    "c17_tamil_scripts": rf"""WITH t AS (SELECT unnest(regexp_extract_all(translate(lower(text), '{_ABC}', '{TAMIL_LETTERS}') || ' ' || text, '{_TOKEN}')) AS token FROM conversations)
+        SELECT {_script('token')} AS script, CASE WHEN len(regexp_extract_all(token, '[\x{{0B80}}-\x{{0BFF}}]')) >= len(regexp_extract_all(token, '[A-Za-z]')) THEN 'TAMIL' ELSE 'LATIN' END AS dominant, count(*) AS n FROM t GROUP BY ALL""",
+    "f1_tamil_verdicts": f"""WITH d AS (SELECT doc_id, regexp_replace(nfc_normalize(translate(lower(text), '{_ABC}', '{TAMIL_LETTERS}')), '(?i)(?:https?://|www\\.)\\S+', '', 'g') AS t FROM documents),
+        c AS MATERIALIZED (SELECT doc_id, {_collapsed('t')} AS t FROM d),
+        tok AS (SELECT doc_id, unnest(regexp_extract_all(t, '{_TOKEN}')) AS token FROM c),
+        lex AS (SELECT ord, translate(surface, '{_ABC}', '{TAMIL_LETTERS}') AS surface, translate(canon, '{_ABC}', '{TAMIL_LETTERS}') AS canon, severity FROM (SELECT * FROM {sql_values()}) WHERE surface NOT LIKE '% %'),
+        words AS (SELECT DISTINCT token AS word FROM tok WHERE regexp_matches(token, '^\\p{{Tamil}}') AND length(token) >= 2),
+        m AS (SELECT word, n, ord, canon, severity FROM words, range(0, 6) AS r(n) JOIN lex ON surface = left(word, length(word) - n) WHERE n = 0 OR length(word) - n >= 4),
+        best AS (SELECT word, arg_min(canon, n * 1000000000 + ord) AS canon, arg_min(severity, n * 1000000000 + ord) AS severity FROM m GROUP BY word)
+        SELECT doc_id, canon, count(*) AS n FROM tok JOIN best ON token = word WHERE severity <> 'low' GROUP BY ALL""",
+    "d9_guard": "SELECT w || e AS word, arg_min(v || 's', k) AS canon FROM (SELECT unnest([" + ", ".join(f"'{w}'" for w in INNOCENT) + "]) AS w), (VALUES (''), ('x'), ('zz')) AS es(e), (SELECT generate_subscripts(l, 1) AS k, unnest(l) AS v FROM (SELECT [" + ", ".join(f"'{w}'" for w in INNOCENT) + "] AS l)) WHERE length(w || e) >= 5 AND length(v) >= 4 AND w || e NOT IN (" + ", ".join(f"'{w}'" for w in INNOCENT) + ") AND levenshtein(w || e, v || 's') <= 1 GROUP BY 1",
     "e4_fuzzy_strict": _best("fuzzy1"),
     "e5_fuzzy_maximum": _best("fuzzy2"),
     "e6_substring": _best("substring"),
@@ -159,7 +181,65 @@ SQL = {
         a AS (SELECT (ord // 100000) * 100000 AS ord, canon, surface AS variant, 0 AS late, ord % 100000 - 1 AS k FROM exact WHERE kind = 'variant' UNION ALL SELECT ord, canon, variant, 1, -off FROM c),
         r AS (SELECT *, row_number() OVER (PARTITION BY lower(variant) ORDER BY ord, late, k, variant) AS n FROM a WHERE lower(variant) NOT IN (SELECT canon FROM seeds))
         SELECT canon, variant FROM r WHERE n = 1""",
-    "h9_vocabulary": f"WITH {_TOK}, c AS (SELECT lower(token) AS token, count(*) AS n, min(doc_id * 10000000 + pos) AS f FROM tok GROUP BY 1 HAVING count(*) >= 2), r AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, f) + 1 AS id FROM c) SELECT token, n, id FROM r WHERE id <= 1001",
+    "h9_vocabulary": f"WITH {_TOK}, c AS (SELECT lower(token) AS token, count(*) AS n, min(doc_id * 10000000 + pos) AS f FROM tok GROUP BY 1) SELECT token, n, row_number() OVER (ORDER BY n DESC, f) + 1 AS id FROM c",
+    "e16_token_ids": f"""WITH {_TOK}, c AS (SELECT lower(token) AS token, count(*) AS n, min(doc_id * 10000000 + pos) AS f FROM tok GROUP BY 1 HAVING count(*) >= 2), v AS (SELECT token, row_number() OVER (ORDER BY n DESC, f) + 1 AS id FROM c),
+        t AS (SELECT conv_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS token FROM conversations) SELECT conv_id, sum(coalesce(id, 1))::BIGINT AS ids, count(*) FILTER (id IS NULL) AS unknown FROM t LEFT JOIN v USING (token) GROUP BY conv_id""",
+    "a12_sequences": f"WITH {_BIO} SELECT doc_id::VARCHAR AS sent_id, count(*)::INT AS n, md5(string_agg(lower(token), ' ' ORDER BY pos)) AS tokens, md5(string_agg(tag, ' ' ORDER BY pos)) AS tags FROM bio GROUP BY doc_id",
+    "e12_zipped_tags": f"WITH {_GP} SELECT doc_id::VARCHAR AS sent_id, count(*)::INT AS n, (count(*) FILTER (gold <> pred))::INT AS differ FROM gp GROUP BY doc_id",
+    "e10_gold_ids": "SELECT doc_id, lang, gold_id FROM documents JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS gold_id FROM labels) USING (doc_id)",
+    "e15_siblings": "WITH e(canon, script, ref) AS (VALUES ('idiot', 'LATIN', 'முட்டாள்'), ('முட்டாள்', 'TAMIL', 'idiot'), ('scum', 'LATIN', 'கசடு'), ('moron', 'LATIN', NULL)) SELECT a.canon, a.script, b.canon AS sibling, b.script AS sibling_script FROM e a LEFT JOIN e b ON a.ref = b.canon",
+    "e17_neighbours_of_words": """WITH w(query) AS (VALUES ('w0'), ('w7'), ('w100'), ('w499'), ('w1000000000')), v AS (SELECT 'w' || vec_id AS word, embedding::DOUBLE[] AS e FROM embeddings),
+        p AS (SELECT a.word AS query, b.word AS neighbor, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) AS score FROM v a JOIN w ON a.word = query JOIN v b ON a.word <> b.word),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbor)::INT AS rank FROM p)
+        SELECT w.query, v.word IS NOT NULL AS in_vocab, neighbor, round(score, 5) AS score, rank FROM w LEFT JOIN v ON v.word = w.query LEFT JOIN (SELECT * FROM r WHERE rank <= 3) r ON r.query = w.query""",
+    "j4_query_words": f"WITH {_LEX} SELECT min(ord) AS ord, surface AS word FROM exact GROUP BY surface ORDER BY 1 LIMIT 12",
+    "c13_normalize_and_tag": f"WITH c AS ({_CLEAN}), tok AS (SELECT unnest(regexp_extract_all(t, '{_TOKEN}')) AS token FROM c) SELECT {_script('token')} AS script, count(*) AS n FROM tok GROUP BY 1",
+    "c21_pool_text": f"SELECT conv_id, turn, md5(lower(t)) AS h FROM ({_CLEAN_TURNS})",
+    "g17_pool_statistics": f"""WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 3 THEN '..' WHEN turn % 5 = 4 THEN '' ELSE lower(t) END AS t FROM ({_CLEAN_TURNS})),
+        n AS (SELECT t, len(list_filter(regexp_extract_all(t, '{_TOKEN}'), lambda x: regexp_matches(x, '^(\\p{{Tamil}}|\\p{{Latin}}|\\p{{Nd}})')))::BIGINT AS k, row_number() OVER (PARTITION BY t ORDER BY conv_id, turn) AS r FROM p)
+        SELECT count(*) AS raw, count(*) FILTER (t = '') AS empty, count(*) FILTER (t <> '' AND k > 0 AND r > 1) AS duplicate, count(*) FILTER (t <> '' AND k = 0) AS untrainable,
+        count(*) FILTER (t <> '' AND k > 0 AND r = 1) AS kept, (sum(k) FILTER (t <> '' AND k > 0 AND r = 1))::BIGINT AS tokens FROM n""",
+    "g12_counters": f"""WITH t AS (SELECT unnest(regexp_extract_all(text, '{_TOKEN}')) AS token FROM conversations), x AS (SELECT 'word' AS kind, lower(token) AS value FROM t UNION ALL SELECT 'char', unnest(string_split(lower(token), '')) FROM t
+        UNION ALL SELECT 'tag', CASE WHEN length(lower(token)) > 6 THEN 'B-ABUSE' ELSE 'O' END FROM t) SELECT kind, value, count(*) AS n FROM x GROUP BY ALL""",
+    "g15_totals": f"""WITH {_LEX}, c AS MATERIALIZED (SELECT row_number() OVER () AS doc_id, t FROM ({_CLEAN_TURNS})), tok AS MATERIALIZED (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(t, '{_TOKEN}') AS l FROM c)),
+        {_WORDS}, {_matched('exact', 'suffix')}, {_PHRASES}, bad AS (SELECT doc_id FROM tok JOIN best ON lower(token) = word WHERE b.severity <> 'low' UNION SELECT doc_id FROM starts)
+        SELECT count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM bad)) AS n_safe, count(*) FILTER (doc_id IN (SELECT doc_id FROM bad)) AS n_unsafe FROM c""",
+    "d10_review_pool": f"WITH {_BIO} SELECT doc_id FROM bio GROUP BY doc_id HAVING bool_and(tag = 'O')",
+    "d15_missed": f"WITH {_GP} SELECT doc_id, pos, token FROM gp WHERE pred <> 'O' AND gold = 'O' ORDER BY doc_id, pos LIMIT 20",
+    "g18_deltas": f"""WITH {_GP}, s AS (SELECT {_sums("(gold <> 'O')", "(pred <> 'O')")} FROM gp), p AS (SELECT tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM s) SELECT round(p - 1, 6) AS precision_delta, round(r - 1, 6) AS recall_delta, round(2 * p * r / (p + r) - 1, 6) AS f1_delta FROM p""",
+    "h10_best_so_far": """WITH e AS (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+        SELECT event_id, greatest(coalesce(before, value), value) AS best, (k - max(CASE WHEN before IS NULL OR value > before THEN k END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))::INT AS stale FROM e""",
+    "i4_review_sentences": f"WITH {_BIO} SELECT doc_id, count(*) AS n FROM bio GROUP BY doc_id HAVING bool_and(tag = 'O') ORDER BY doc_id LIMIT 8",
+    "i7_unknown_tags": "SELECT DISTINCT upper(event_type) AS tag FROM events WHERE event_id % 3 <> 0 AND upper(event_type) NOT IN ('O', 'B-ABUSE', 'I-ABUSE')",
+    "i15_checked": "SELECT (SELECT count(DISTINCT doc_id) FROM documents) AS left_ids, (SELECT count(DISTINCT doc_id) FROM labels) AS right_ids, (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS shared",
+    "c46_heuristic": f"""WITH w AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS l FROM documents)),
+        m AS (SELECT doc_id, k, arg_min(category, rank) AS category FROM w JOIN {_HEURISTIC} ON contains(regexp_replace(lower(w), '[^\\p{{L}}\\p{{Nd}}]', '', 'g'), word) GROUP BY doc_id, k),
+        f AS (SELECT doc_id, category, min(k) AS k FROM m GROUP BY ALL), g AS (SELECT doc_id, string_agg(category, ',' ORDER BY k) AS categories FROM f GROUP BY doc_id)
+        SELECT d.doc_id, n IS NULL AS safe, coalesce(n, 0)::INT AS spans, coalesce(categories, '') AS categories FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id) USING (doc_id)""",
+    "c47_heuristic_censor": f"""WITH w AS (SELECT conv_id, turn, text, list_transform(regexp_split_to_array(text, '\\s+'), lambda x: {{'w': x, 'b': regexp_replace(lower(x), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')}}) AS l FROM conversations),
+        f AS (SELECT *, list_transform(list_filter(l, lambda x: regexp_matches(x.b, '{_HEURISTIC_WORDS}')), lambda x: lower(x.w)) AS flagged FROM w),
+        c AS (SELECT *, list_transform(l, lambda x: {{'w': x.w, 'h': x.w <> '' AND x.b <> '' AND len(list_filter(flagged, lambda t: contains(x.b, t))) > 0}}) AS k FROM f)
+        SELECT conv_id, turn, md5(CASE WHEN len(flagged) = 0 THEN text ELSE array_to_string(list_transform(k, lambda x: CASE WHEN NOT x.h THEN x.w WHEN length(x.w) <= 4 THEN left(x.w, 1) || repeat('*', greatest(1, length(x.w) - 2)) || right(x.w, 1)
+            ELSE left(x.w, 2) || repeat('*', greatest(1, length(x.w) - 4)) || right(x.w, 2) END), ' ') END) AS censored, CASE WHEN len(flagged) = 0 THEN 0 ELSE len(list_filter(k, lambda x: x.h)) END::INT AS redacted_count FROM c""",
+    "a5_csv_round_trip": """SELECT doc_id, md5('"' || text || ', ""') AS h FROM documents""",
+    "a8_lines": r"SELECT md5(t) AS h, count(*) AS n FROM (SELECT regexp_replace(text, '[\r\n]+', ' ', 'g') AS t FROM documents) WHERE regexp_matches(t, '\S') GROUP BY 1",
+    "a15_split_lines": r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')))::INT AS n FROM documents",
+    "i13_injection": f"""WITH {_LEX}, w AS (SELECT (ord // 100000) * 10 + ord % 100000 AS id, surface FROM lexicon WHERE severity <> 'low' AND ord % 100000 <= 3), fl AS (SELECT unnest(['well', 'then', 'now', 'here', 'today', 'maybe']) AS f),
+        r AS (SELECT id, surface, tag, f, row_number() OVER (PARTITION BY id, tag ORDER BY md5('{SEED}' || tag || ':' || id || ':' || f), f) AS k,
+            least_ + floor(('0x' || left(md5('{SEED}:' || id || ':' || tag), 8))::BIGINT / 4294967296 * (most - least_ + 1))::INT AS take FROM w, fl, (VALUES ('pre', 1, 3), ('post', 0, 2)) AS t(tag, least_, most)),
+        s AS (SELECT id, surface, string_agg(f, ' ' ORDER BY k) FILTER (tag = 'pre' AND k <= take) AS a, string_agg(f, ' ' ORDER BY k) FILTER (tag = 'post' AND k <= take) AS z FROM r GROUP BY id, surface),
+        o AS (SELECT *, concat_ws(' ', a, surface, z) AS tokens FROM s)
+        SELECT id AS sent_id, tokens, concat_ws(' ', regexp_replace(a, '\\S+', 'O', 'g'), 'B-ABUSE' || repeat(' I-ABUSE', len(string_split(surface, ' ')) - 1), regexp_replace(z, '\\S+', 'O', 'g')) AS tags FROM o""",
+    "k2_once": "SELECT DISTINCT user_id FROM events",
+    "k6_live_config": "SELECT event_type, CASE event_type WHEN 'click' THEN true WHEN 'view' THEN false WHEN 'purchase' THEN true END AS enabled, count(*) AS n FROM events GROUP BY ALL",
+    "f3_verdicts": f"""WITH {_LEX}, c AS MATERIALIZED ({_CLEAN}), tok AS MATERIALIZED (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(t, '{_TOKEN}') AS l FROM c)),
+        {_WORDS}, {_matched('exact', 'suffix')}, {_PHRASES},
+        fl AS (SELECT t.doc_id, t.pos, t.token, coalesce(s.category, i.category, b.b.category) AS category FROM tok t LEFT JOIN starts s ON s.doc_id = t.doc_id AND s.pos = t.pos LEFT JOIN starts i ON i.doc_id = t.doc_id AND i.pos + 1 = t.pos
+            LEFT JOIN best b ON b.word = lower(t.token) WHERE s.pos IS NOT NULL OR i.pos IS NOT NULL OR b.b.severity <> 'low'),
+        w AS (SELECT doc_id, string_agg(lower(token), ',' ORDER BY p) AS words FROM (SELECT doc_id, token, min(pos) AS p FROM fl GROUP BY ALL) GROUP BY doc_id),
+        k AS (SELECT doc_id, string_agg(category, ',' ORDER BY p) AS categories FROM (SELECT doc_id, category, min(pos) AS p FROM fl WHERE category <> '' GROUP BY ALL) GROUP BY doc_id)
+        SELECT d.doc_id, n IS NULL AS safe, coalesce(n, 0)::INT AS spans, coalesce(words, '') AS words, coalesce(categories, '') AS categories FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM fl GROUP BY doc_id) USING (doc_id) LEFT JOIN w USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "h9_capped_vocabulary": f"WITH {_TOK}, c AS (SELECT lower(token) AS token, count(*) AS n, min(doc_id * 10000000 + pos) AS f FROM tok GROUP BY 1 HAVING count(*) >= 2), r AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, f) + 1 AS id FROM c) SELECT token, n, id FROM r WHERE id <= 1001",
     "i1_errors": f"WITH {_GP} SELECT doc_id, pos, token, category, kind FROM gp WHERE gold = 'O' AND pred <> 'O' ORDER BY (category IN ('profanity', 'sexual')) DESC, kind DESC, token, doc_id, pos LIMIT 20",
     "i2_top_tokens": f"WITH {_TOK} SELECT lower(token) AS token, count(*) AS n FROM tok GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20",
     "i5_union": "SELECT label, count(*) AS n, sum(length(text)) AS chars FROM (SELECT lang AS label, text FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark) GROUP BY label",

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
-from sieveline.operators import corpus, crf, evaluate, matching, neighbours, redact, spans, tagging, variants
+from sieveline.operators import corpus, crf, evaluate, heuristic, matching, neighbours, redact, sequences, spans, tagging, variants
+from sieveline.scratch import new_folder, small
 from sieveline.sources import lexicon, readers
 from sieveline.streaming import scan
 
@@ -40,7 +41,7 @@ def _exact(s: SparkSession) -> DataFrame:
 
 def _gold_pred(s: SparkSession, d: str) -> DataFrame:
     """Tokens with two taggers' tags: high severity, and any."""
-    hit = F.broadcast(_exact(s))
+    hit = small(_exact(s))
     t = _tokens(s, d).join(hit, F.lower("token") == F.col("surface"), "left")
     tag = lambda c: F.when(c, "B-ABUSE").otherwise("O")
     return t.select("doc_id", "pos", "token", tag(F.coalesce(F.col("severity") == "high", F.lit(False))).alias("gold"), tag(F.col("severity").isNotNull()).alias("pred"), F.coalesce("category", F.lit("")).alias("category"), F.coalesce("kind", F.lit("")).alias("kind"))
@@ -134,7 +135,7 @@ def d11_final_tag(s, d):
 
 
 def e1_exact_match(s, d):
-    return _tokens(s, d).join(F.broadcast(_exact(s)), F.lower("token") == F.col("surface")).groupBy("canon").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return _tokens(s, d).join(small(_exact(s)), F.lower("token") == F.col("surface")).groupBy("canon").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 def e2_phrases(s, d):
@@ -147,8 +148,49 @@ def _best(frame: DataFrame) -> DataFrame:
     return frame.groupBy("word").agg(F.min_by("canon", F.struct("rank", "ord")).alias("canon"))
 
 
+def _stems(words: DataFrame) -> DataFrame:
+    """The vocabulary's own words as surfaces, so that words meet words less a suffix."""
+    none = F.lit("").alias
+    return words.select(F.lit(0).alias("ord"), F.col("word").alias("surface"), F.col("word").alias("canon"), none("category"), none("severity")).distinct()
+
+
 def e3_suffix_strip(s, d):
-    return _best(matching.suffix_matches(_words(s, d).where("script = 'LATIN'"), matching.small(_exact(s))))
+    words = _words(s, d).where("script = 'LATIN'")
+    return _best(matching.suffix_matches(words, _stems(words)))
+
+
+#: Letters that stand for a to z in the Tamil queries: the tables hold no Tamil, so their words are written in it.
+TAMIL_LETTERS = "அஆஇஈஉஊஎஏஐஒஓகஙசஞடணதநபமயரலவழ"
+
+
+def _in_tamil(c):
+    return F.translate(F.lower(c), "abcdefghijklmnopqrstuvwxyz", TAMIL_LETTERS)
+
+
+def c39_tamil_suffix(s, d):
+    words = _words(s, d).where("script = 'LATIN'").select(_in_tamil(F.col("word")).alias("word")).where(F.col("word").rlike(r"^\p{IsTamil}+$")).distinct()
+    words = words.withColumn("script", T.script_of(F.col("word")))
+    return _best(matching.suffix_matches(words, _stems(words)))
+
+
+def c17_tamil_scripts(s, d):
+    t = _t(s, d, "conversations").select(F.explode(T.token_texts(F.concat(_in_tamil(F.col("text")), F.lit(" "), F.col("text")))).alias("token"))
+    return t.groupBy(T.script_of(F.col("token")).alias("script"), T.dominant_script(F.col("token")).alias("dominant")).agg(F.count("*").alias("n"))
+
+
+def f1_tamil_verdicts(s, d):
+    """Texts and a lexicon written in Tamil: the other half of the matcher."""
+    rows = [("".join(TAMIL_LETTERS[ord(c) - 97] for c in r[0]), ["".join(TAMIL_LETTERS[ord(c) - 97] for c in v) for v in r[1]], *r[2:]) for r in lexicon.DEMO if " " not in r[0]]
+    docs = _t(s, d, "documents").select("doc_id", _in_tamil(F.col("text")).alias("text"))
+    found = tagging.moderate(docs, lexicon.from_rows(s, rows))
+    return found.select("doc_id", F.explode("flagged_spans").alias("x")).groupBy("doc_id", "x.canon").agg(F.count("*").alias("n"))
+
+
+def d9_guard(s, d):
+    """Guard words and words one letter longer against a lexicon of words one letter longer: the guard words match none."""
+    words = s.createDataFrame([(w + e, "LATIN") for w in matching.INNOCENT for e in ("", "x", "zz")], "word string, script string")
+    near = s.createDataFrame([(i, w + "s", w + "s", "", "") for i, w in enumerate(matching.INNOCENT)], "ord int, surface string, canon string, category string, severity string")
+    return _best(matching.fuzzy_matches(words, near, 1, 5))
 
 
 def e4_fuzzy_strict(s, d):
@@ -175,7 +217,7 @@ def e8_train_split(s, d):
 
 def e11_enrich(s, d):
     bad = _gold_pred(s, d).where("pred != 'O'")
-    lookup = F.broadcast(lexicon.surface_lookup(lexicon.from_rows(s)).select("surface", F.col("canon").alias("lexicon_canon"), F.col("kind").alias("lexicon_kind")))
+    lookup = small(lexicon.surface_lookup(lexicon.from_rows(s)).select("surface", F.col("canon").alias("lexicon_canon"), F.col("kind").alias("lexicon_kind")))
     text = _t(s, d, "documents").select("doc_id", F.length(F.array_join(T.token_texts(F.col("text")), " ")).alias("sentence_chars"))
     return bad.select("doc_id", "pos", "token").join(lookup, F.lower("token") == F.col("surface"), "left").join(text, "doc_id", "left").drop("surface")
 
@@ -290,10 +332,147 @@ def h5_variants(s, d):
 
 
 def h9_vocabulary(s, d):
+    t = _tokens(s, d).withColumn("token", F.lower("token"))
+    return evaluate.vocabulary_ids(t, "token", ["doc_id", "pos"])
+
+
+def h9_capped_vocabulary(s, d):
+    """The option of a least count and a most number of words."""
     t = _tokens(s, d).withColumn("token", F.lower("token"))
     return evaluate.vocabulary_ids(t, "token", ["doc_id", "pos"], least=2, most=1000)
 
 
+def e16_token_ids(s, d):
+    t = _t(s, d, "conversations").select("conv_id", F.posexplode(T.token_texts(F.col("text"))).alias("pos", "token")).withColumn("token", F.lower("token"))
+    ids = evaluate.vocabulary_ids(_tokens(s, d).withColumn("token", F.lower("token")), "token", ["doc_id", "pos"], least=2)
+    found = sequences.token_ids(t, "token", ids)
+    return found.groupBy("conv_id").agg(F.sum("id").alias("ids"), F.count_if(F.col("id") == 1).alias("unknown"))
+
+
+def a12_sequences(s, d):
+    rows = _bio(s, d).withColumnRenamed("doc_id", "sent_id")
+    q = sequences.bio_sequences(rows, "pos")
+    return q.select("sent_id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("tokens"), F.md5(F.array_join("tags", " ")).alias("tags"))
+
+
+def e12_zipped_tags(s, d):
+    rows = _gold_pred(s, d).withColumnRenamed("doc_id", "sent_id").withColumn("at", F.col("pos"))
+    gold, pred = (sequences.bio_sequences(rows, "at", tag=c).select("sent_id", F.col("tags").alias(c)) for c in ("gold", "pred"))
+    both = gold.join(pred, "sent_id").select("sent_id", sequences.zipped(F.col("gold"), F.col("pred")).alias("z"))
+    return both.select("sent_id", F.size("z").alias("n"), F.size(F.filter("z", lambda x: x["left"] != x["right"])).alias("differ"))
+
+
+def e10_gold_ids(s, d):
+    ids = evaluate.ranked(_t(s, d, "labels").select("doc_id"), [F.col("doc_id")], "gold_id")
+    return corpus.attach_ids(_t(s, d, "documents").select("doc_id", "lang"), ids, "doc_id", "gold_id")
+
+
+def e15_siblings(s, d):
+    rows = [(0, "idiot", [], "", "", "LATIN", "முட்டாள்"), (1, "முட்டாள்", [], "", "", "TAMIL", "idiot"), (2, "scum", [], "", "", "LATIN", "கசடு"), (3, "moron", [], "", "", "LATIN", None)]
+    e = s.createDataFrame(rows, "ord int, canon string, variants array<string>, category string, severity string, script string, cross_ref string")
+    return lexicon.siblings(e)
+
+
+def e17_neighbours_of_words(s, d):
+    v = _t(s, d, "embeddings").select(F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), F.col("embedding").alias("vector"))
+    words = s.createDataFrame([(f"w{k}",) for k in (0, 7, 100, 499, 10**9)], "word string")
+    return neighbours.nearest_words(words, v, 3).select("query", "in_vocab", "neighbor", F.round("score", 5).alias("score"), "rank")
+
+
+def j4_query_words(s, d):
+    return lexicon.query_words(lexicon.from_rows(s), 12)
+
+
+def c13_normalize_and_tag(s, d):
+    t = _t(s, d, "documents").select(F.explode(T.normalize_and_tag(F.col("text"))["tokens"]).alias("t"))
+    return t.groupBy("t.script").agg(F.count("*").alias("n"))
+
+
+def c21_pool_text(s, d):
+    return _t(s, d, "conversations").select("conv_id", "turn", F.md5(T.pool_text(F.col("text"))).alias("h"))
+
+
+def g17_pool_statistics(s, d):
+    rows = _t(s, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 7 == 3, F.lit(" .. ")).when(F.col("turn") % 5 == 4, F.lit("  ")).otherwise(F.col("text")).alias("text"))
+    return corpus.pool_statistics(corpus.pool_status(rows, "text", [F.col("conv_id"), F.col("turn")]))
+
+
+def g12_counters(s, d):
+    seq = _t(s, d, "conversations").select(F.transform(T.token_texts(F.col("text")), F.lower).alias("tokens"))
+    return sequences.counters(seq.withColumn("tags", F.transform("tokens", lambda t: F.when(F.length(t) > 6, "B-ABUSE").otherwise("O"))))
+
+
+def g15_totals(s, d):
+    return evaluate.verdict_totals(tagging.moderate(_t(s, d, "conversations"), lexicon.from_rows(s), "conv_id"))
+
+
+def d10_review_pool(s, d):
+    rows = _bio(s, d).groupBy("doc_id").agg(F.bool_or("needs_review").alias("needs_review"))
+    return rows.where("needs_review").select("doc_id")
+
+
+def d15_missed(s, d):
+    rows = _gold_pred(s, d).select("doc_id", "pos", "token", "kind", F.col("pred").alias("gold"), F.col("gold").alias("pred"))
+    return evaluate.missed_rows(rows, ["doc_id", "pos"], variants_only=False).select("doc_id", "pos", "token")
+
+
+def g18_deltas(s, d):
+    rows = _gold_pred(s, d)
+    model, base = evaluate.abuse_metrics(rows), evaluate.abuse_metrics(rows, "gold", "gold")
+    out = evaluate.deltas(model, base)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+def h10_best_so_far(s, d):
+    log = _t(s, d, "events").select("user_id", "event_id", "value")
+    return evaluate.with_best_so_far(log, "event_id", "value", "user_id").select("event_id", "best", "stale")
+
+
+def i4_review_sentences(s, d):
+    g = _bio(s, d).where("needs_review").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return g.orderBy("doc_id").limit(8)
+
+
+def i7_unknown_tags(s, d):
+    rows = _t(s, d, "events").select(F.when(F.col("event_id") % 3 == 0, "O").otherwise(F.upper("event_type")).alias("tag"))
+    return sequences.unknown_tags(rows, "tag")
+
+
+def i15_checked(s, d):
+    report = corpus.leak_report(_t(s, d, "documents"), _t(s, d, "labels"), "doc_id")
+    return corpus.checked(report, F.col("shared") <= F.col("right_ids"), F.col("right_ids") <= F.col("left_ids"))
+
+
+def c46_heuristic(s, d):
+    out = heuristic.detect(_t(s, d, "documents"))
+    return out.select("doc_id", "safe", F.size("flagged_spans").alias("spans"), F.array_join("categories", ",").alias("categories"))
+
+
+def c47_heuristic_censor(s, d):
+    out = heuristic.censor(heuristic.detect(_t(s, d, "conversations")))
+    return out.select("conv_id", "turn", F.md5("censored").alias("censored"), "redacted_count")
+
+
+def a5_csv_round_trip(s, d):
+    """Texts with quotes, commas and line ends through a written file and back."""
+    rows = _t(s, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit('"'), "text", F.lit(', ""')).alias("text"))
+    path = new_folder(s, "csv")
+    readers.write_csv(rows, path, quote_all=True)
+    back = readers.read_delimited(s, path, ["doc_id", "text"])
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("h"))
+
+
+def a8_lines(s, d):
+    """A corpus of one sentence a line, written and read."""
+    path = new_folder(s, "lines")
+    readers.write_lines(_t(s, d, "documents").select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value")), "value", path)
+    return readers.read_lines(s, path).groupBy(F.md5("text").alias("h")).agg(F.count("*").alias("n"))
+
+
+def a15_split_lines(s, d):
+    return _t(s, d, "documents").select("doc_id", F.size(readers.split_lines(F.col("text"))).alias("n"))
+
+
 def i1_errors(s, d):
     rows = _gold_pred(s, d)
     return evaluate.error_rows(rows).select("doc_id", "pos", "token", "category", "kind")
@@ -328,10 +507,10 @@ def i11_oversample(s, d):
 
 
 def i13_injection(s, d):
-    e = lexicon.from_rows(s).where("severity != 'low'").select(F.explode(F.concat(F.array("canon"), F.slice("variants", 1, 3))).alias("w"), "ord")
-    words = e.select(F.xxhash64("w").alias("id"), F.split("w", " ").alias("phrase"))
+    e = lexicon.from_rows(s).where("severity != 'low'").select("ord", F.posexplode(F.concat(F.array("canon"), F.slice("variants", 1, 3))).alias("k", "w"))
+    words = e.select((F.col("ord") * 10 + F.col("k")).cast("long").alias("id"), F.split("w", " ").alias("phrase"))
     out = corpus.injected(words, ["well", "then", "now", "here", "today", "maybe"], 3)
-    return out.select(F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags"))
+    return out.select("sent_id", F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags"))
 
 
 def j3_neighbours(s, d):
@@ -356,14 +535,26 @@ def k7_flagged_rate(s, d):
 
 
 def k3_bursts(s, d):
-    e = _t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    b = e.groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count("*").alias("n"))
-    return b.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    b = scan.finished(scan.bursts(scan.events_stream(s, d), "user_id", "6 hours"), "complete")
+    return b.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+def k2_once(s, d):
+    return scan.finished(scan.once(scan.events_stream(s, d).select("user_id", "ts"), "user_id"), "append").select("user_id")
+
+
+def k6_live_config(s, d):
+    config = s.createDataFrame([("click", True), ("view", False), ("purchase", True)], "event_type string, enabled boolean")
+    joined = scan.with_live_config(scan.events_stream(s, d), config, "event_type")
+    return scan.finished(joined.groupBy("event_type", "enabled").agg(F.count("*").alias("n")), "complete")
 
 
 def k1_scored_lines(s, d):
-    c = _t(s, d, "conversations").withColumnRenamed("text", "value")
-    return scan.flagged_lines(c, [r[0] for r in lexicon.DEMO]).select("conv_id", "turn", "safe", F.size("flagged_words").alias("n"))
+    """Conversations as a stream of lines, scored as they come."""
+    schema = _t(s, d, "conversations").schema
+    lines = scan.read_stream(s, d, schema, "conversations.parquet").withColumnRenamed("text", "value")
+    scored = scan.flagged_lines(lines, [r[0] for r in lexicon.DEMO])
+    return scan.finished(scored.select("conv_id", "turn", "safe", F.size("flagged_words").alias("n")), "append")
 
 
 def f11_batches(s, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,31 @@ def numbered(df: DataFrame, name: str = "row") -> tuple[DataFrame, str]:
     """
     name = fresh(df, name)
     return cut(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+#: Rows of a side that is sent to all tasks, at most.
+BROADCAST = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The rows as a local table to broadcast if their count allows it, so that they are computed once; else as they are."""
+    rows = df.limit(BROADCAST + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= BROADCAST else df
+
+
+def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """``df`` with its rows' places, from 1, in a total order: parts of the order are ranked apart and shifted by what precedes.
+
+    No task holds more than a part; the driver holds one number for each.
+    """
+    part = fresh(df, "part")
+    sorted_ = cut(df.orderBy(*order).withColumn(part, F.spark_partition_id()), "sorted")
+    sizes = dict(sorted_.groupBy(part).count().collect())
+    before, sums = 0, []
+    for k in sorted(sizes):
+        sums.append((k, before))
+        before += sizes[k]
+    first, at = fresh(df, "before"), fresh(df, "at")
+    shifts = F.broadcast(df.sparkSession.createDataFrame(sums, f"{at} int, {first} long"))
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return sorted_.join(shifts, F.col(part) == F.col(at)).withColumn(name, own + F.col(first)).drop(part, at, first)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.functions.text import nfc
+from sieveline.functions.text import nfc, normalize
 
 RECORD = "struct<variants:array<string>,category:string,severity:string,script:string,meaning_en:string,cross_ref:string>"
 
@@ -39,7 +39,7 @@ def from_rows(spark: SparkSession, rows=DEMO) -> DataFrame:
 
 def write_lexicon(entries: DataFrame, path: str, version: str = "1") -> None:
     """The file with its counts by category and severity.  A lexicon is small by nature; its JSON is built in one row."""
-    by = lambda c: {r[0]: r[1] for r in entries.groupBy(c).count().orderBy(F.desc("count"), c).collect()}
+    by = lambda c: {r[0] or "": r[1] for r in entries.groupBy(c).count().orderBy(F.desc("count"), c).collect()}
     record = F.struct("variants", "category", "severity", "script", F.lit("").alias("meaning_en"), "cross_ref")
     ordered = entries.groupBy().agg(F.array_sort(F.collect_list(F.struct("ord", "canon", record.alias("r")))).alias("l"))
     meta = entries.agg(F.count("*"), F.sum(F.size("variants"))).first()
@@ -82,3 +82,16 @@ def sql_values(rows=DEMO) -> str:
         for k, s in enumerate((canon, *variants)):
             out.append(f"({i * 100_000 + k}, '{s}', '{'variant' if k else 'canonical'}', '{canon}', '{category}', '{severity}')")
     return "(VALUES " + ", ".join(out) + ") AS lex(ord, surface, kind, canon, category, severity)"
+
+
+def siblings(entries: DataFrame) -> DataFrame:
+    """(canon, script, sibling, sibling_script): entries and those of the other script that they refer to, null if there is none."""
+    other = entries.select(F.col("canon").alias("sibling"), F.col("script").alias("sibling_script"))
+    return entries.select("canon", "script", "cross_ref").join(other, F.col("cross_ref") == F.col("sibling"), "left").drop("cross_ref")
+
+
+def query_words(entries: DataFrame, limit: int | None = None) -> DataFrame:
+    """(ord, word): single-word surfaces, normalised and in lower case, each once at its first place; at most ``limit``."""
+    clean = surface_rows(entries).withColumn("word", F.lower(normalize(F.col("surface")))).where("word != ''").where(~F.contains("word", F.lit(" ")))
+    first = clean.groupBy("word").agg(F.min("ord").alias("ord")).select("ord", "word")
+    return first.orderBy("ord").limit(limit) if limit is not None else first

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,10 +85,43 @@ def text_nodes(html: Column, least: int = 3) -> Column:
     return F.filter(nodes, lambda x: (F.length(x) >= least) & x.rlike(r"[a-zA-Z\x{0B80}-\x{0BFF}]"))
 
 
-def write_csv(rows: DataFrame, path: str, quote_all: bool = False, sep: str = ",", bom: bool = False) -> None:
-    """RFC quoting by doubled quotes; a BOM goes before the first column's name, for spreadsheets."""
-    out = rows.withColumnRenamed(rows.columns[0], "﻿" + rows.columns[0]) if bom else rows
-    out.write.mode("overwrite").option("quoteAll", quote_all).option("escape", '"').option("sep", sep).option("header", True).csv(path)
+def write_csv(rows: DataFrame, path: str, quote_all: bool = False, sep: str = ",") -> None:
+    """RFC quoting by doubled quotes, a header in each file."""
+    rows.write.mode("overwrite").option("quoteAll", quote_all).option("escape", '"').option("sep", sep).option("header", True).csv(path)
+
+
+def export_csv(rows: DataFrame, path: str, quote_all: bool = False, sep: str = ",") -> None:
+    """One file for a spreadsheet, a byte-order mark before its header; rows stream through the driver one part at a time."""
+    options = {"quoteAll": str(quote_all).lower(), "escape": '"', "sep": sep}
+    spark = rows.sparkSession
+    names = ", ".join(f"c{k} string" for k in range(len(rows.columns)))
+    head = spark.createDataFrame([tuple(rows.columns)], names)
+    text = [rows[f"`{c}`"].cast("string").alias(f"c{k}") for k, c in enumerate(rows.columns)]
+    lines = lambda df: df.select(F.to_csv(F.struct(*df.columns), options).alias("value"))
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray("\ufeff".encode() + (lines(head).first().value + "\n").encode()))
+        for r in lines(rows.select(*text)).toLocalIterator():
+            out.write(bytearray((r.value + "\n").encode()))
+    finally:
+        out.close()
+
+
+def write_neighbours(found: DataFrame, path: str) -> None:
+    """query, in_vocab, neighbor and score as tab-separated text; a query without a vector has one row that says so."""
+    out = found.select("query", "in_vocab", F.coalesce("neighbor", F.lit("<no-vector>")).alias("neighbor"), F.when(F.col("score").isNull(), "").otherwise(F.format_string("%.4f", "score")).alias("score"))
+    write_csv(out, path, sep="\t")
+
+
+def write_vocabulary(spark: SparkSession, ids: dict[str, int], path: str) -> None:
+    """A vocabulary as one JSON document; its size is bounded by its making."""
+    spark.createDataFrame([(json.dumps(ids, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> dict[str, int]:
+    return json.loads(spark.read.text(path, wholetext=True).first().value)
 
 
 def append_csv(rows: DataFrame, path: str) -> None:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import strip, token_texts
+from sieveline.scratch import new_folder
 
 
 def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files: int | None = None) -> DataFrame:
@@ -22,11 +21,20 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """Run over all that is there and give the result table."""
-    name = "out_" + uuid.uuid4().hex
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run over all that is there and give the result table, which is written to the shared folder, batch by batch.
+
+    A complete result is written anew by each batch; appended rows are added.
+    """
+    spark = stream.sparkSession
+    state, out = new_folder(spark, "stream-state"), new_folder(spark, "stream")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number if mode == 'append' else 0}")
+
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
 
 
 def running_counts(events: DataFrame, column: str) -> DataFrame:
