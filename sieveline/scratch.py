@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,14 +26,42 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that the application deletes when it ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    system, place = _place(spark, path)
+    system.deleteOnExit(place)
+    if (mine := _owned.get()) is not None:
+        mine.append(path)
     return path
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        system, place = _place(spark, path)
+        system.delete(place, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """All folders that are made inside are deleted at its end: for results that are written before it."""
+    token = _owned.set([])
+    try:
+        yield
+    finally:
+        made = _owned.get()
+        _owned.reset(token)
+        delete(spark, *made)
+
+
 def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends here.
 
