@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.scratch import cut, fresh, new_folder, numbered, shared_dir
+from sieveline.scratch import cut, delete, fresh, new_folder, shared_dir, temporary
 
-__all__ = ["MOST_LARGE", "SPACES", "cut", "drop_cut", "fresh", "looked_up", "new_folder", "numbered", "row_hash", "shared_dir", "table", "whole_texts"]
+__all__ = ["MOST_LARGE", "SPACES", "chosen_rows", "cut", "delete", "drop_cut", "fresh", "identified", "identity", "looked_up", "new_folder", "shared_dir", "table", "temporary", "whole_texts", "without_repeats"]
 
 #: Hot keys that are sent to all tasks, at most.
 MOST_LARGE = 50_000
@@ -23,29 +23,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table that ``cut`` wrote and that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        place = jvm.org.apache.hadoop.fs.Path(folder)
-        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    delete(df.sparkSession, *{f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
-def looked_up(rows: DataFrame, table: DataFrame, on: list[tuple[str, str]], n: str, total: int, least: int = 4096) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, on: list[tuple[str, str]], n: str, total: int, least: int = 1024) -> DataFrame:
     """``rows`` joined with ``table``, which has one row for each key and in ``n`` how many of the ``total`` rows have that key.
 
     Keys of more than a MOST_LARGE-th of the rows (and of ``least``) are sent to all tasks, so that rows of a hot key stay where
     they are; there are no more than MOST_LARGE of them.  All others are joined as usual.
     """
     bound = max(least, -(-total // MOST_LARGE))
+    if total <= bound:  # no key can have more rows than there are
+        return rows.join(table, [F.col(a) == F.col(b) for a, b in on])
+    names = {c: f"hot_{c}" for c in table.columns}
+    hot = F.broadcast(table.where(F.col(n) > bound).withColumnsRenamed(names))
+    both = rows.join(hot, [F.col(a) == F.col(names[b]) for a, b in on], "left")
+    # rows that have met a hot key are dealt evenly and meet nothing more
+    is_hot = F.col(names[n]).isNotNull()
+    both = both.withColumn("hot_spread", F.when(is_hot, F.xxhash64(*rows.columns)))
+    cold = table.where(F.col(n) <= bound).withColumn("cold_spread", F.lit(None).cast("long"))
     same = [F.col(a) == F.col(b) for a, b in on]
-    hot = F.broadcast(table.where(F.col(n) > bound))
-    rest = rows.join(hot.select(*[b for _, b in on]), same, "left_anti")
-    return rows.join(hot, same).unionByName(rest.join(table.where(F.col(n) <= bound), same))
+    met = both.join(cold, [*same, F.col("hot_spread").eqNullSafe(F.col("cold_spread"))], "left").where(is_hot | F.col(n).isNotNull())
+    return met.select(*rows.columns, *[F.coalesce(names[c], c).alias(c) for c in table.columns])
 
 
-def row_hash(df: DataFrame) -> Column:
-    """A hash of all columns, so that an order of rows ends with it: rows that still tie are equal."""
+def identity(df: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of all columns, 128 bits together: what a row is joined back by.  Rows with the same are equal, and any will do."""
     own = [(F.col("`" + c.replace("`", "``") + "`"), t) for c, t in df.dtypes]
-    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in t or "variant" in t else c for c, t in own])
+    own = [F.to_json(F.struct(c)) if "map<" in t or "variant" in t else c for c, t in own]
+    return F.xxhash64(*own), F.xxhash64(F.lit(1), *own)
+
+
+def identified(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its rows' identity in two columns of new names, and these."""
+    names = [fresh(df, c) for c in ("identity_a", "identity_b")]
+    return df.withColumns(dict(zip(names, identity(df), strict=True))), names
+
+
+def without_repeats(docs: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` and a ``table`` made of its rows (with their identity as ia and ib), both without rows that repeat in all columns.
+
+    Only where the table shows that there are any do texts move.
+    """
+    if table.groupBy("ia", "ib").count().where("count > 1").isEmpty():
+        return docs, table
+    columns = docs.columns
+    marked, names = identified(docs)
+    return marked.dropDuplicates(names).select(*[f"`{c}`" for c in columns]), table.dropDuplicates(["ia", "ib"])
+
+
+def chosen_rows(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` whose identity is in ``chosen`` (ia, ib), or not in it: ``how`` is left_semi or left_anti."""
+    columns = docs.columns
+    marked, (a, b) = identified(docs)
+    keys = chosen.select(F.col("ia").alias(f"{a}_of"), F.col("ib").alias(f"{b}_of"))
+    same = (F.col(a) == F.col(f"{a}_of")) & (F.col(b) == F.col(f"{b}_of"))
+    return marked.join(keys.hint("shuffle_hash"), same, how).select(*[f"`{c}`" for c in columns])
 
 
 def whole_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -21,20 +21,23 @@ def _starred(links: DataFrame, large: bool, n: int) -> DataFrame:
     return out.where("u != v").distinct()
 
 
+def _done(links: DataFrame) -> bool:
+    """Whether every key hangs on one root alone, and no root hangs on another."""
+    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(links.select(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    return ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below + above > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every key that has a link, the root being the least key of its component, roots left out.
 
-    ``links`` has two long columns u and v.  Rounds end when the links no longer change; each is written to the shared folder,
-    and the one before is deleted.
+    ``links`` has two long columns u and v.  Each round is written to the shared folder, and the one before is deleted; what
+    ``links`` was made of is no longer read when this returns.
     """
     links = cut(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = lambda df: df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-    before = state(links)
-    while before[0]:
-        last, links = links, cut(_starred(_starred(links, True, before[0]), False, before[0]), "links")
-        drop_cut(last)
-        after = state(links)
-        if after == before:
-            break
-        before = after
+    while not _done(links):
+        n = links.count()
+        wide = cut(_starred(links, True, n), "links")
+        drop_cut(links)
+        links = cut(_starred(wide, False, wide.count()), "links")
+        drop_cut(wide)
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import SPACES, cut, fresh, looked_up, numbered, whole_texts
+from sieveline.llm.common import SPACES, chosen_rows, cut, identity, looked_up, whole_texts, without_repeats
 
 #: Below 2^31, so that a product of two residues fits a signed 64-bit integer in the JVM.
 PRIMES = (2147483629, 2147483587, 2147483563)
@@ -63,7 +63,7 @@ def fingerprint(text: bytes, primes: tuple[int, ...] = PRIMES, chunk: int = CHUN
 
 
 def _print_rows(primes: tuple[int, ...]):
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("raw", pa.int64()), ("n_bytes", pa.int64()), ("text_sha256", pa.string()), ("print", pa.list_(pa.int64()))])
+    schema = pa.schema([("ia", pa.int64()), ("ib", pa.int64()), ("doc_id", pa.int64()), ("raw", pa.int64()), ("n_bytes", pa.int64()), ("text_sha256", pa.string()), ("print", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,7 +73,7 @@ def _print_rows(primes: tuple[int, ...]):
                 sizes.append(len(text))
                 digests.append(hashlib.sha256(text).hexdigest())
                 prints.append([h for h, _ in fingerprint(text, primes)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(prints, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(prints, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -102,45 +102,48 @@ def _folded(pairs: Column, prime: int, k: int) -> Column:
     return F.aggregate(pairs, start, lambda have, x: (have * x["pairs"][k][1] + x["pairs"][k][0]) % p)
 
 
-def fingerprints(docs: DataFrame, primes: tuple[int, ...] = PRIMES, huge_bytes: int = HUGE, row: str | None = None) -> DataFrame:
-    """row, doc_id, raw, n_bytes, text_sha256 and print (one residue for each prime) of every row.
+def fingerprints(docs: DataFrame, primes: tuple[int, ...] = PRIMES, huge_bytes: int = HUGE) -> DataFrame:
+    """ia, ib, doc_id, raw, n_bytes, text_sha256 and print (one residue for each prime) of every row.
 
-    ``row`` names a column, or is null; ``raw`` is a hash of the text as it is, which with the doc_id finds the text again.
+    ia and ib are the row's identity; ``raw`` is a hash of the text as it is, which with the doc_id finds the text again.
     """
-    number = F.col(row) if row else F.lit(None).cast("long")
-    text = F.col("text").cast("string")
-    rows = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("raw"), text.alias("text"))
+    text, (a, b) = F.col("text").cast("string"), identity(docs)
+    rows = docs.select(a.alias("ia"), b.alias("ib"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("raw"), text.alias("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0))
-    small = rows.where(size <= huge_bytes).mapInArrow(_print_rows(primes), "row long, doc_id long, raw long, n_bytes long, text_sha256 string, print array<long>")
-    large = rows.where(size > huge_bytes).select("row", "doc_id", "raw", normalised(F.col("text")).alias("bytes"))
+    small = rows.where(size <= huge_bytes).mapInArrow(_print_rows(primes), "ia long, ib long, doc_id long, raw long, n_bytes long, text_sha256 string, print array<long>")
+    large = rows.where(size > huge_bytes).select("ia", "ib", "doc_id", "raw", normalised(F.col("text")).alias("bytes"))
     large = large.withColumn("text_sha256", F.sha2("bytes", 256)).withColumn("key", F.xxhash64("doc_id", "text_sha256"))
     parts = large.select("key", F.posexplode(_chunks(F.col("bytes"), CHUNK * 16)).alias("at", "part")).repartition("key", "at")
     hashed = parts.mapInArrow(_chunk_rows(primes), "key long, at int, pairs array<array<long>>").dropDuplicates(["key", "at"])
     whole = hashed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "pairs"))).alias("c"))
     whole = whole.select("key", F.array(*[_folded(F.col("c"), p, k) for k, p in enumerate(primes)]).alias("print"))
-    facts = large.select("row", "key", "doc_id", "raw", F.octet_length("bytes").cast("long").alias("n_bytes"), "text_sha256")
+    facts = large.select("ia", "ib", "key", "doc_id", "raw", F.octet_length("bytes").cast("long").alias("n_bytes"), "text_sha256")
     return small.unionByName(facts.join(whole, "key").select(*small.columns))
 
 
-def exact_dedup(docs: DataFrame, primes: tuple[int, ...] = PRIMES, huge_bytes: int = HUGE, row: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_bytes, row.
+def _numbered(docs: DataFrame, primes: tuple[int, ...], huge_bytes: int) -> DataFrame:
+    return cut(fingerprints(docs, primes, huge_bytes).withColumn("row", F.monotonically_increasing_id()), "prints")
 
-    ``row`` may name a column that numbers the rows of ``docs``; else rows are numbered anew.
-    """
-    prints = fingerprints(docs, primes, huge_bytes, row)
-    prints = cut(prints if row else prints.withColumn("row", F.monotonically_increasing_id()), "prints")
+
+def exact_dedup(docs: DataFrame, primes: tuple[int, ...] = PRIMES, huge_bytes: int = HUGE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_bytes."""
+    found = _grouped(docs, _numbered(docs, primes, huge_bytes))
+    return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "n_bytes")
+
+
+def _grouped(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The rows of ``prints`` with keep_row, keep_id and group_size."""
     prints = prints.withColumn("key", F.xxhash64("n_bytes", "print"))
     same = ["key", "n_bytes", "print"]
     order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")
     groups = cut(prints.groupBy(*same).agg(F.min(order).alias("first"), F.count("*").alias("group_size")), "groups")
     table = groups.select(*[F.col(c).alias(f"g_{c}") for c in same], "first", "group_size")
     joined = looked_up(prints, table, [(c, f"g_{c}") for c in same], "group_size", groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0])
-    members = cut(joined.select("doc_id", "row", "raw", "n_bytes", "text_sha256", "print", F.col("first.row").alias("keep_row"), F.col("first.doc_id").alias("keep_id"), "group_size"), "members")
+    members = cut(joined.select("ia", "ib", "doc_id", "row", "raw", "n_bytes", "text_sha256", "print", F.col("first.row").alias("keep_row"), F.col("first.doc_id").alias("keep_id"), "group_size"), "members")
     wrong = cut(_differing(docs, members.where("group_size > 1")), "differing")
     if not wrong.isEmpty():
         members = _regrouped(docs, members, wrong)
-    kept = F.col("row") == F.col("keep_row")
-    return members.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "n_bytes", "row")
+    return members
 
 
 #: What tells a text of ``docs`` from others when its bytes are fetched.
@@ -184,9 +187,7 @@ def _regrouped(docs: DataFrame, members: DataFrame, wrong: DataFrame) -> DataFra
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns: one for each text, decided and joined by row number."""
-    columns = docs.columns
-    docs, row = numbered(docs)
-    stay = fresh(docs, "stays")
-    kept = exact_dedup(docs, row=row).where("kept").select(F.col("row").alias(stay))
-    return docs.join(kept.hint("shuffle_hash"), F.col(row) == F.col(stay), "left_semi").select(*[f"`{c}`" for c in columns])
+    """The rows of ``docs`` that stay, with their own columns: one for each text, joined by the rows' identity."""
+    docs, prints = without_repeats(docs, _numbered(docs, PRIMES, HUGE))
+    lost = _grouped(docs, prints).where("row != keep_row").select("ia", "ib")
+    return chosen_rows(docs, lost, "left_anti")

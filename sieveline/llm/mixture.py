@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import cut, fresh, numbered, row_hash
+from sieveline.llm.common import cut, fresh, identified, identity, without_repeats
 
 BLOCK = 256
 SHARD_DOCS = 4096
@@ -109,7 +109,7 @@ def _extra(at: Column, block: int) -> Column:
 
 
 def _plan(rows: DataFrame, weights: Sequence[int], share: Fraction, seed: int, block: int) -> DataFrame:
-    """``rows`` (row, doc_id, source, size, draw, tie) with source_size, target, taken, passes and parts.
+    """``rows`` (ia, ib, doc_id, source, size, draw) with source_size, target, taken, passes and parts.
 
     A document's ``parts`` are, for each of its blocks, the words of it there and how many of these go in once more; ``passes``
     is how often all of it is taken.
@@ -124,7 +124,7 @@ def _plan(rows: DataFrame, weights: Sequence[int], share: Fraction, seed: int, b
     facts = rows.sparkSession.createDataFrame([(r.source, i, shards[i], r.size, float(goal[i])) for i, r in enumerate(found)], "name string, at int, shards int, source_size long, target double")
     facts = F.broadcast(facts) if len(found) <= 10_000 else facts
     placed = rows.join(facts, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("shard", F.pmod(F.xxhash64("draw"), F.col("shards")).cast("int"))
-    order = Window.partitionBy("at", "shard").orderBy("draw", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("at", "shard").orderBy("draw", "doc_id", "ia", "ib").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0)))
     tokens = placed.groupBy("at", "shard").agg(F.sum("size").alias("tokens"))
     own = {i: int(q) for i, q in enumerate(quotas)}
@@ -143,16 +143,15 @@ def _plan(rows: DataFrame, weights: Sequence[int], share: Fraction, seed: int, b
     return out.withColumn("taken", F.col("passes") * F.col("size") + more)
 
 
-def _sizes(docs: DataFrame, seed: int, row: Column, tie: Column) -> DataFrame:
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def _sizes(docs: DataFrame, seed: int) -> DataFrame:
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_WORD)).cast("long")
-    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), draw.alias("draw"), tie.alias("tie"))
+    draw, (a, b) = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string")), identity(docs)
+    return cut(docs.select(a.alias("ia"), b.alias("ib"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), draw.alias("draw")), "sizes")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction = Fraction(3, 2), seed: int = 0, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target and taken."""
-    rows = cut(_sizes(docs, seed, F.lit(0).cast("long"), F.lit(0).cast("long")), "sizes")
-    return _plan(rows, weights, share, seed, block).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return _plan(_sizes(docs, seed), weights, share, seed, block).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction = Fraction(3, 2), seed: int = 0, block: int = BLOCK) -> DataFrame:
@@ -161,12 +160,13 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction =
     A pass that takes all words keeps the text as it is; ``n_chars``, where there is one, is counted again.
     """
     columns, kinds = docs.columns, dict(docs.dtypes)
-    docs, row = numbered(docs)
-    sizes = cut(_sizes(docs, seed, F.col(row), row_hash(docs.drop(row))), "sizes")
-    plan = cut(_plan(sizes, weights, share, seed, block).where("taken > 0").select("row", "passes", "parts"), "mix")
-    own = {c: fresh(docs, c) for c in ("of_row", "whole", "parts", "again")}
-    plan = plan.select(F.col("row").alias(own["of_row"]), F.col("passes").alias(own["whole"]), F.col("parts").alias(own["parts"]))
-    rows = docs.join(plan.hint("shuffle_hash"), F.col(row) == F.col(own["of_row"]))
+    sizes = _sizes(docs, seed)
+    plan = cut(_plan(sizes, weights, share, seed, block).where("taken > 0").select("ia", "ib", "passes", "parts"), "mix")
+    docs, _ = without_repeats(docs, sizes)  # each of several equal rows has its own part of the plan, and takes its text from one
+    docs, (a, b) = identified(docs)
+    own = {c: fresh(docs, c) for c in ("of_a", "of_b", "whole", "parts", "again")}
+    plan = plan.select(F.col("ia").alias(own["of_a"]), F.col("ib").alias(own["of_b"]), F.col("passes").alias(own["whole"]), F.col("parts").alias(own["parts"]))
+    rows = docs.join(plan.hint("shuffle_hash"), (F.col(a) == F.col(own["of_a"])) & (F.col(b) == F.col(own["of_b"])))
     parts = F.col(own["parts"])
     some, all_ = F.exists(parts, lambda x: x["more"] > 0), F.forall(parts, lambda x: x["more"] == x["words"])
     turns = F.transform(F.sequence(F.lit(1).cast("long"), F.col(own["whole"]) + F.when(some, 1).otherwise(0)), lambda t: (t > F.col(own["whole"])) & ~all_)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import cut, fresh, looked_up, numbered, whole_texts
+from sieveline.llm.common import chosen_rows, cut, identity, looked_up, whole_texts, without_repeats
 from sieveline.llm.components import components
 
 #: Keys that one tree holds.
@@ -59,12 +59,12 @@ def simhash(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def _print_rows(width: int, seed: int):
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("print", pa.int64())])
+    schema = pa.schema([("ia", pa.int64()), ("ib", pa.int64()), ("doc_id", pa.int64()), ("print", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([simhash(t, width, seed) for t in whole_texts(batch)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints, pa.int64())], schema=schema)
 
     return run
 
@@ -221,33 +221,34 @@ def links(prints: DataFrame, radius: int = 2, most: int = TREE) -> DataFrame:
     return out.unionByName(made.where("v IS NOT NULL")).unionByName(_flip_links(made.where("v IS NULL").select("turn", "u").distinct(), radius))
 
 
-def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42, most: int = TREE, row: str | None = None) -> DataFrame:
-    """doc_id, print (signed) and component_id, the least doc_id that links reach, of every row.
+def _printed(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    a, b = identity(docs)
+    rows = docs.select(a.alias("ia"), b.alias("ib"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return cut(rows.mapInArrow(_print_rows(width, seed), "ia long, ib long, doc_id long, print long"), "simhash")
 
-    If ``row`` names a column, also row and root, the least print of the component.
-    """
-    number = F.col(row) if row else F.lit(None).cast("long")
-    rows = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut(rows.mapInArrow(_print_rows(width, seed), "row long, doc_id long, print long"), "simhash")
+
+def _classed(prints: DataFrame, radius: int, most: int) -> DataFrame:
+    """``prints`` with root, the least print of the component, and component_id."""
     distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
     roots = components(links(distinct.select("print"), radius, most))
     named = cut(distinct.join(roots, F.col("print") == F.col("node"), "left").select("print", "least", "n", F.coalesce("root", "print").alias("root")), "roots")
     least = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
     total = named.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     of_print = looked_up(named, least, [("root", "r")], "prints", total[0]).select(F.col("print").alias("p"), "n", "root", "component_id")
-    out = looked_up(prints, of_print, [("print", "p")], "n", total[1])
-    return out.select("doc_id", "print", "component_id", *(["row", "root"] if row else []))
+    return looked_up(prints, of_print, [("print", "p")], "n", total[1])
+
+
+def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42, most: int = TREE) -> DataFrame:
+    """doc_id, print (signed) and component_id, the least doc_id that links reach, of every row."""
+    return _classed(_printed(docs, width, seed), radius, most).select("doc_id", "print", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42, most: int = TREE) -> DataFrame:
     """The rows of ``docs``, one of each component: that of the least doc_id, of several such rows one.
 
-    Rows are joined by a number of their own, so null and repeated ids are told apart.
+    Rows are joined by their identity, so null and repeated ids are told apart.
     """
-    columns = docs.columns
-    docs, row = numbered(docs)
-    found = cut(simhash_dedup(docs, row=row, **options), "components")
-    stays = fresh(docs, "stays")
-    best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("best"))
-    kept = best.select(F.col("best.row").alias(stays))
-    return docs.join(kept.hint("shuffle_hash"), F.col(row) == F.col(stays), "left_semi").select(*[f"`{c}`" for c in columns])
+    docs, prints = without_repeats(docs, _printed(docs, width, seed))
+    found = _classed(prints, radius, most)
+    best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "ia", "ib")).alias("best"))
+    return chosen_rows(docs, best.select("best.ia", "best.ib"), "left_semi")
