@@ -21,10 +21,12 @@ def _starred(links: DataFrame, large: bool, n: int) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def _done(links: DataFrame) -> bool:
-    """Whether every key hangs on one root alone, and no root hangs on another."""
-    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(links.select(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))
-    return ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below + above > 1").isEmpty()
+def _state(links: DataFrame) -> tuple[int, bool]:
+    """The number of links, and whether every key hangs on one root alone and no root hangs on another: one job."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")), F.struct(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))).alias("e"))
+    by = ends.groupBy("e.x").agg(F.sum("e.below").alias("below"), F.max("e.above").alias("above"))
+    n, most = by.agg(F.coalesce(F.sum("below"), F.lit(0)), F.coalesce(F.max(F.col("below") + F.when(F.col("below") > 0, F.col("above")).otherwise(0)), F.lit(0))).first()
+    return n, most <= 1
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,10 +36,11 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` was made of is no longer read when this returns.
     """
     links = cut(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    while not _done(links):
-        n = links.count()
+    while True:
+        n, done = _state(links)
+        if done:
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         wide = cut(_starred(links, True, n), "links")
         drop_cut(links)
-        links = cut(_starred(wide, False, wide.count()), "links")
+        links = cut(_starred(wide, False, n), "links")
         drop_cut(wide)
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
