@@ -38,12 +38,13 @@ def looked_up(rows: DataFrame, table: DataFrame, on: list[tuple[str, str]], n: s
     names = {c: f"hot_{c}" for c in table.columns}
     hot = F.broadcast(table.where(F.col(n) > bound).withColumnsRenamed(names))
     both = rows.join(hot, [F.col(a) == F.col(names[b]) for a, b in on], "left")
-    # rows that have met a hot key are dealt evenly and meet nothing more
-    is_hot = F.col(names[n]).isNotNull()
-    both = both.withColumn("hot_spread", F.when(is_hot, F.xxhash64(*rows.columns)))
-    cold = table.where(F.col(n) <= bound).withColumn("cold_spread", F.lit(None).cast("long"))
+    # rows that have met a hot key are dealt evenly and meet nothing more; the others by a hash of their key, which the table has too
+    # (a constant there would be folded into a filter, and all rows dealt by the key alone)
+    is_hot, hashed = F.col(names[n]).isNotNull(), lambda k: F.xxhash64(*[pair[k] for pair in on])
+    both = both.withColumn("hot_spread", F.when(is_hot, F.xxhash64(*rows.columns)).otherwise(hashed(0)))
+    cold = table.where(F.col(n) <= bound).withColumn("cold_spread", hashed(1))
     same = [F.col(a) == F.col(b) for a, b in on]
-    met = both.join(cold, [*same, F.col("hot_spread").eqNullSafe(F.col("cold_spread"))], "left").where(is_hot | F.col(n).isNotNull())
+    met = both.join(cold, [*same, F.col("hot_spread") == F.col("cold_spread")], "left").where(is_hot | F.col(n).isNotNull())
     return met.select(*rows.columns, *[F.coalesce(names[c], c).alias(c) for c in table.columns])
 
 
