@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.llm import byte_pairs
 from sieveline.llm.common import table
 from sieveline.llm.exact_dedup import exact_dedup
 from sieveline.llm.knn_join import knn_join
 from sieveline.llm.license_scan import license_scan
 from sieveline.llm.mixture import mix
+from sieveline.llm.rolling import rolling_features
 from sieveline.llm.secret_scan import digest, scan
 from sieveline.llm.simhash_dedup import simhash_dedup
+from sieveline.llm.spelling import variants
 from sieveline.llm.suffix_tree import score
 from sieveline.llm.tokenise import encode, token_counts
 from sieveline.llm.toxicity import toxicity
@@ -87,3 +91,26 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log probability of every document under a suffix tree, and under its base."""
     return score(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte-pair ids of every document, and what they decode to, as digests."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = byte_pairs.decode(byte_pairs.encode(docs, path, public_tokenizers.PATTERN), path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, sums, languages and ranks of lengths in the hour and the six hours before each document, by source."""
+    place = F.col("doc_id") + F.crc32(F.col("doc_id").cast("string")) % 4000
+    length = F.char_length("text").cast("bigint")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", length.alias("length"), (60 * F.floor(place / 6)).alias("event_s"))
+    found = rolling_features(docs, F.col("source"), F.col("event_s"), F.col("length"), F.col("lang"), [3600, 21600])
+    return found.select("doc_id", "event_s", F.inline("features")).select("doc_id", "window_s", "event_s", "n_events", "sum_chars", "n_langs", "median_chars", "high_chars")
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with the more frequent forms that they are variants of."""
+    return variants(table(spark, sf_dir, "documents").select("doc_id", "text")).select("word", "form", "root", "n", "n_near", "form_n")
