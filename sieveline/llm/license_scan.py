@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import cut, whole_texts
+from sieveline.llm.common import cut, looked_up, whole_texts
 
 LEAST = 0.6
 #: Verdicts that a task remembers, by the digest of the passages.
@@ -172,13 +172,19 @@ def _frequency_rows(vocabulary: frozenset[str]):
     return run
 
 
+def cued_rows(files: DataFrame) -> Column:
+    """Whether a row has a word that any statement of a licence has; null texts have none."""
+    return F.coalesce(F.col("text").rlike(_CUE), F.lit(False))
+
+
 def own_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, least: float = LEAST) -> DataFrame:
-    """license and score of the rows of ``files`` (text and other columns) that say that they are under one, and the other columns.
+    """stated, license and score of the rows of ``files`` (text and other columns) that have a cue, and the other columns.
 
-    The licence is null if no template reaches ``least``: it is unknown.
+    ``stated`` tells whether a row says that it is under a licence.  The licence is null if no template reaches ``least``: it is
+    unknown.
     """
     templates = templates or TEMPLATES
-    cued = files.where(F.col("text").rlike(_CUE))
+    cued = files.where(cued_rows(files))
     vocabulary = frozenset(t for forms in templates.values() for form in forms for t in terms(form))
     sums = cued.select("text").mapInArrow(_frequency_rows(vocabulary), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     frequency = {r.term: r.n for r in sums}
@@ -201,13 +207,13 @@ def own_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None
                         memory.clear()
                     memory[key] = verdict(parts)
                 found.append(memory[key])
-            some = pa.array([x is not None for x in found], pa.bool_())
+            stated = pa.array([x is not None for x in found], pa.bool_())
             columns = [batch.column(batch.schema.get_field_index(c)) for c in rest]
             made = [pa.array([x and x[1] for x in found], pa.string()), pa.array([x and x[0] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*columns, *made], names=[*rest, "license", "score"]).filter(some)
+            yield pa.RecordBatch.from_arrays([*columns, stated, *made], names=[*rest, "stated", "license", "score"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in files.dtypes if c != "text")
-    return cued.select(*rest, "text").mapInArrow(run, f"{kinds}, license string, score double")
+    return cued.select(*rest, "text").mapInArrow(run, f"{kinds}, stated boolean, license string, score double")
 
 
 def directory(path: Column) -> Column:
@@ -215,34 +221,35 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def license_scan(files: DataFrame, is_license: Column, templates: dict[str, tuple[str, ...]] | None = None, least: float = LEAST) -> DataFrame:
+def license_scan(files: DataFrame, is_license: Column, templates: dict[str, tuple[str, ...]] | None = None, least: float = LEAST, keep: tuple[str, ...] = ()) -> DataFrame:
     """path, license, score, how ('own', 'inherited' or 'unknown') and source_path of every row of ``files`` (path, text).
 
-    ``is_license`` is a condition on path and text that says which files speak for their directory.
+    ``is_license`` is a condition on path and text that says which files speak for their directory.  The columns of ``keep`` come
+    first, as they are.  What a row states is its own, whatever other rows have its path, and stays with its row; a path decides
+    only which directories a row inherits from.
     """
-    rows = files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("path", "text", F.coalesce(is_license, F.lit(False)).alias("speaks"))
+    kept = [f"kept_{k}" for k in range(len(keep))]
+    rows = files.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("speaks", F.coalesce(is_license, F.lit(False)))
     own = cut(own_licenses(rows, templates, least), "licenses")
     order = F.struct((-F.col("score")).alias("s"), "path", "license")
-    spoken = own.where("speaks AND path IS NOT NULL AND license IS NOT NULL").groupBy(directory(F.col("path")).alias("ancestor")).agg(F.min(order).alias("l"))
+    spoken = own.where("stated AND speaks AND path IS NOT NULL AND license IS NOT NULL")
+    spoken = spoken.groupBy(directory(F.col("path")).alias("ancestor")).agg(F.min(order).alias("l"))
 
-    paths = rows.select("path")
-    dirs = paths.where("path IS NOT NULL").select(directory(F.col("path")).alias("dir")).distinct()
+    dirs = rows.where("path IS NOT NULL").groupBy(directory(F.col("path")).alias("dir")).agg(F.count("*").alias("files"))
     parts = F.split("dir", "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     ancestors = F.array_distinct(F.concat(F.array(F.lit("")), ancestors))
-    near = dirs.select("dir", F.posexplode(ancestors).alias("depth", "ancestor")).join(spoken, "ancestor")
-    near = near.groupBy("dir").agg(F.max_by("l", "depth").alias("l"))
-
-    # files that repeat a path: each has its own text, but a path's licences are all of its rows' best
-    mine = own.groupBy("path").agg(F.min(F.struct(F.isnull("license").alias("none"), (-F.col("score")).alias("s"), "license")).alias("m"))
-    out = paths.join(mine.withColumnRenamed("path", "p"), F.col("path").eqNullSafe(F.col("p")) & F.col("path").isNotNull(), "left").withColumn("at", directory(F.col("path")))
-    out = out.join(near, F.col("at") == F.col("dir"), "left")
-    stated, known = F.col("m").isNotNull(), F.col("m.license").isNotNull()
-    return out.select(
-        "path",
-        F.when(stated, F.col("m.license")).otherwise(F.col("l.license")).alias("license"),
-        F.when(stated, -F.col("m.s")).otherwise(-F.col("l.s")).alias("score"),
-        F.when(known, "own").when(stated, "unknown").when(F.col("l").isNotNull(), "inherited").alias("how"),
-        F.when(stated, F.col("path")).otherwise(F.col("l.path")).alias("source_path"),
+    near = dirs.select("dir", "files", F.posexplode(ancestors).alias("depth", "ancestor")).join(spoken, "ancestor", "left")
+    near = near.groupBy("dir").agg(F.max_by("l", F.when(F.col("l").isNotNull(), F.col("depth"))).alias("l"), F.first("files").alias("files"))
+
+    mine = own.where("stated").select(
+        *kept, "path", "license", "score", F.when(F.col("license").isNotNull(), "own").otherwise("unknown").alias("how"), F.col("path").alias("source_path")
     )
+    others = rows.where(~cued_rows(rows)).select(*kept, "path").unionByName(own.where("NOT stated").select(*kept, "path"))
+    placed = looked_up(others.where("path IS NOT NULL").withColumn("at", directory(F.col("path"))), near, [("at", "dir")], "files", files.count())
+    found = F.col("l").isNotNull()
+    inherited = placed.select(*kept, "path", F.col("l.license").alias("license"), (-F.col("l.s")).alias("score"), F.when(found, "inherited").alias("how"), F.col("l.path").alias("source_path"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("license", "string"), ("score", "double"), ("how", "string"), ("source_path", "string"))]
+    nowhere = others.where("path IS NULL").select(*kept, "path", *none)
+    return mine.unionByName(inherited).unionByName(nowhere).withColumnsRenamed(dict(zip(kept, keep, strict=True)))

@@ -83,9 +83,9 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = F.when(every(10), F.concat(F.lit("LICENSE-"), number.cast("string"))).otherwise(part("doc_id"))
     folder = F.when(every(1000), F.concat_ws("/", F.lit(""), part("source"))).when(every(100), F.concat_ws("/", F.lit(""), part("source"), part("lang")))
     folder = folder.otherwise(F.concat_ws("/", F.lit(""), part("source"), part("lang"), hundred))
-    files = docs.select(F.concat_ws("/", folder, file).alias("path"), "text")
-    found = license_scan(files, F.col("path").rlike("/LICENSE-[^/]*$"))
-    return found.select(F.regexp_extract("path", "([0-9]*)$", 1).try_cast("long").alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), "how", "source_path")
+    files = docs.select("doc_id", F.concat_ws("/", folder, file).alias("path"), "text")
+    found = license_scan(files, F.col("path").rlike("/LICENSE-[^/]*$"), keep=("doc_id",))
+    return found.select("doc_id", "path", "license", F.round("score", 6).alias("score"), "how", "source_path")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

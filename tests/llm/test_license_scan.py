@@ -73,21 +73,19 @@ def brute(rows):
                 if cosine(v, f) > best[0] + 1e-12:
                     best = (cosine(v, f), name)
         stated = any(re.search(r"\b(licen[cs]ed|released|distributed|available) under\b|spdx-license-identifier", p, re.I) for p in cut_out(text or ""))
-        if path is not None and (best[0] >= 0.6 or stated):
-            name = best[1] if best[0] >= 0.6 else None
-            if path not in own or (name is None, -best[0], name) < (own[path][0] is None, -own[path][1], own[path][0]):
-                own[path] = (name, best[0])
+        if best[0] >= 0.6 or stated:
+            own[path, text] = (best[1] if best[0] >= 0.6 else None, best[0])
     out = []
-    for path, _ in rows:
+    for path, text in rows:
         hit = (None, None, None)
-        if path in own:
-            hit = (*own[path], path)
+        if (path, text) in own:
+            hit = (*own[path, text], path)
         elif path:
             parts = path.split("/")[:-1]
             while parts and hit == (None, None, None):
-                here = sorted((-own[p][1], p) for p in own if own[p][0] and p.rsplit("/", 1)[0] == "/".join(parts) and p.rsplit("/", 1)[-1].startswith("LICENSE"))
+                here = sorted((-s, p, n) for (p, _), (n, s) in own.items() if p and n and p.rsplit("/", 1)[0] == "/".join(parts) and p.rsplit("/", 1)[-1].startswith("LICENSE"))
                 if here:
-                    hit = (*own[here[0][1]], here[0][1])
+                    hit = (here[0][2], -here[0][0], here[0][1])
                 parts.pop()
         out.append((path, hit[0], None if hit[1] is None else round(hit[1], 9), hit[2]))
     return sorted(out, key=str)
@@ -102,6 +100,13 @@ def test_against_brute_force(spark):
     assert of["/a/nc.py"] == ("CC-BY-NC-4.0", "own") and of["/a/odd.py"] == (None, "unknown") and of["/a/long.py"] == ("MIT", "own") and of["/t/f.py"] == ("Apache-2.0", "inherited")
 
 
+def test_rows_of_one_path_have_their_own_licence(spark):
+    """Rows that share a path or an id, negative ids, no id, no path."""
+    rows = [(7, "/a/7", "Released under the MIT License."), (7, "/a/7", "About birds."), (-13, "/b/13", "Released under the Apache License, Version 2.0."), (None, None, "Released under the MIT License."), (None, None, "None.")]
+    got = license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), is_license(), keep=("doc_id",)).collect()
+    assert sorted(((r.doc_id or 0, r.license or "", r.how or "") for r in got)) == [(-13, "Apache-2.0", "own"), (0, "", ""), (0, "MIT", "own"), (7, "", ""), (7, "MIT", "own")]
+
+
 def test_empty(spark):
     assert license_scan(spark.createDataFrame([], SCHEMA), is_license()).count() == 0
 
