@@ -42,9 +42,8 @@ def noise_reason(text: Column, label: Column, least_hits: int = 3) -> Column:
 
 def keep_first(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     """The first row of each key.  Only the least of each task is shuffled."""
-    columns = rows.columns
-    out = rows.withColumn("__key", key).groupBy("__key").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("r"))
-    return out.select("r.*")
+    whole = F.struct(*[f"`{c}`" for c in rows.columns])
+    return rows.groupBy(key.alias("key")).agg(F.min_by(whole, F.struct(*order)).alias("first")).select("first.*")
 
 
 def near_duplicates_removed(rows: DataFrame, text: str, order: list[Column], keep_marks: bool = False) -> DataFrame:

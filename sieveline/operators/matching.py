@@ -1,16 +1,24 @@
 """Matching words against the lexicon, always on the distinct vocabulary, never on tokens.
 
-Stages in order of precedence: exact, suffix strip, bounded edit distance, containment.  Each is a join of the words with the
-surfaces of the lexicon, which is broadcast up to BROADCAST surfaces, a size that is counted first; beyond it Spark chooses.
+Stages in order of precedence: exact, suffix strip, bounded edit distance, containment.  Each is an equi-join of keys, and all of
+them are one join: a word gives a bounded number of keys, which meet the keys of the surfaces, and what meets is verified.
+
+* exact and suffix strip: the word, and its stems;
+* edit distance of at most k: a surface is cut into k + 1 parts, of which one is in the word untouched, moved by no more places than
+  the difference in length allows.  So a surface has k + 1 keys, (its length, the part's number, the part), and a word has 10 keys
+  for one edit and 39 for two, however long it is; keys of all strings with letters left out would grow with its square;
+* containment: a surface has one key, that of its four-letter parts which fewest surfaces share; a word gives its four-letter parts.
+
+So a word never meets the whole lexicon, and the keys of a lexicon of any size are joined as Spark chooses.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import surface_script
-from sieveline.scratch import BROADCAST, small
+from sieveline.scratch import BROADCAST, fresh, small
 from sieveline.sources.lexicon import exact_surfaces, phrase_surfaces
 
 #: Romanised suffixes in the order in which they are tried (fixed values).
@@ -29,6 +37,8 @@ LATIN_SUFFIXES = (
     "ku",
 )
 MIN_STEM, MAX_STRIP = 4, 5
+#: Letters of the parts by which containment is looked for: the shortest surface that counts.
+GRAM = 4
 #: Words that are never taken for misspellings (fixed values).
 INNOCENT = (
     "naan", "avan", "aval", "pola", "pottu", "enna", "illa", "irukku",
@@ -56,34 +66,128 @@ def suffix_matches(words: DataFrame, exact: DataFrame) -> DataFrame:
     return _found(stems.join(exact, F.col("stem") == F.col("surface")), 1, "suffix_strip", "rank")
 
 
+def part_keys(surface: Column, most: int) -> Column:
+    """The keys of a surface for ``most`` edits: of each of its most + 1 parts."""
+    n = F.length(surface)
+    return F.array(*[_part_key(surface, n, most, i, F.lit(0)) for i in range(most + 1)])
+
+
+def _part_key(text: Column, length: Column, most: int, i: int, moved: Column) -> Column:
+    """The key of what stands in a text where part i of a surface of some length would, moved by some places."""
+    at, to = (F.floor(length * k / (most + 1)).cast("int") for k in (i, i + 1))
+    return F.xxhash64(F.lit(most), length, F.lit(i), F.substring(text, at + moved + 1, to - at))
+
+
+def near_keys(word: Column, most: int, least: int = 1) -> Column:
+    """The keys of a word for surfaces within ``most`` edits of ``least`` characters."""
+    n, out = F.length(word), []
+    for longer in range(-most, most + 1):  # by how much the word is longer than the surface
+        length = n - longer
+        for i in range(most + 1):
+            at, to = (F.floor(length * k / (most + 1)).cast("int") for k in (i, i + 1))
+            for moved in range(-most, most + 1):
+                if abs(moved) + abs(longer - moved) <= most:
+                    inside = (length >= least) & (at + moved >= 0) & (to + moved <= n)
+                    out.append(F.when(inside, _part_key(word, length, most, i, F.lit(moved))))
+    return F.array_distinct(F.array_compact(F.array(*out)))
+
+
+def near_pairs(words: DataFrame, word: str, surfaces: DataFrame, surface: str, most: int, least: int = 1) -> DataFrame:
+    """Rows of both within ``most`` edits of each other, surfaces of ``least`` characters; each pair of rows once.
+
+    Of the keys that a pair shares the least counts, so that nothing is deduplicated by a shuffle.
+    """
+    of_word, of_surface = fresh(words, "word_keys"), fresh(surfaces, "surface_keys")
+    left = words.withColumn(of_word, near_keys(F.col(word), most, least))
+    left = left.withColumn(fresh(words, "word_key"), F.explode(of_word))
+    right = surfaces.where(F.length(surface) >= least).withColumn(of_surface, part_keys(F.col(surface), most))
+    right = right.withColumn(fresh(surfaces, "surface_key"), F.explode(of_surface))
+    met = left.join(right, F.col(left.columns[-1]) == F.col(right.columns[-1])).where(F.levenshtein(F.col(word), F.col(surface), most) >= 0)
+    first = F.array_min(F.array_intersect(of_word, of_surface)) == F.col(left.columns[-1])
+    return met.where(first).select(*words.columns, *surfaces.columns)
+
+
 def fuzzy_matches(words: DataFrame, exact: DataFrame, most: int, least: int) -> DataFrame:
-    """Within ``most`` edits, both of ``least`` characters; lengths meet in bands, by an equi-join."""
-    band = exact.where(F.length("surface") >= least).withColumn("band", F.explode(F.sequence(F.length("surface") - most, F.length("surface") + most)))
+    """Within ``most`` edits, both of ``least`` characters."""
     guarded = words.where((F.length("word") >= least) & ~F.col("word").isin(*INNOCENT))
-    near = guarded.join(band, (F.length("word") == F.col("band"))).where(F.levenshtein("word", "surface", most) >= 0)
-    return _found(near, 2, "fuzzy_levenshtein")
+    return _found(near_pairs(guarded, "word", exact, "surface", most, least), 2, "fuzzy_levenshtein")
+
+
+def _grams(text: Column) -> Column:
+    n = F.length(text)
+    return F.when(n >= GRAM, F.transform(F.sequence(F.lit(1), F.greatest(n - GRAM + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>"))
+
+
+def rarest_grams(surfaces: DataFrame) -> DataFrame:
+    """``surfaces`` with ``gram``, that of the surface's parts of GRAM letters which fewest surfaces have."""
+    each = surfaces.withColumn("gram", F.explode(F.array_distinct(_grams(F.col("surface")))))
+    each = each.withColumn("shared", F.count("*").over(Window.partitionBy("gram")))
+    best = F.min_by(F.struct(*surfaces.columns, "gram"), F.struct("shared", "gram")).alias("x")
+    return each.groupBy("surface").agg(best).select("x.*")
 
 
 def contained_matches(words: DataFrame, exact: DataFrame) -> DataFrame:
     """Words of five characters that contain a surface of four, of high or medium severity."""
-    keys = exact.where((F.length("surface") >= 4) & F.col("severity").isin("high", "medium"))
-    return _found(words.where(F.length("word") >= 5).join(keys, F.contains("word", "surface")), 3, "substring_containment")
+    keys = rarest_grams(exact.where((F.length("surface") >= GRAM) & F.col("severity").isin("high", "medium")))
+    parts = words.where(F.length("word") >= 5).withColumn("part", F.explode(F.array_distinct(_grams(F.col("word")))))
+    return _found(parts.join(keys, F.col("part") == F.col("gram")).where(F.contains("word", "surface")), 3, "substring_containment")
+
+
+def _candidates(words: DataFrame, fuzzy: list[tuple[int, int, Column]], contained: bool) -> DataFrame:
+    """Each word with its keys of all stages: stage, rank, most, key and text, what an exact surface has to be."""
+    word, script, n = F.col("word"), F.col("script"), F.length("word")
+
+    def row(stage: int, rank: int, most: int, key: Column, text: Column = word) -> Column:
+        return F.struct(F.lit(stage).alias("stage"), F.lit(rank).alias("rank"), F.lit(most).alias("most"), key.alias("key"), text.alias("text"))
+
+    whole = lambda text: F.xxhash64(F.lit("whole"), text)
+    out = [row(0, 0, 0, whole(word))]
+    for i, suffix in enumerate(LATIN_SUFFIXES):
+        stem = F.substring(word, F.lit(1), n - len(suffix))
+        out.append(F.when((script == "LATIN") & F.endswith(word, F.lit(suffix)) & (n - len(suffix) >= MIN_STEM), row(1, i, 0, whole(stem), stem)))
+    for i in range(1, MAX_STRIP + 1):
+        stem = F.substring(word, F.lit(1), n - i)
+        out.append(F.when((script == "TAMIL") & (n - i >= MIN_STEM), row(1, i, 0, whole(stem), stem)))
+    arrays = [F.array_compact(F.array(*out))]
+    none = F.array().cast("array<struct<stage:int,rank:int,most:int,key:bigint,text:string>>")
+    for most, least, when in fuzzy:
+        asked = when & (n >= least) & ~word.isin(*INNOCENT)
+        arrays.append(F.when(asked, F.transform(near_keys(word, most, least), lambda k: row(2, 0, most, k))).otherwise(none))  # noqa: B023
+    if contained:
+        grams = F.transform(F.array_distinct(_grams(word)), lambda g: row(3, 0, 0, F.xxhash64(F.lit("part"), g)))
+        arrays.append(F.when(n >= 5, grams).otherwise(none))
+    return words.select("word", "script", F.inline(F.concat(*arrays)))
+
+
+def _surface_keys(exact: DataFrame, fuzzy: list[tuple[int, int, Column]], contained: bool) -> DataFrame:
+    """The keys of surfaces (surface_key, surface, ord and what it stands for)."""
+    columns = ["surface", "ord", *_MATCH]
+    out = exact.select(F.xxhash64(F.lit("whole"), "surface").alias("surface_key"), *columns)
+    for most, least in {(most, least) for most, least, _ in fuzzy}:
+        out = out.unionByName(exact.where(F.length("surface") >= least).select(F.explode(part_keys(F.col("surface"), most)).alias("surface_key"), *columns))
+    if contained:
+        keys = rarest_grams(exact.where((F.length("surface") >= GRAM) & F.col("severity").isin("high", "medium")).select(*columns))
+        out = out.unionByName(keys.select(F.xxhash64(F.lit("part"), "gram").alias("surface_key"), *columns))
+    return out
 
 
 def match_words(words: DataFrame, entries: DataFrame, sensitivity: str = "standard") -> DataFrame:
-    """(word, script, match) of the distinct (word, script) rows that match; the first stage, rank and surface win."""
+    """(word, script, match) of the distinct (word, script) rows that match; the first stage, rank and surface win.
+
+    The vocabulary is read once and joined once, whatever the sensitivity.
+    """
     if sensitivity not in SENSITIVITIES:
         raise ValueError(f"sensitivity is one of {SENSITIVITIES}")
     exact = small(exact_surfaces(entries))
     words = words.where(F.col("script").isin("TAMIL", "LATIN") & (F.length("word") >= 2))
-    found = exact_matches(words, exact).unionByName(suffix_matches(words, exact))
-    if sensitivity == "strict":
-        found = found.unionByName(fuzzy_matches(words, exact, 1, 5))
-    elif sensitivity == "maximum":
-        short, long = words.where(F.length("word") < 6), words.where(F.length("word") >= 6)
-        found = found.unionByName(fuzzy_matches(short, exact, 1, 4)).unionByName(fuzzy_matches(long, exact, 2, 4)).unionByName(contained_matches(words, exact))
-    best = F.min_by(F.struct(*_MATCH, "match_type"), F.struct("stage", "rank", "ord"))
-    return found.groupBy("word", "script").agg(best.alias("match"))
+    short, contained = F.length("word") < 6, sensitivity == "maximum"
+    fuzzy = {"standard": [], "strict": [(1, 5, F.lit(True))], "maximum": [(1, 4, short), (2, 4, ~short)]}[sensitivity]
+    met = _candidates(words, fuzzy, contained).join(_surface_keys(exact, fuzzy, contained), F.col("key") == F.col("surface_key"))
+    near = F.when(F.col("most") == 1, F.levenshtein("word", "surface", 1) >= 0).otherwise(F.levenshtein("word", "surface", 2) >= 0)
+    good = F.when(F.col("stage") < 2, F.col("text") == F.col("surface")).when(F.col("stage") == 2, near).otherwise(F.contains("word", "surface"))
+    kinds = F.array(*map(F.lit, ("exact", "suffix_strip", "fuzzy_levenshtein", "substring_containment")))
+    best = F.min_by(F.struct(*_MATCH, F.get(kinds, F.col("stage")).alias("match_type")), F.struct("stage", "rank", "ord"))
+    return met.where(good).groupBy("word", "script").agg(best.alias("match"))
 
 
 def enumerable_matches(entries: DataFrame, most: int = BROADCAST) -> dict[str, dict] | None:

@@ -6,6 +6,8 @@ Arrow function does this for the flagged texts, all others pass by it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -26,13 +28,18 @@ def severity_rank(c: Column) -> Column:
     return F.when(F.lower(c) == "high", 3).when(F.lower(c) == "medium", 2).otherwise(1)
 
 
-def allowed_spans(spans: Column, threshold: str = "all", categories: list[str] | None = None) -> Column:
-    """Spans at or above a severity whose category, if any, is allowed."""
-    rank = RANKS.get(threshold, 1)
+def allowed_spans(spans: Column, threshold: str | Column = "all", categories: list[str] | Column | None = None) -> Column:
+    """Spans at or above a severity whose category, if any, is allowed.  Both may be columns; no categories allow all."""
+    if isinstance(threshold, Column):
+        rank = F.coalesce(severity_rank(threshold), F.lit(1))
+    else:
+        rank = F.lit(RANKS.get(threshold, 1))
+    none = F.array().cast("array<string>")
+    allowed = none if not isinstance(categories, Column) and not categories else categories if isinstance(categories, Column) else F.array(*map(F.lit, categories))
+    allowed = F.coalesce(allowed, none)
 
     def keep(s: Column) -> Column:
-        good = F.lit(True) if threshold == "all" else severity_rank(s["severity"]) >= rank
-        return good & ((s["category"] == "") | s["category"].isin(*categories)) if categories else good
+        return (severity_rank(s["severity"]) >= rank) & ((s["category"] == "") | (F.size(allowed) == 0) | F.array_contains(allowed, s["category"]))
 
     return F.filter(spans, keep)
 
@@ -76,6 +83,8 @@ class _Redactor:
 
     def __init__(self, mode: str, mark: str, replacements: dict[str, str], strict_token: bool) -> None:
         self.mode, self.mark, self.replacements, self.strict = mode, mark, replacements, strict_token
+        self.known: dict[tuple[str, ...], dict[str, tuple | None]] = {}
+        self.size = 0
 
     def polite(self, word: str, canon: str | None) -> str:
         own, canon = word.strip().lower(), (canon or "").strip().lower()
@@ -103,30 +112,39 @@ class _Redactor:
             return None
         return next((s for w, s in spans.items() if w in low or w in folded or w == plain), None)
 
-    def piece(self, p: str, spans: dict[str, dict]) -> tuple[str, str, str, dict] | None:
-        """Prefix, word, suffix and span of a piece, if it holds a flagged word."""
+    def piece(self, p: str, spans: dict[str, dict]) -> tuple[str, str, str, str] | None:
+        """Prefix, word, suffix and flagged word of a piece, if it holds one."""
         parts = _AFFIX.fullmatch(p)
         span = self.find(parts[2].lower(), spans) if parts else None
         if span is not None:
-            return parts[1], parts[2], parts[3], span
+            return parts[1], parts[2], parts[3], span["token"].lower()
         span = self.find(p.lower(), spans)
-        return None if span is None else ("", p, "", span)
+        return None if span is None else ("", p, "", span["token"].lower())
+
+    def pieces(self, words: tuple[str, ...]) -> dict[str, tuple | None]:
+        """What is known of the pieces of texts with these flagged words, which many texts share."""
+        if self.size > REMEMBERED:
+            self.known.clear()
+            self.size = 0
+        return self.known.setdefault(words, {})
 
     def text(self, raw: str, kept: list[dict]) -> dict:
         spans: dict[str, dict] = {}
         for s in kept:  # of equal words the last span counts, at the place of the first
             spans[s["token"].lower()] = s
-        known: dict[str, tuple | None] = {}
+        known = self.pieces(tuple(spans))
         shown, kind, hits = [], [], []
         for p in _PIECE.findall(raw):
             if p not in known:
                 known[p] = None if p.isspace() else self.piece(p, spans)
+                self.size += 1
             found = known[p]
             if found is None:
                 shown.append(p)
                 kind.append(p)
                 continue
-            before, word, after, span = found
+            before, word, after, key = found
+            span = spans[key]
             masked = self.masked(word, span)
             shown.append(before + masked + after)
             kind.append(before + self.polite(word, span["canon"]) + after)
@@ -134,25 +152,46 @@ class _Redactor:
         return {"censored": "".join(shown), "hits": hits, "kind": "".join(kind) if hits else None}
 
 
-def redact(rows: DataFrame, text: str = "text", spans: str = "flagged_spans", mode: str = "partial", mask: str | None = None, threshold: str = "all", categories: list[str] | None = None, replacements: dict[str, str] = POLITE, strict_token: bool = False) -> DataFrame:
-    """``rows`` with censored, redacted_spans, redacted_count and polite_suggestion (null if nothing was redacted)."""
-    if mode not in MODES:
+#: Pieces of text that a task remembers.
+REMEMBERED = 200_000
+_FIELDS = ("token", "source", "canon", "category", "severity")
+
+
+def redact(rows: DataFrame, text: str = "text", spans: str = "flagged_spans", mode: str | Column = "partial", mask: str | Column | None = None, threshold: str | Column = "all", categories: list[str] | Column | None = None, replacements: dict[str, str] = POLITE, strict_token: bool = False) -> DataFrame:
+    """``rows`` with censored, redacted_spans, redacted_count and polite_suggestion (null if nothing was redacted).
+
+    Mode, mark, threshold and categories may be columns, so that each row has its own in one plan; a mode that is none is partial,
+    a mark that is null the mode's own.  Only the flagged texts and the fields that redaction reads go to Python, as flat arrays.
+    """
+    if isinstance(mode, str) and mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    mark = mask if mask is not None else "*" if mode == "partial" else "█"
-    redactor = _Redactor(mode, mark, dict(replacements), strict_token)
+    modes = F.when(mode.isin(*MODES), mode).otherwise("partial") if isinstance(mode, Column) else F.lit(mode)
+    marks = F.coalesce(mask if isinstance(mask, Column) else F.lit(mask).cast("string"), F.when(modes == "partial", "*").otherwise("█"))
     result = pa.struct([("censored", pa.string()), ("hits", pa.list_(pa.struct([(c, pa.string()) for c in ("original_token", "redacted_token", "mode", "category", "severity", "source", "canon")]))), ("kind", pa.string())])
 
     @F.arrow_udf(f"struct<censored:string,hits:array<{_HIT}>,kind:string>")
-    def rewritten(texts: pa.Array, kept: pa.Array) -> pa.Array:
-        flagged = zip(texts.to_pylist(), kept.to_pylist(), strict=True)
-        return pa.array([None if t is None else redactor.text(t, k) for t, k in flagged], result)
+    def rewritten(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        known: dict[tuple[str, str], _Redactor] = {}
+        for texts, modes_, marks_, *fields in batches:
+            made = []
+            for raw, how, mark, *lists in zip(texts.to_pylist(), modes_.to_pylist(), marks_.to_pylist(), *(x.to_pylist() for x in fields), strict=True):
+                if raw is None:
+                    made.append(None)
+                    continue
+                if (how, mark) not in known:
+                    if len(known) >= 64:  # marks are free text
+                        known.clear()
+                    known[how, mark] = _Redactor(how, mark, dict(replacements), strict_token)
+                made.append(known[how, mark].text(raw, [dict(zip(_FIELDS, x, strict=True)) for x in zip(*lists, strict=True)]))
+            yield pa.array(made, result)
 
     raw = F.coalesce(F.col(text), F.lit(""))
     kept = allowed_spans(F.coalesce(F.col(spans).cast(f"array<{_SPAN}>"), F.array().cast(f"array<{_SPAN}>")), threshold, categories)
     all_, made = fresh(rows, "kept"), fresh(rows, "made")
     some = F.size(all_) > 0
     out = rows.withColumn(all_, F.explode(F.array(kept)))
-    out = out.withColumn(made, rewritten(F.when(some, raw), F.when(some, F.col(all_))))
+    lists = [F.when(some, F.col(all_)[c]) for c in _FIELDS]
+    out = out.withColumn(made, rewritten(F.when(some, raw), modes, marks, *lists))
     out = out.withColumn("censored", F.coalesce(F.col(made)["censored"], raw)).withColumn("polite_suggestion", F.col(made)["kind"])
     out = out.withColumn("redacted_spans", F.coalesce(F.col(made)["hits"], F.array().cast(f"array<{_HIT}>"))).withColumn("redacted_count", F.size("redacted_spans"))
     return out.drop(all_, made)

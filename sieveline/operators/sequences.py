@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.text import strip
 from sieveline.operators.evaluate import TAGS
-from sieveline.scratch import ranked
+from sieveline.scratch import fresh, ranked
 
 #: Columns that a file of tagged tokens may have its tags in, the first that is there counts (fixed values).
 TAG_COLUMNS = ("tag", "final_tag", "weak_tag")
@@ -68,8 +68,9 @@ def renamed(rows: DataFrame, names: dict[str, str], first: list[str] = (), inser
 
 def token_ids(tokens: DataFrame, token: str, vocabulary: DataFrame, unknown: int = 1) -> DataFrame:
     """``tokens`` with the id that the vocabulary (token, id) gives, the unknown one else.  Joined by the word, whatever its size."""
-    ids = vocabulary.select(F.col("token").alias("__word"), F.col("id").alias("__id"))
-    return tokens.join(ids, F.col(token) == F.col("__word"), "left").withColumn("id", F.coalesce("__id", F.lit(unknown))).drop("__word", "__id")
+    word, known = fresh(tokens, "word"), fresh(tokens, "known_id")
+    ids = vocabulary.select(F.col("token").alias(word), F.col("id").alias(known))
+    return tokens.join(ids, F.col(token) == F.col(word), "left").withColumn("id", F.coalesce(known, F.lit(unknown))).drop(word, known)
 
 
 def counters(sequences: DataFrame) -> DataFrame:

@@ -15,13 +15,21 @@ def merged_intervals(rows: DataFrame, key: str) -> DataFrame:
 
 
 def word_places(text: Column, word: str) -> Column:
-    """Where a word, in any case, begins in a text, as 0-based places, without overlap."""
-    gaps = F.split(F.lower(text), "\\Q" + word.lower() + "\\E", -1)
+    """Where a word, in any case, begins in a text, as 0-based places, without overlap.
+
+    The text itself is cut, not its lower case, which may be longer.
+    """
+    gaps = F.split(text, "(?iu)" + quoted(word), -1)
     n = F.size(gaps) - 1
     ends = F.aggregate(F.slice(gaps, F.lit(1), F.greatest(n, F.lit(0))), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("o")), lambda a, g: F.struct((a["at"] + F.length(g) + len(word)).alias("at"), F.concat(a["o"], F.array(a["at"] + F.length(g))).alias("o")))
     return ends["o"]
 
 
+def quoted(word: str) -> str:
+    """A pattern for the word itself."""
+    return "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def match_intervals(rows: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
     each = F.concat(*[_intervals(F.col(text), w) for w in words])
     return rows.select(key, F.explode(each).alias("x")).select(key, "x.start", "x.end")

@@ -100,9 +100,12 @@ def with_spans(rows: DataFrame, entries: DataFrame, spans: str, tokens: str = "t
         table = WordTable({w: m for w, m in found.items() if _allowed(m["severity"], sensitivity, gate)})
         tamil = sensitivity == "standard" and any(w > "஀" for w in table.words)
         known_as = lambda w: F.coalesce(F.when(table.has(w), w), *(_stems(w, table) if tamil else []))
-        words = F.transform(F.col(tokens), lambda t, i: F.struct(i.alias("i"), t.alias("t"), F.lower(t).alias("w")))
-        some = F.filter(words, lambda x: (table.has(x["w"]) | _is_tamil(x["w"]) if tamil else table.has(x["w"])) & free(x["i"]))
-        keyed = F.filter(F.transform(some, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"), x["w"].alias("w"), known_as(x["w"]).alias("k"))), lambda x: x["k"].isNotNull())
+        # one pass over the tokens gives the places of hits; all else is done for these alone
+        may = lambda w: table.has(w) | _is_tamil(w) if tamil else table.has(w)
+        places = F.filter(F.transform(F.col(tokens), lambda t, i: F.when(may(F.lower(t)), i)), lambda i: i.isNotNull())
+        some = F.filter(places, free) if known else places
+        words = F.transform(some, lambda i: F.struct(i.alias("i"), F.get(tokens, i).alias("t"), F.lower(F.get(tokens, i)).alias("w")))
+        keyed = F.filter(F.transform(words, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"), x["w"].alias("w"), known_as(x["w"]).alias("k"))), lambda x: x["k"].isNotNull())
         single = F.transform(keyed, lambda x: _single(x, table))
         out = rows.withColumn(spans, single)
     if known:

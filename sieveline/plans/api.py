@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import sieveline
 from sieveline.functions.text import normalize, strip, tag_tokens
 from sieveline.operators import redact as _redact
+from sieveline.operators.matching import SENSITIVITIES
 from sieveline.operators.tagging import moderate
 from sieveline.scratch import numbered
 from sieveline.sources import lexicon, readers
@@ -63,14 +64,15 @@ def respond(requests: DataFrame, entries: DataFrame, full: bool = False) -> Data
     """``requests`` (id, path, body) with status and response, as a service would answer them, a batch of requests at once.
 
     Paths are /predict, /predict_batch, /censor and /health; a body without its text, or whose texts are no list, is answered
-    by 400 and a message, an unknown path by 404.  Requests are grouped by what they ask for: one plan for each combination of
-    sensitivity, mode, mark and threshold that occurs; allowed categories are applied row by row.
+    by 400 and a message, an unknown path by 404.  What a request asks for (mode, mark, threshold, categories) are columns of one
+    plan; only the three sensitivities are branches, however many kinds of requests there are.
     """
     whole = F.from_json("body", "map<string,string>")
     rows, row = numbered(requests.select("id", "path", whole.alias("whole"), F.from_json("body", REQUEST).alias("r")))
     at = F.regexp_replace("path", "[?].*$", "")
     has = lambda c: F.coalesce(F.map_contains_key("whole", F.lit(c)), F.lit(False))
     no_list = ~F.coalesce(F.startswith(F.try_element_at("whole", F.lit("texts")), F.lit("[")), F.lit(False))
+    # the service's messages (fixed values)
     error = (
         F.when(at.isin("/predict", "/censor") & ~has("text"), "body must be JSON with a 'text' field")
         .when((at == "/predict_batch") & ~has("texts"), "body must be JSON with a 'texts' list")
@@ -81,27 +83,19 @@ def respond(requests: DataFrame, entries: DataFrame, full: bool = False) -> Data
     rows = rows.withColumn("status", status)
     text = F.when(F.col("at") == "/predict_batch", F.col("r.texts")).otherwise(F.array(F.col("r.text")))
     asked = rows.where("status = 200 AND at != '/health'").select(F.col(row).alias("n"), "at", F.coalesce(F.lower("r.sensitivity"), F.lit("standard")).alias("sensitivity"), F.coalesce(F.lower("r.mode"), F.lit("partial")).alias("mode"), F.col("r.mask_char").alias("mask"), F.coalesce(F.lower("r.severity_threshold"), F.lit("all")).alias("threshold"), F.col("r.allowed_categories").alias("allowed"), F.posexplode_outer(text).alias("k", "text"))
-    kinds = asked.select("at", "sensitivity", "mode", "mask", "threshold").distinct().limit(1000).collect()
+    blank = F.to_json(F.struct(F.lit(True).alias("safe"), F.array().cast("array<string>").alias("flagged_words")))
     answers = None
-    for k in kinds:
-        same = (F.col("at") == k["at"]) & (F.col("sensitivity") == k.sensitivity) & (F.col("mode") == k.mode) & F.col("mask").eqNullSafe(F.lit(k["mask"])) & (F.col("threshold") == k.threshold)
-        some = asked.where(same).select("n", "k", "text", "allowed")
-        found = moderate(some, entries, "n", sensitivity=k.sensitivity if k.sensitivity in ("strict", "maximum") else "standard")
-        if k["at"] == "/censor":
-            kept = F.filter("flagged_spans", lambda s: F.col("allowed").isNull() | (F.size("allowed") == 0) | (s["category"] == "") | F.array_contains("allowed", s["category"]))
-            found = _redact.redact(found.withColumn("kept_spans", kept), spans="kept_spans", mode=k.mode if k.mode in _redact.MODES else "partial", mask=k["mask"], threshold=k.threshold)
-            out = censored_json(found.withColumnRenamed("text", "original"), *("n", "k"))
-        else:
-            blank = F.to_json(F.struct(F.lit(True).alias("safe"), F.array().cast("array<string>").alias("flagged_words")))
-            out = to_json(found, full, "n", "k", "text")
-            if k["at"] == "/predict_batch":
-                out = out.withColumn("value", F.when(F.coalesce(strip(F.col("text")), F.lit("")) == "", blank).otherwise(F.col("value")))
-            out = out.drop("text")
-        answers = out if answers is None else answers.unionByName(out)
+    for sensitivity in SENSITIVITIES:
+        own = F.when(F.col("sensitivity").isin("strict", "maximum"), F.col("sensitivity")).otherwise("standard") == sensitivity
+        found = moderate(asked.where(own), entries, "n", sensitivity=sensitivity)
+        masked = _redact.redact(found, mode=F.col("mode"), mask=F.col("mask"), threshold=F.col("threshold"), categories=F.col("allowed"))
+        censored = censored_json(masked.where("at = '/censor'").withColumnRenamed("text", "original"), "n", "k")
+        plain = to_json(found.where("at != '/censor'"), full, "n", "k", "at", "text")
+        is_blank = (F.col("at") == "/predict_batch") & (F.coalesce(strip(F.col("text")), F.lit("")) == "")
+        plain = plain.select("n", "k", F.when(is_blank, blank).otherwise(F.col("value")).alias("value"))
+        answers = censored.unionByName(plain) if answers is None else answers.unionByName(censored).unionByName(plain)
     health_ = F.to_json(F.struct(F.lit("ok").alias("status"), F.lit(sieveline.__version__).alias("version")))
     fixed = F.when(F.col("error").isNotNull(), F.to_json(F.struct("error"))).when(F.col("status") == 404, F.lit('{"error":"no such path"}')).otherwise(health_)
-    if answers is None:
-        return rows.select("id", "status", fixed.alias("response"))
     by = answers.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("values"))
     out = rows.join(by, F.col(row) == F.col("n"), "left")
     batch = F.concat(F.lit('{"results":['), F.array_join(F.coalesce("values", F.array().cast("array<string>")), ","), F.lit("]}"))

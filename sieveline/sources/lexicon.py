@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.text import nfc, normalize
 
+#: Places of surfaces: the entry's place in the upper half of a long, the variant's in the lower, so that neither has a limit.
+PLACES = 1 << 32
 RECORD = "struct<variants:array<string>,category:string,severity:string,script:string,meaning_en:string,cross_ref:string>"
 
 #: A demonstration lexicon for the driver's tables: canon, variants, category, severity.
@@ -55,7 +57,7 @@ def surface_rows(entries: DataFrame) -> DataFrame:
     """(ord, surface, kind, canon, category, severity): every canonical form and variant, keyed, in dictionary order."""
     rows = entries.select("ord", "canon", "category", "severity", F.posexplode(F.concat(F.array("canon"), "variants")).alias("k", "surface"))
     rows = rows.withColumn("surface", nfc(F.lower("surface")))
-    return rows.select((F.col("ord") * 100_000 + F.col("k")).alias("ord"), "surface", F.when(F.col("k") == 0, "canonical").otherwise("variant").alias("kind"), "canon", "category", "severity")
+    return rows.select((F.col("ord").cast("long") * PLACES + F.col("k")).alias("ord"), "surface", F.when(F.col("k") == 0, "canonical").otherwise("variant").alias("kind"), "canon", "category", "severity")
 
 
 def exact_surfaces(entries: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def sql_values(rows=DEMO) -> str:
     out = []
     for i, (canon, variants, category, severity) in enumerate(rows):
         for k, s in enumerate((canon, *variants)):
-            out.append(f"({i * 100_000 + k}, '{s}', '{'variant' if k else 'canonical'}', '{canon}', '{category}', '{severity}')")
+            out.append(f"({i * PLACES + k}::BIGINT, '{s}', '{'variant' if k else 'canonical'}', '{canon}', '{category}', '{severity}')")
     return "(VALUES " + ", ".join(out) + ") AS lex(ord, surface, kind, canon, category, severity)"
 
 
