@@ -53,13 +53,12 @@ def _value(letter: Column) -> Column:
 
 
 def keyed(words: DataFrame) -> DataFrame:
-    """Each of ``words`` (word, n) under its keys: key, shared (letters that a partner has too), end (which half), half, less."""
+    """Each of ``words`` (word, n, total) under its keys: key, shared (letters that a partner has too), end (which half), half, less."""
     letters = F.split("word", "")
-    total = F.aggregate(letters, F.lit(0).cast("bigint"), lambda sum_, c: sum_ + _value(c))
     size = F.char_length("word")
     own = F.array(F.struct(F.lit(0).cast("bigint").alias("value"), size.alias("shared")))
     less = F.transform(F.array_distinct(letters), lambda c: F.struct(_value(c).alias("value"), (size - 1).alias("shared")))
-    each = words.select("word", "n", total.alias("total"), F.explode(F.concat(own, less)).alias("k"))
+    each = words.select("word", "n", "total", F.explode(F.concat(own, less)).alias("k"))
     shared = F.col("k.shared")
     first, last = F.floor(shared / 2).cast("int"), F.ceil(shared / 2).cast("int")
     halves = F.array(
@@ -72,12 +71,16 @@ def keyed(words: DataFrame) -> DataFrame:
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """All pairs of ``words`` (word, n) that differ by one letter added, removed or exchanged, once: a, a_n, b, b_n."""
-    keys = keyed(words)
+    # words are dealt before they are given keys, since a table of words is small for what is made of it
+    total = F.aggregate(F.split("word", ""), F.lit(0).cast("bigint"), lambda sum_, c: sum_ + _value(c)).alias("total")
+    dealt = words.select("word", "n", total).repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    keys = keyed(dealt)
     on = ["key", "shared", "end", "half"]
-    left = keys.where("less").select(*on, F.col("word").alias("a"), F.col("n").alias("a_n"))
-    right = keys.select(*on, F.col("word").alias("b"), F.col("n").alias("b_n"), "less")
-    # both less a letter: an exchange, once; a whole word beside one less a letter: an addition
-    met = left.join(right, on).where((~F.col("less")) | (F.col("a") < F.col("b")))
+    side = lambda x: keys.select(*on, F.col("word").alias(x), F.col("n").alias(f"{x}_n"), F.col("less").alias(f"{x}_less"))
+    # both less a letter: an exchange, once; a whole word beside one less a letter: an addition.  The condition takes both sides, so
+    # that these are one shuffle
+    once = F.when(F.col("a_less") & F.col("b_less"), F.col("a") < F.col("b")).otherwise(F.col("a_less") & (F.col("a") != F.col("b")))
+    met = side("a").join(side("b"), on).where(once)
     first = F.floor(F.col("shared") / 2).cast("int")
     same = F.substring(F.col("a"), F.lit(1), first) == F.substring(F.col("b"), F.lit(1), first)
     return met.where((same == (F.col("end") == 0)) & (F.levenshtein("a", "b", 1) == 1)).select("a", "a_n", "b", "b_n")
