@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import strip, token_texts
+from sieveline.operators.tagging import moderate
 from sieveline.scratch import new_folder
 
 
@@ -57,9 +58,64 @@ def once(events: DataFrame, key: str) -> DataFrame:
     return events.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark([key])
 
 
-def with_live_config(events: DataFrame, config: DataFrame, key: str) -> DataFrame:
-    """Settings of a table, read anew for each micro-batch."""
-    return events.join(config, key, "left")
+def latest_settings(settings: DataFrame, key: str, version: str = "version") -> DataFrame:
+    """Of a table of settings with versions the last row of each key."""
+    rest = [c for c in settings.columns if c not in (key, version)]
+    return settings.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("x")).select(key, "x.*")
+
+
+def with_live_config(stream: DataFrame, settings, key: str, after=None) -> DataFrame:
+    """The rows of a stream with the settings of their key, which ``settings()`` reads anew for each micro-batch.
+
+    The table may change while the query runs: a batch has what is there when it begins, and keeps it if it is repeated after a
+    failure only if the table keeps its versions.  ``after(number)`` is called when a batch has been written.  The result is
+    a table; rows that have come twice, since a batch was repeated, replace themselves.
+    """
+    spark = stream.sparkSession
+    state, out = new_folder(spark, "live-state"), new_folder(spark, "live")
+    kinds = stream.limit(0).schema  # the names that are there before settings are joined
+    joined = latest_settings(settings(), key)
+    schema = spark.createDataFrame([], kinds).join(joined, key, "left").schema
+    spark.createDataFrame([], schema).write.parquet(f"{out}/batch=-1")
+
+    def write(rows: DataFrame, number: int) -> None:
+        now = latest_settings(settings(), key)
+        rows.join(now, key, "left").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if after is not None:
+            after(number)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
+
+
+def moderated(stream: DataFrame, entries: DataFrame, key: str, text: str = "text", sensitivity: str = "standard", state: str | None = None, out: str | None = None) -> DataFrame:
+    """The verdicts of a stream's texts, in every sensitivity: each micro-batch is moderated as a table would be.
+
+    Texts are judged one by one, so that a batch's verdicts do not hang on where the stream was cut.  ``state`` and ``out`` are
+    folders that outlive the query; a query that is started again goes on where the last one ended.
+    """
+    spark = stream.sparkSession
+    state, out = state or new_folder(spark, "moderation-state"), out or new_folder(spark, "moderation")
+    empty = moderate(spark.createDataFrame([], stream.schema), entries, key, text)
+    empty.write.mode("overwrite").parquet(f"{out}/batch=-1")
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.persist()  # the stricter sensitivities read the batch twice: for its vocabulary, and for its verdicts
+        moderate(rows, entries, key, text, sensitivity).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows.unpersist()
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(empty.schema).option("recursiveFileLookup", True).parquet(out)
+
+
+def read_lines_stream(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
+    """The lines of a folder's text files as they come, blank ones left out: ``value``, and ``doc_id``, a hash of file and line.
+
+    Equal lines of a file have the same id and the same verdict.
+    """
+    reader = spark.readStream.format("text")
+    lines = (reader.option("maxFilesPerTrigger", files) if files else reader).load(folder)
+    return lines.where(strip(F.col("value")) != "").select(F.xxhash64("_metadata.file_path", "value").alias("doc_id"), "value")
 
 
 def flagged_lines(lines: DataFrame, words: list[str]) -> DataFrame:
