@@ -33,12 +33,12 @@ _M = {
 _MCOLS = "m(word, stage, rank, ord, canon, category, severity, match_type)"
 
 
-def _best(kind: str) -> str:
-    return f"WITH {_LEX}, {_TOK}, {_WORDS}, {_MCOLS} AS ({_M[kind]}) SELECT word, arg_min(canon, rank * 1000000000 + ord) AS canon FROM m GROUP BY word"
+def _best(*kinds: str) -> str:
+    return f"WITH {_LEX}, {_TOK}, {_WORDS}, {_MCOLS} AS ({' UNION ALL '.join(_M[k] for k in kinds)}) SELECT word, arg_min(canon, rank * 281474976710656 + ord) AS canon FROM m GROUP BY word"
 
 
 def _matched(*kinds: str) -> str:
-    return f"{_MCOLS} AS ({' UNION ALL '.join(_M[k] for k in kinds)}), best AS (SELECT word, arg_min({{'canon': canon, 'category': category, 'severity': severity, 'match_type': match_type}}, stage * 1000000000000000 + rank * 1000000000 + ord) AS b FROM m GROUP BY word)"
+    return f"{_MCOLS} AS ({' UNION ALL '.join(_M[k] for k in kinds)}), best AS (SELECT word, arg_min({{'canon': canon, 'category': category, 'severity': severity, 'match_type': match_type}}, stage * 72057594037927936 + rank * 281474976710656 + ord) AS b FROM m GROUP BY word)"
 
 
 _PHRASES = """nx AS (SELECT *, lower(token) || ' ' || lower(lead(token) OVER (PARTITION BY doc_id ORDER BY pos)) AS pair FROM tok),
@@ -105,6 +105,19 @@ _CLEAN_TURNS = _CLEAN.replace("doc_id", "conv_id, turn").replace("documents", "c
 _HEURISTIC = "(VALUES " + ", ".join(f"({k}, '{w}', '{c}')" for k, (w, _, c, _) in enumerate(HEURISTIC)) + ") AS h(rank, word, category)"
 _HEURISTIC_WORDS = "|".join(w for w, *_ in HEURISTIC)
 
+
+def _moderated(table: str, key: str, text: str) -> str:
+    """The verdicts of a table's texts."""
+    clean = _CLEAN.replace("FROM documents", "FROM docs")
+    return f"""WITH {_LEX}, docs AS (SELECT {key} AS doc_id, {text} AS text FROM {table}), c AS MATERIALIZED ({clean}), tok AS MATERIALIZED (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(t, '{_TOKEN}') AS l FROM c)),
+        {_WORDS}, {_matched('exact', 'suffix')}, {_PHRASES},
+        fl AS (SELECT t.doc_id, t.pos, t.token, coalesce(s.category, i.category, b.b.category) AS category FROM tok t LEFT JOIN starts s ON s.doc_id = t.doc_id AND s.pos = t.pos LEFT JOIN starts i ON i.doc_id = t.doc_id AND i.pos + 1 = t.pos
+            LEFT JOIN best b ON b.word = lower(t.token) WHERE s.pos IS NOT NULL OR i.pos IS NOT NULL OR b.b.severity <> 'low'),
+        w AS (SELECT doc_id, string_agg(lower(token), ',' ORDER BY p) AS words FROM (SELECT doc_id, token, min(pos) AS p FROM fl GROUP BY ALL) GROUP BY doc_id),
+        k AS (SELECT doc_id, string_agg(category, ',' ORDER BY p) AS categories FROM (SELECT doc_id, category, min(pos) AS p FROM fl WHERE category <> '' GROUP BY ALL) GROUP BY doc_id)
+        SELECT d.doc_id, n IS NULL AS safe, coalesce(n, 0)::INT AS spans, coalesce(words, '') AS words, coalesce(categories, '') AS categories FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM fl GROUP BY doc_id) USING (doc_id) LEFT JOIN w USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
 SQL = {
     "a1_lexicon_surfaces": f"WITH {_LEX} SELECT * FROM lexicon",
     "a16_text_nodes": f"SELECT page_id, count(*) AS nodes, sum(length(n)) AS chars FROM (SELECT page_id, unnest({_NODES}) AS n FROM pages) GROUP BY page_id",
@@ -144,7 +157,7 @@ SQL = {
         SELECT doc_id, canon, count(*) AS n FROM tok JOIN best ON token = word WHERE severity <> 'low' GROUP BY ALL""",
     "d9_guard": "SELECT w || e AS word, arg_min(v || 's', k) AS canon FROM (SELECT unnest([" + ", ".join(f"'{w}'" for w in INNOCENT) + "]) AS w), (VALUES (''), ('x'), ('zz')) AS es(e), (SELECT generate_subscripts(l, 1) AS k, unnest(l) AS v FROM (SELECT [" + ", ".join(f"'{w}'" for w in INNOCENT) + "] AS l)) WHERE length(w || e) >= 5 AND length(v) >= 4 AND w || e NOT IN (" + ", ".join(f"'{w}'" for w in INNOCENT) + ") AND levenshtein(w || e, v || 's') <= 1 GROUP BY 1",
     "e4_fuzzy_strict": _best("fuzzy1"),
-    "e5_fuzzy_maximum": _best("fuzzy2"),
+    "e5_fuzzy_maximum": _best("fuzzy_short", "fuzzy2"),
     "e6_substring": _best("substring"),
     "e7_match_precedence": f"WITH {_LEX}, {_TOK}, {_WORDS}, {_matched('exact', 'suffix', 'fuzzy_short', 'fuzzy2', 'substring')} SELECT word, b.canon AS canon, b.match_type AS match_type FROM best",
     "e8_train_split": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
@@ -206,7 +219,9 @@ SQL = {
         SELECT count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM bad)) AS n_safe, count(*) FILTER (doc_id IN (SELECT doc_id FROM bad)) AS n_unsafe FROM c""",
     "d10_review_pool": f"WITH {_BIO} SELECT doc_id FROM bio GROUP BY doc_id HAVING bool_and(tag = 'O')",
     "d15_missed": f"WITH {_GP} SELECT doc_id, pos, token FROM gp WHERE pred <> 'O' AND gold = 'O' ORDER BY doc_id, pos LIMIT 20",
-    "g18_deltas": f"""WITH {_GP}, s AS (SELECT {_sums("(gold <> 'O')", "(pred <> 'O')")} FROM gp), p AS (SELECT tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM s) SELECT round(p - 1, 6) AS precision_delta, round(r - 1, 6) AS recall_delta, round(2 * p * r / (p + r) - 1, 6) AS f1_delta FROM p""",
+    "g18_deltas": f"""WITH {_GP}, t AS (SELECT gold, pred, CASE WHEN category = 'profanity' THEN 'B-ABUSE' ELSE 'O' END AS base FROM gp),
+        m AS (SELECT tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM (SELECT {_sums("(gold <> 'O')", "(pred <> 'O')")} FROM t)), n AS (SELECT tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM (SELECT {_sums("(gold <> 'O')", "(base <> 'O')")} FROM t))
+        SELECT round(m.p - n.p, 6) AS precision_delta, round(m.r - n.r, 6) AS recall_delta, round(2 * m.p * m.r / (m.p + m.r) - 2 * n.p * n.r / (n.p + n.r), 6) AS f1_delta FROM m, n""",
     "h10_best_so_far": """WITH e AS (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
         SELECT event_id, greatest(coalesce(before, value), value) AS best, (k - max(CASE WHEN before IS NULL OR value > before THEN k END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))::INT AS stale FROM e""",
     "i4_review_sentences": f"WITH {_BIO} SELECT doc_id, count(*) AS n FROM bio GROUP BY doc_id HAVING bool_and(tag = 'O') ORDER BY doc_id LIMIT 8",
@@ -224,21 +239,19 @@ SQL = {
     "a5_csv_round_trip": """SELECT doc_id, md5('"' || text || ', ""') AS h FROM documents""",
     "a8_lines": r"SELECT md5(t) AS h, count(*) AS n FROM (SELECT regexp_replace(text, '[\r\n]+', ' ', 'g') AS t FROM documents) WHERE regexp_matches(t, '\S') GROUP BY 1",
     "a15_split_lines": r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')))::INT AS n FROM documents",
-    "i13_injection": f"""WITH {_LEX}, w AS (SELECT (ord // 100000) * 10 + ord % 100000 AS id, surface FROM lexicon WHERE severity <> 'low' AND ord % 100000 <= 3), fl AS (SELECT unnest(['well', 'then', 'now', 'here', 'today', 'maybe']) AS f),
+    "i13_injection": f"""WITH {_LEX}, w AS (SELECT (ord // 4294967296) * 10 + ord % 4294967296 AS id, surface FROM lexicon WHERE severity <> 'low' AND ord % 4294967296 <= 3), fl AS (SELECT unnest(['well', 'then', 'now', 'here', 'today', 'maybe']) AS f),
         r AS (SELECT id, surface, tag, f, row_number() OVER (PARTITION BY id, tag ORDER BY md5('{SEED}' || tag || ':' || id || ':' || f), f) AS k,
             least_ + floor(('0x' || left(md5('{SEED}:' || id || ':' || tag), 8))::BIGINT / 4294967296 * (most - least_ + 1))::INT AS take FROM w, fl, (VALUES ('pre', 1, 3), ('post', 0, 2)) AS t(tag, least_, most)),
         s AS (SELECT id, surface, string_agg(f, ' ' ORDER BY k) FILTER (tag = 'pre' AND k <= take) AS a, string_agg(f, ' ' ORDER BY k) FILTER (tag = 'post' AND k <= take) AS z FROM r GROUP BY id, surface),
         o AS (SELECT *, concat_ws(' ', a, surface, z) AS tokens FROM s)
         SELECT id AS sent_id, tokens, concat_ws(' ', regexp_replace(a, '\\S+', 'O', 'g'), 'B-ABUSE' || repeat(' I-ABUSE', len(string_split(surface, ' ')) - 1), regexp_replace(z, '\\S+', 'O', 'g')) AS tags FROM o""",
     "k2_once": "SELECT DISTINCT user_id FROM events",
-    "k6_live_config": "SELECT event_type, CASE event_type WHEN 'click' THEN true WHEN 'view' THEN false WHEN 'purchase' THEN true END AS enabled, count(*) AS n FROM events GROUP BY ALL",
-    "f3_verdicts": f"""WITH {_LEX}, c AS MATERIALIZED ({_CLEAN}), tok AS MATERIALIZED (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(t, '{_TOKEN}') AS l FROM c)),
-        {_WORDS}, {_matched('exact', 'suffix')}, {_PHRASES},
-        fl AS (SELECT t.doc_id, t.pos, t.token, coalesce(s.category, i.category, b.b.category) AS category FROM tok t LEFT JOIN starts s ON s.doc_id = t.doc_id AND s.pos = t.pos LEFT JOIN starts i ON i.doc_id = t.doc_id AND i.pos + 1 = t.pos
-            LEFT JOIN best b ON b.word = lower(t.token) WHERE s.pos IS NOT NULL OR i.pos IS NOT NULL OR b.b.severity <> 'low'),
-        w AS (SELECT doc_id, string_agg(lower(token), ',' ORDER BY p) AS words FROM (SELECT doc_id, token, min(pos) AS p FROM fl GROUP BY ALL) GROUP BY doc_id),
-        k AS (SELECT doc_id, string_agg(category, ',' ORDER BY p) AS categories FROM (SELECT doc_id, category, min(pos) AS p FROM fl WHERE category <> '' GROUP BY ALL) GROUP BY doc_id)
-        SELECT d.doc_id, n IS NULL AS safe, coalesce(n, 0)::INT AS spans, coalesce(words, '') AS words, coalesce(categories, '') AS categories FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM fl GROUP BY doc_id) USING (doc_id) LEFT JOIN w USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    # settings of the second half have changed since the first
+    "k6_live_config": """WITH t AS (SELECT event_type, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT event_type, n % 2 = 0 AS enabled FROM t)
+        SELECT event_id % 2 AS half, event_type, CASE WHEN event_id % 2 = 0 THEN enabled ELSE NOT enabled END AS enabled, count(*) AS n FROM events JOIN s USING (event_type) GROUP BY ALL""",
+    "k5_keyed_state": "SELECT user_id, count(*) AS n FROM events GROUP BY ALL",
+    "h2_first_seen": "SELECT user_id, epoch_us(min(ts)) // 1000 AS first_ms FROM events GROUP BY ALL",
+    "f3_verdicts": _moderated("documents", "doc_id", "text"),
     "h9_capped_vocabulary": f"WITH {_TOK}, c AS (SELECT lower(token) AS token, count(*) AS n, min(doc_id * 10000000 + pos) AS f FROM tok GROUP BY 1 HAVING count(*) >= 2), r AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, f) + 1 AS id FROM c) SELECT token, n, id FROM r WHERE id <= 1001",
     "i1_errors": f"WITH {_GP} SELECT doc_id, pos, token, category, kind FROM gp WHERE gold = 'O' AND pred <> 'O' ORDER BY (category IN ('profanity', 'sexual')) DESC, kind DESC, token, doc_id, pos LIMIT 20",
     "i2_top_tokens": f"WITH {_TOK} SELECT lower(token) AS token, count(*) AS n FROM tok GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20",
@@ -255,6 +268,7 @@ SQL = {
     "j3_neighbours": """WITH p AS (SELECT q.vec_id AS query, v.vec_id AS neighbor, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS score
         FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbor) AS rank FROM p) SELECT query, rank, neighbor, round(score, 5) AS score FROM r WHERE rank <= 10""",
     "k1_scored_lines": f"SELECT conv_id, turn, len(l) = 0 AS safe, len(l) AS n FROM (SELECT conv_id, turn, list_distinct(list_filter(list_transform(regexp_extract_all(text, '{_TOKEN}'), lambda t: lower(t)), lambda t: t IN ({_CANONS}))) AS l FROM conversations WHERE trim(text) <> '')",
+    "k1_moderated_lines": _moderated("conversations", "conv_id * 1000 + turn", "text"),
     "k5_running_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "k7_flagged_rate": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, count(*) FILTER (value > 50) AS flagged FROM events GROUP BY 1",
     "k3_bursts": """WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), g AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
-from sieveline.operators import corpus, crf, evaluate, heuristic, matching, neighbours, redact, sequences, spans, tagging, variants
-from sieveline.scratch import new_folder, small
+from sieveline.operators import chain, corpus, crf, evaluate, heuristic, matching, neighbours, redact, sequences, spans, subwords, tagging, variants
+from sieveline.scratch import cut, new_folder, small
 from sieveline.sources import lexicon, readers
-from sieveline.streaming import scan
+from sieveline.streaming import scan, state
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -198,7 +198,9 @@ def e4_fuzzy_strict(s, d):
 
 
 def e5_fuzzy_maximum(s, d):
-    return _best(matching.fuzzy_matches(_words(s, d).where("script = 'LATIN' AND length(word) >= 6"), matching.small(_exact(s)), 2, 4))
+    words, exact = _words(s, d).where("script = 'LATIN'"), matching.small(_exact(s))
+    short, long = (matching.fuzzy_matches(words.where(f"length(word) {c}"), exact, most, 4) for c, most in (("< 6", 1), (">= 6", 2)))
+    return _best(short.unionByName(long))
 
 
 def e6_substring(s, d):
@@ -234,7 +236,10 @@ def f2_merge_tags(s, d):
 
 
 def f3_verdicts(s, d):
-    m = tagging.moderate(_t(s, d, "documents"), lexicon.from_rows(s))
+    return _verdicts(tagging.moderate(_t(s, d, "documents"), lexicon.from_rows(s)))
+
+
+def _verdicts(m):
     return m.select("doc_id", "safe", F.size("flagged_spans").alias("spans"), F.array_join(F.transform("flagged_words", F.lower), ",").alias("words"), F.array_join("categories", ",").alias("categories"))
 
 
@@ -418,7 +423,8 @@ def d15_missed(s, d):
 
 def g18_deltas(s, d):
     rows = _gold_pred(s, d)
-    model, base = evaluate.abuse_metrics(rows), evaluate.abuse_metrics(rows, "gold", "gold")
+    rows = rows.withColumn("base", F.when(F.col("category") == "profanity", "B-ABUSE").otherwise("O"))
+    model, base = evaluate.abuse_metrics(rows), evaluate.abuse_metrics(rows, "gold", "base")
     out = evaluate.deltas(model, base)
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
@@ -529,6 +535,14 @@ def k5_running_counts(s, d):
     return scan.finished(scan.running_counts(scan.events_stream(s, d), "event_type"), "complete")
 
 
+def k5_keyed_state(s, d):
+    return state.last_counts(state.updates(state.running_counts(scan.events_stream(s, d), "user_id")), "user_id")
+
+
+def h2_first_seen(s, d):
+    return state.updates(state.first_seen(scan.events_stream(s, d), "user_id")).select("user_id", "first_ms")
+
+
 def k7_flagged_rate(s, d):
     r = scan.finished(scan.windowed_rate(scan.events_stream(s, d), "1 hour", F.col("value") > 50), "complete")
     return r.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "flagged")
@@ -544,9 +558,20 @@ def k2_once(s, d):
 
 
 def k6_live_config(s, d):
-    config = s.createDataFrame([("click", True), ("view", False), ("purchase", True)], "event_type string, enabled boolean")
-    joined = scan.with_live_config(scan.events_stream(s, d), config, "event_type")
-    return scan.finished(joined.groupBy("event_type", "enabled").agg(F.count("*").alias("n")), "complete")
+    """Events in two halves, one after another; when the first has been written, all settings are turned round."""
+    events, folder, settings = _t(s, d, "events").select("event_id", "event_type"), new_folder(s, "halves"), new_folder(s, "settings")
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).coalesce(1).write.mode("append").parquet(folder)
+    first = events.groupBy("event_type").agg((F.count("*") % 2 == 0).alias("enabled")).withColumn("version", F.lit(1))
+    first.write.parquet(settings)
+
+    def after(number: int) -> None:
+        if number == 0:
+            first.select("event_type", (~F.col("enabled")).alias("enabled"), F.lit(2).alias("version")).write.mode("append").parquet(settings)
+
+    stream = scan.read_stream(s, folder, "event_id long, event_type string", files=1)
+    found = scan.with_live_config(stream, lambda: s.read.schema("event_type string, enabled boolean, version int").parquet(settings), "event_type", after)
+    return found.groupBy((F.col("event_id") % 2).alias("half"), "event_type", "enabled").agg(F.count("*").alias("n"))
 
 
 def k1_scored_lines(s, d):
@@ -557,6 +582,39 @@ def k1_scored_lines(s, d):
     return scan.finished(scored.select("conv_id", "turn", "safe", F.size("flagged_words").alias("n")), "append")
 
 
+def k1_moderated_lines(s, d):
+    """Conversations as a stream of lines, moderated batch by batch."""
+    lines = scan.read_stream(s, d, _t(s, d, "conversations").schema, "conversations.parquet")
+    return _verdicts(scan.moderated(lines.withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn")), lexicon.from_rows(s), "doc_id"))
+
+
+def j11_chain_training(s, d):
+    """A chain that learns the weak tagger's tags of the documents: what it makes of those held out."""
+    tagged = tagging.moderate(_t(s, d, "documents").select("doc_id", "text"), lexicon.from_rows(s))
+    rows = chain.encoded(tagged.select(F.col("doc_id").alias("sent_id"), "tokens", F.col("lexicon_tags").alias("tags")))
+    rows = cut(rows.withColumn("held", corpus.uniform("sent_id") < 0.2), "sequences")
+    learn, held = rows.where("NOT held"), rows.where("held")
+    counts = learn.select(F.explode("tags").alias("k")).groupBy(F.get(F.array(*map(F.lit, evaluate.TAGS)), F.col("k")).alias("tag")).agg(F.count("*").alias("n"))
+    weights = {r.tag: r.weight for r in evaluate.class_weights(counts).collect()}
+    made = chain.train(learn, held, class_weights=[weights[t] for t in evaluate.TAGS], rounds=12, every=4)
+    found = evaluate.token_metrics(chain.token_rows(held, made))
+    return found.select("label", "support", F.round("precision", 3).alias("precision"), F.round("recall", 3).alias("recall"), F.round("f1", 3).alias("f1"))
+
+
+def j2_subword_neighbours(s, d):
+    """Words of seven letters and more with a letter left out: how many find the word itself first, and among ten."""
+    words = F.filter(F.transform(T.token_texts(F.coalesce("text", F.lit(""))), F.lower), lambda t: t.rlike(r"^\p{L}+$"))
+    model = subwords.train(_t(s, d, "documents").select(words.alias("tokens")), rounds=2, window=3, negatives=5)
+    known = subwords.word_vectors(s.createDataFrame([(w,) for w in model.words], "word string"), model)
+    at = (F.crc32("word") % F.length("word")).cast("int")
+    missing = F.concat(F.substring(F.col("word"), F.lit(1), at), F.substring(F.col("word"), at + 2, F.length("word")))
+    asked = subwords.word_vectors(known.where("length(word) >= 7").select("word", missing.alias("misspelt")), model, "misspelt").where("NOT in_vocab")
+    near = neighbours.nearest(asked.select(F.concat(F.lit("-"), "word").alias("word"), "vector"), known.select("word", "vector"), 10, "word", "vector")
+    hit = F.col("query") == F.concat(F.lit("-"), "neighbor")
+    found = near.agg(F.countDistinct("query").alias("n"), F.count_if(hit & (F.col("rank") == 1)).alias("first"), F.count_if(hit).alias("in_ten"))
+    return found.select("n", F.round(F.try_divide("first", "n"), 3).alias("share_first"), F.round(F.try_divide("in_ten", "n"), 3).alias("share_in_ten"))
+
+
 def f11_batches(s, d):
     n = _t(s, d, "pages").select("page_id", F.posexplode(readers.text_nodes(F.col("html"))).alias("pos", "n"))
     return spans.batches(n, "page_id", ["pos"]).groupBy("page_id", "batch").agg(F.count("*").alias("n"))
