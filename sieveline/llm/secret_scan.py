@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import cut, looked_up
+from sieveline.llm.common import MOST_LARGE, cut, looked_up
 
 
 @dataclass(frozen=True)
@@ -61,6 +61,24 @@ def _pieces(rule: Rule, unseen: Column) -> Column:
     return F.when(unseen & F.col("text").rlike(rule.pattern), rows).otherwise(none)
 
 
+def _one_copy(texts: DataFrame, todo: DataFrame, total: int) -> DataFrame:
+    """``todo`` (blob, rep, copies, seen) with the text of each blob, from one of its versions with the id ``rep``.
+
+    Rows without an id, or with a repeated one, may all hold one text.  Blobs of more than a MOST_LARGE-th of the versions are sent to
+    all tasks, which give one copy each; their other copies move nowhere.
+    """
+    bound = max(1024, -(-total // MOST_LARGE))
+    same = lambda c: F.col("id").eqNullSafe(F.col(f"{c}rep")) & (F.col("address") == F.col(f"{c}blob"))
+    columns = ["blob", "rep", "copies", "seen", "text"]
+    many = todo.where(F.col("copies") > bound)
+    if total <= bound or many.isEmpty():
+        return texts.join(todo.hint("shuffle_hash"), same("")).select(*columns)
+    own = texts.join(F.broadcast(many), same("")).groupBy("blob").agg(*[F.first(c).alias(c) for c in columns[1:]])
+    keys = F.broadcast(many.select(F.col("blob").alias("hot_blob")))
+    few = texts.join(keys, F.col("address") == F.col("hot_blob"), "left_anti")
+    return few.join(todo.where(F.col("copies") <= bound).hint("shuffle_hash"), same("")).select(*columns).unionByName(own)
+
+
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """(id, blob, spans) of every version, and the ledger's new rows (blob, kind, version, spans).
 
@@ -79,7 +97,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
     # one copy of each unseen blob: a text moves once, the hash tables hold the ids
     texts = versions.select(F.col("id").cast("long").alias("id"), F.unhex(F.sha2(_text(), 256)).alias("address"), _text().alias("text"))
-    one = texts.join(todo.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("address") == F.col("blob")))
+    one = _one_copy(texts, todo, addressed.count())
     every = F.concat(*[_pieces(r, ~F.array_contains("seen", w)) for r, w in zip(rules, wanted, strict=True)])
     matches = one.select("blob", "rep", every.alias("m")).where(F.size("m") > 0).select("blob", F.explode("m").alias("m")).select("blob", "m.*").dropDuplicates(["blob", "kind", "at"])
     upto = Window.partitionBy("blob", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)

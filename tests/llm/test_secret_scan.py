@@ -49,3 +49,12 @@ def test_only_unseen_pairs_are_scanned(spark):
 
 def test_empty_table(spark):
     assert scan(spark.createDataFrame([], "id long, text string"))[0].count() == 0
+
+
+def test_masses_of_equal_rows_without_ids(spark):
+    """Their text is taken from one copy a task; rows of other texts and ids are found as ever."""
+    mass = spark.range(0, 100_000, 1, 8).selectExpr("CAST(NULL AS long) AS id", "'token=abcdefgh, and so on' AS text")
+    some = spark.createDataFrame([(1, "token=abcdefgh, and so on"), (2, "AKIA" + "Z" * 16), (None, "clean")], "id long, text string")
+    found = digest(scan(mass.unionByName(some))[0])
+    counts = {(r.id, r.n_assign, r.n_access): r["count"] for r in found.groupBy("id", "n_assign", "n_access").count().collect()}
+    assert counts == {(None, 1, 0): 100_000, (1, 1, 0): 1, (2, 0, 1): 1, (None, 0, 0): 1}
