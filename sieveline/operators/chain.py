@@ -183,7 +183,8 @@ def _direction(gradient: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]])
 
 def train(rows: DataFrame, held_out: DataFrame | None = None, chain: Chain | None = None, class_weights: list[float] | None = None, rounds: int = 30, every: int = 5, patience: int = 2, decay: float = 1e-4, memory: int = 8) -> Chain:
     """A chain that fits ``rows`` (features, tags), and its log.  ``held_out`` rows are looked at ``every`` so many rounds."""
-    rows = cut(rows.select("features", "tags"), "chain")
+    # each round goes over the sentences again, so they are dealt evenly once
+    rows = cut(rows.select("features", "tags").repartition(rows.sparkSession.sparkContext.defaultParallelism), "chain")
     held_out = cut(held_out.select("features", "tags"), "chain-held") if held_out is not None else None
     chain = chain or Chain.empty()
     x, steps, best = chain.flat(), [], (-1.0, chain)

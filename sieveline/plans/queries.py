@@ -81,11 +81,13 @@ c22_dedup_key = _by_doc(T.dedup_key)
 
 
 def c6_destuff_punctuation(s, d):
-    return _t(s, d, "documents").select("doc_id", F.length(T.destuff_punctuation(F.col("text"))).alias("chars"))
+    made = T.destuff_punctuation(F.col("text"))
+    return _t(s, d, "documents").select("doc_id", F.length(made).alias("chars"), F.md5(made).alias("h"))
 
 
 def c7_destuff_spaces(s, d):
-    return _t(s, d, "documents").select("doc_id", F.length(T.destuff_spaces(F.col("text"))).alias("chars"))
+    made = T.destuff_spaces(F.col("text"))
+    return _t(s, d, "documents").select("doc_id", F.length(made).alias("chars"), F.md5(made).alias("h"))
 
 
 def c15_tokens_by_script(s, d):
@@ -589,14 +591,15 @@ def k1_moderated_lines(s, d):
 
 
 def j11_chain_training(s, d):
-    """A chain that learns the weak tagger's tags of the documents: what it makes of those held out."""
+    """A chain that learns the weak tagger's tags of the documents: what it makes of those held out.
+
+    Without class weights: as logs on the emissions of training alone they hold rare tags back when decoding.
+    """
     tagged = tagging.moderate(_t(s, d, "documents").select("doc_id", "text"), lexicon.from_rows(s))
     rows = chain.encoded(tagged.select(F.col("doc_id").alias("sent_id"), "tokens", F.col("lexicon_tags").alias("tags")))
     rows = cut(rows.withColumn("held", corpus.uniform("sent_id") < 0.2), "sequences")
     learn, held = rows.where("NOT held"), rows.where("held")
-    counts = learn.select(F.explode("tags").alias("k")).groupBy(F.get(F.array(*map(F.lit, evaluate.TAGS)), F.col("k")).alias("tag")).agg(F.count("*").alias("n"))
-    weights = {r.tag: r.weight for r in evaluate.class_weights(counts).collect()}
-    made = chain.train(learn, held, class_weights=[weights[t] for t in evaluate.TAGS], rounds=12, every=4)
+    made = chain.train(learn, held, rounds=20, every=5, decay=1e-6)
     found = evaluate.token_metrics(chain.token_rows(held, made))
     return found.select("label", "support", F.round("precision", 3).alias("precision"), F.round("recall", 3).alias("recall"), F.round("f1", 3).alias("f1"))
 
