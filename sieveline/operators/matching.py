@@ -1,7 +1,7 @@
 """Matching words against the lexicon, always on the distinct vocabulary, never on tokens.
 
-Stages in order of precedence: exact, suffix strip, bounded edit distance, containment.  Each is an equi-join of keys, and all of
-them are one join: a word gives a bounded number of keys, which meet the keys of the surfaces, and what meets is verified.
+Stages in order of precedence: exact, suffix strip, bounded edit distance, containment.  Each is an equi-join of keys: a word gives a
+bounded number of them, which meet the keys of the surfaces, and what meets is verified.
 
 * exact and suffix strip: the word, and its stems;
 * edit distance of at most k: a surface is cut into k + 1 parts, of which one is in the word untouched, moved by no more places than
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import surface_script
-from sieveline.scratch import BROADCAST, fresh, small
+from sieveline.scratch import BROADCAST, cut, fresh, small
 from sieveline.sources.lexicon import exact_surfaces, phrase_surfaces
 
 #: Romanised suffixes in the order in which they are tried (fixed values).
@@ -78,8 +78,8 @@ def _part_key(text: Column, length: Column, most: int, i: int, moved: Column) ->
     return F.xxhash64(F.lit(most), length, F.lit(i), F.substring(text, at + moved + 1, to - at))
 
 
-def near_keys(word: Column, most: int, least: int = 1) -> Column:
-    """The keys of a word for surfaces within ``most`` edits of ``least`` characters."""
+def near_keys(word: Column, most: int, least: int = 1) -> list[Column]:
+    """The keys of a word for surfaces within ``most`` edits of ``least`` characters; null where the word is too short for one."""
     n, out = F.length(word), []
     for longer in range(-most, most + 1):  # by how much the word is longer than the surface
         length = n - longer
@@ -89,22 +89,16 @@ def near_keys(word: Column, most: int, least: int = 1) -> Column:
                 if abs(moved) + abs(longer - moved) <= most:
                     inside = (length >= least) & (at + moved >= 0) & (to + moved <= n)
                     out.append(F.when(inside, _part_key(word, length, most, i, F.lit(moved))))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+    return out
 
 
 def near_pairs(words: DataFrame, word: str, surfaces: DataFrame, surface: str, most: int, least: int = 1) -> DataFrame:
-    """Rows of both within ``most`` edits of each other, surfaces of ``least`` characters; each pair of rows once.
-
-    Of the keys that a pair shares the least counts, so that nothing is deduplicated by a shuffle.
-    """
-    of_word, of_surface = fresh(words, "word_keys"), fresh(surfaces, "surface_keys")
-    left = words.withColumn(of_word, near_keys(F.col(word), most, least))
-    left = left.withColumn(fresh(words, "word_key"), F.explode(of_word))
-    right = surfaces.where(F.length(surface) >= least).withColumn(of_surface, part_keys(F.col(surface), most))
-    right = right.withColumn(fresh(surfaces, "surface_key"), F.explode(of_surface))
-    met = left.join(right, F.col(left.columns[-1]) == F.col(right.columns[-1])).where(F.levenshtein(F.col(word), F.col(surface), most) >= 0)
-    first = F.array_min(F.array_intersect(of_word, of_surface)) == F.col(left.columns[-1])
-    return met.where(first).select(*words.columns, *surfaces.columns)
+    """Distinct pairs of rows of both within ``most`` edits of each other, surfaces of ``least`` characters."""
+    of_word, of_surface = fresh(words, "word_key"), fresh(surfaces, "surface_key")
+    left = words.withColumn(of_word, F.explode(F.array(*near_keys(F.col(word), most, least)))).where(F.col(of_word).isNotNull())
+    right = surfaces.where(F.length(surface) >= least).withColumn(of_surface, F.explode(part_keys(F.col(surface), most)))
+    met = left.join(right, F.col(of_word) == F.col(of_surface)).where(F.levenshtein(F.col(word), F.col(surface), most) >= 0)
+    return met.select(*words.columns, *surfaces.columns).distinct()
 
 
 def fuzzy_matches(words: DataFrame, exact: DataFrame, most: int, least: int) -> DataFrame:
@@ -133,61 +127,57 @@ def contained_matches(words: DataFrame, exact: DataFrame) -> DataFrame:
     return _found(parts.join(keys, F.col("part") == F.col("gram")).where(F.contains("word", "surface")), 3, "substring_containment")
 
 
-def _candidates(words: DataFrame, fuzzy: list[tuple[int, int, Column]], contained: bool) -> DataFrame:
-    """Each word with its keys of all stages: stage, rank, most, key and text, what an exact surface has to be."""
-    word, script, n = F.col("word"), F.col("script"), F.length("word")
+def _keyed(words: DataFrame, stage: int, most: int, keys: list[tuple[int, Column, Column]]) -> DataFrame:
+    """Words under keys (rank, key, text), text being what an exact surface has to be."""
+    rows = [F.struct(F.lit(rank).alias("rank"), key.alias("key"), text.alias("text")) for rank, key, text in keys]
+    each = words.select("word", "script", F.lit(stage).alias("stage"), F.lit(most).alias("most"), F.inline(F.array(*rows)))
+    return each.where("key IS NOT NULL")
 
-    def row(stage: int, rank: int, most: int, key: Column, text: Column = word) -> Column:
-        return F.struct(F.lit(stage).alias("stage"), F.lit(rank).alias("rank"), F.lit(most).alias("most"), key.alias("key"), text.alias("text"))
 
-    whole = lambda text: F.xxhash64(F.lit("whole"), text)
-    out = [row(0, 0, 0, whole(word))]
+def _whole_keys(words: DataFrame) -> DataFrame:
+    """Words under themselves, and under their stems."""
+    word, script, n = F.col("word"), F.col("script"), F.length("word")
+    out = [(-1, F.xxhash64("word"), word)]
     for i, suffix in enumerate(LATIN_SUFFIXES):
         stem = F.substring(word, F.lit(1), n - len(suffix))
-        out.append(F.when((script == "LATIN") & F.endswith(word, F.lit(suffix)) & (n - len(suffix) >= MIN_STEM), row(1, i, 0, whole(stem), stem)))
+        out.append((i, F.when((script == "LATIN") & F.endswith(word, F.lit(suffix)) & (n - len(suffix) >= MIN_STEM), F.xxhash64(stem)), stem))
     for i in range(1, MAX_STRIP + 1):
         stem = F.substring(word, F.lit(1), n - i)
-        out.append(F.when((script == "TAMIL") & (n - i >= MIN_STEM), row(1, i, 0, whole(stem), stem)))
-    arrays = [F.array_compact(F.array(*out))]
-    none = F.array().cast("array<struct<stage:int,rank:int,most:int,key:bigint,text:string>>")
-    for most, least, when in fuzzy:
-        asked = when & (n >= least) & ~word.isin(*INNOCENT)
-        arrays.append(F.when(asked, F.transform(near_keys(word, most, least), lambda k: row(2, 0, most, k))).otherwise(none))  # noqa: B023
-    if contained:
-        grams = F.transform(F.array_distinct(_grams(word)), lambda g: row(3, 0, 0, F.xxhash64(F.lit("part"), g)))
-        arrays.append(F.when(n >= 5, grams).otherwise(none))
-    return words.select("word", "script", F.inline(F.concat(*arrays)))
-
-
-def _surface_keys(exact: DataFrame, fuzzy: list[tuple[int, int, Column]], contained: bool) -> DataFrame:
-    """The keys of surfaces (surface_key, surface, ord and what it stands for)."""
-    columns = ["surface", "ord", *_MATCH]
-    out = exact.select(F.xxhash64(F.lit("whole"), "surface").alias("surface_key"), *columns)
-    for most, least in {(most, least) for most, least, _ in fuzzy}:
-        out = out.unionByName(exact.where(F.length("surface") >= least).select(F.explode(part_keys(F.col("surface"), most)).alias("surface_key"), *columns))
-    if contained:
-        keys = rarest_grams(exact.where((F.length("surface") >= GRAM) & F.col("severity").isin("high", "medium")).select(*columns))
-        out = out.unionByName(keys.select(F.xxhash64(F.lit("part"), "gram").alias("surface_key"), *columns))
-    return out
+        out.append((i, F.when((script == "TAMIL") & (n - i >= MIN_STEM), F.xxhash64(stem)), stem))
+    return _keyed(words, 1, 0, out)
 
 
 def match_words(words: DataFrame, entries: DataFrame, sensitivity: str = "standard") -> DataFrame:
     """(word, script, match) of the distinct (word, script) rows that match; the first stage, rank and surface win.
 
-    The vocabulary is read once and joined once, whatever the sensitivity.
+    The stages are equi-joins of one vocabulary, which is written once, so that no stage makes it anew.
     """
     if sensitivity not in SENSITIVITIES:
         raise ValueError(f"sensitivity is one of {SENSITIVITIES}")
     exact = small(exact_surfaces(entries))
-    words = words.where(F.col("script").isin("TAMIL", "LATIN") & (F.length("word") >= 2))
-    short, contained = F.length("word") < 6, sensitivity == "maximum"
-    fuzzy = {"standard": [], "strict": [(1, 5, F.lit(True))], "maximum": [(1, 4, short), (2, 4, ~short)]}[sensitivity]
-    met = _candidates(words, fuzzy, contained).join(_surface_keys(exact, fuzzy, contained), F.col("key") == F.col("surface_key"))
-    near = F.when(F.col("most") == 1, F.levenshtein("word", "surface", 1) >= 0).otherwise(F.levenshtein("word", "surface", 2) >= 0)
-    good = F.when(F.col("stage") < 2, F.col("text") == F.col("surface")).when(F.col("stage") == 2, near).otherwise(F.contains("word", "surface"))
+    words = words.where(F.col("script").isin("TAMIL", "LATIN") & (F.length("word") >= 2)).distinct()
+    # a vocabulary is small for what is made of it, so it is dealt to all tasks before it is written
+    words = cut(words.repartition(words.sparkSession.sparkContext.defaultParallelism), "vocabulary")
+    word, n, columns = F.col("word"), F.length("word"), ["surface", "ord", *_MATCH]
+    wide = exact.select(F.xxhash64("surface").alias("surface_key"), *columns)
+    met = _whole_keys(words).join(wide, F.col("key") == F.col("surface_key")).where(F.col("text") == F.col("surface"))
+    met = met.withColumn("stage", F.when(F.col("rank") < 0, 0).otherwise(1))
+    fuzzy = {"standard": [], "strict": [(1, 5, F.lit(True))], "maximum": [(1, 4, n < 6), (2, 4, n >= 6)]}[sensitivity]
+    for most, least, when in fuzzy:
+        asked = when & (n >= least) & ~word.isin(*INNOCENT)
+        keyed = _keyed(words, 2, most, [(0, F.when(asked, key), word) for key in near_keys(word, most, least)])
+        near = exact.where(F.length("surface") >= least).select(F.explode(part_keys(F.col("surface"), most)).alias("surface_key"), *columns)
+        met = met.unionByName(keyed.join(near, F.col("key") == F.col("surface_key")).where(F.levenshtein("word", "surface", most) >= 0))
+    if sensitivity == "maximum":
+        grams = F.when(n >= 5, F.array_distinct(_grams(word)))
+        parts = words.select("word", "script", F.lit(3).alias("stage"), F.lit(0).alias("most"), F.lit(0).alias("rank"), F.explode(grams).alias("part"), word.alias("text"))
+        keys = rarest_grams(exact.where((F.length("surface") >= GRAM) & F.col("severity").isin("high", "medium")).select(*columns))
+        keys = keys.select(F.xxhash64("gram").alias("surface_key"), *columns)
+        held = parts.withColumn("key", F.xxhash64("part")).drop("part").join(keys, F.col("key") == F.col("surface_key"))
+        met = met.unionByName(held.where(F.contains("word", "surface")))
     kinds = F.array(*map(F.lit, ("exact", "suffix_strip", "fuzzy_levenshtein", "substring_containment")))
     best = F.min_by(F.struct(*_MATCH, F.get(kinds, F.col("stage")).alias("match_type")), F.struct("stage", "rank", "ord"))
-    return met.where(good).groupBy("word", "script").agg(best.alias("match"))
+    return met.groupBy("word", "script").agg(best.alias("match"))
 
 
 def enumerable_matches(entries: DataFrame, most: int = BROADCAST) -> dict[str, dict] | None:
