@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.scratch import ranked
+from sieveline.operators.ordered import Ordered
+from sieveline.scratch import fresh, ranked
 
 #: Tags (fixed values).
 TAGS = ("O", "B-ABUSE", "I-ABUSE")
@@ -58,7 +59,8 @@ def verdict_metrics(rows: DataFrame, gold: Column, pred: Column) -> DataFrame:
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
     """Each value with its count and percentage."""
     counts = rows.groupBy(column).agg(F.count("*").alias("n"))
-    return counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+    total = fresh(counts, "total")
+    return counts.crossJoin(F.broadcast(rows.agg(F.count("*").alias(total)))).withColumn("pct", F.col("n") * 100.0 / F.col(total)).drop(total)
 
 
 def class_weights(counts: DataFrame, tags: tuple[str, ...] = TAGS, most: float = 20.0) -> DataFrame:
@@ -122,15 +124,15 @@ def verdict_totals(rows: DataFrame) -> DataFrame:
 def with_best_so_far(log: DataFrame, order: str, metric: str, run: str | None = None) -> DataFrame:
     """An epoch log with the best value so far and how many epochs it has been stale: what early stopping reads.
 
-    A log is read run by run, in the order of its epochs.
+    A log is read run by run, in the order of its epochs; a long run is dealt over parts of the order.
     """
-    w = Window.partitionBy(*([run] if run else [])).orderBy(order)
-    before = F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    better = before.isNull() | (F.col(metric) > before)
-    marked = log.withColumn("best", F.greatest(F.coalesce(before, F.col(metric)), F.col(metric))).withColumn("at", F.row_number().over(w))
-    marked = marked.withColumn("improved", F.when(better, F.col("at")))
-    last = F.max("improved").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("stale", F.col("at") - last).drop("at", "improved")
+    before, at, last = (fresh(log, c) for c in ("before", "at", "last"))
+    made = Ordered(log, [run] if run else [], [order]).with_before(before, F.col(metric)).with_before(at, F.lit(1), "sum")
+    improved = F.when(F.col(before).isNull() | (F.col(metric) > F.col(before)), F.col(at))
+    made = made.with_before(last, improved)
+    best = F.greatest(F.coalesce(before, metric), F.col(metric))
+    stale = (F.col(at) - F.coalesce(improved, last)).cast("int")
+    return made.result().withColumns({"best": best, "stale": stale}).drop(before, at, last)
 
 
 def report(model: DataFrame, baseline: DataFrame, key: str, title: str = "Gold test evaluation") -> str:

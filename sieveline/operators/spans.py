@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.operators.ordered import Ordered
+from sieveline.scratch import fresh
+
 
 def merged_intervals(rows: DataFrame, key: str) -> DataFrame:
-    """(key, start, end): intervals that touch or overlap become one."""
-    order = Window.partitionBy(key).orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("b", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)).withColumn("g", F.sum("b").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(key, "g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("g")
+    """(key, start, end): intervals that touch or overlap become one; one without a start or an end is none.
+
+    Of intervals with one start the longest is kept before anything is ordered; a key's intervals are dealt over parts of the order.
+    """
+    longest = rows.where("start IS NOT NULL AND end IS NOT NULL").groupBy(key, "start").agg(F.max("end").alias("end"))
+    before, earlier, group = (fresh(longest, c) for c in ("before", "earlier", "group"))
+    made = Ordered(longest, [key], ["start"]).with_before(before, F.col("end"))
+    opens = F.when(F.col(before).isNull() | (F.col("start") > F.col(before)), 1).otherwise(0)
+    made = made.with_before(earlier, opens, "sum")
+    return made.rows.groupBy(key, (F.col(earlier) + opens).alias(group)).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop(group)
 
 
 def word_places(text: Column, word: str) -> Column:
@@ -50,5 +58,7 @@ def highlighted(text: Column, intervals: Column) -> Column:
 
 
 def batches(rows: DataFrame, key: str, order: list[str], size: int = 50) -> DataFrame:
-    """A column ``batch``: rows of a key numbered in blocks."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / size).cast("int"))
+    """A column ``batch``: rows of a key numbered in blocks, from 0; a key's rows are dealt over parts of the order."""
+    number = fresh(rows, "number")
+    made = Ordered(rows, [key], order).with_before(number, F.lit(1), "sum")
+    return made.result().withColumn("batch", F.floor(F.col(number) / size).cast("int")).drop(number)

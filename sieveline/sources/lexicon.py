@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import nfc, normalize
@@ -60,16 +60,20 @@ def surface_rows(entries: DataFrame) -> DataFrame:
     return rows.select((F.col("ord").cast("long") * PLACES + F.col("k")).alias("ord"), "surface", F.when(F.col("k") == 0, "canonical").otherwise("variant").alias("kind"), "canon", "category", "severity")
 
 
+def _one_each(rows: DataFrame, pick) -> DataFrame:
+    """A row of each surface, found by partial aggregation: a surface may have a third of all entries."""
+    rest = ("ord", "surface", "kind", "canon", "category", "severity")
+    return rows.groupBy(F.col("surface").alias("key")).agg(pick(F.struct(*rest)).alias("x")).select("x.*")
+
+
 def exact_surfaces(entries: DataFrame) -> DataFrame:
     """Surfaces of one token: of equal keys the first entry wins."""
-    first = F.row_number().over(Window.partitionBy("surface").orderBy("ord"))
-    return surface_rows(entries).where(~F.contains("surface", F.lit(" "))).withColumn("n", first).where("n = 1").drop("n")
+    return _one_each(surface_rows(entries).where(~F.contains("surface", F.lit(" "))), F.min)
 
 
 def phrase_surfaces(entries: DataFrame) -> DataFrame:
     """Surfaces with a space: of equal keys the last entry wins."""
-    last = F.row_number().over(Window.partitionBy("surface").orderBy(F.desc("ord")))
-    return surface_rows(entries).where(F.contains("surface", F.lit(" "))).withColumn("n", last).where("n = 1").drop("n")
+    return _one_each(surface_rows(entries).where(F.contains("surface", F.lit(" "))), F.max)
 
 
 def surface_lookup(entries: DataFrame) -> DataFrame:
@@ -87,8 +91,11 @@ def sql_values(rows=DEMO) -> str:
 
 
 def siblings(entries: DataFrame) -> DataFrame:
-    """(canon, script, sibling, sibling_script): entries and those of the other script that they refer to, null if there is none."""
-    other = entries.select(F.col("canon").alias("sibling"), F.col("script").alias("sibling_script"))
+    """(canon, script, sibling, sibling_script): entries and those of the other script that they refer to, null if there is none.
+
+    Entries that repeat a canonical form in one script are one sibling, so that a form that many repeat is not multiplied.
+    """
+    other = entries.select(F.col("canon").alias("sibling"), F.col("script").alias("sibling_script")).distinct()
     return entries.select("canon", "script", "cross_ref").join(other, F.col("cross_ref") == F.col("sibling"), "left").drop("cross_ref")
 
 

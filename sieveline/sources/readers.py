@@ -124,10 +124,6 @@ def read_vocabulary(spark: SparkSession, path: str) -> dict[str, int]:
     return json.loads(spark.read.text(path, wholetext=True).first().value)
 
 
-def append_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").option("header", True).option("escape", '"').csv(path)
-
-
 def write_lines(rows: DataFrame, column: str, path: str) -> None:
     rows.select(column).write.mode("overwrite").text(path)
 

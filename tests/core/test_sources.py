@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.sources import lexicon, readers
+from sieveline.sources import commits, lexicon, readers
 
 
 def write(path, text, encoding="utf-8"):
@@ -55,8 +55,8 @@ def test_exports(spark, tmp_path):
     raw = open(f"{tmp_path}/outTrue.csv", "rb").read()
     assert raw.startswith(b'\xef\xbb\xbf"text","n"\n"a","1"\n')
     for _ in range(2):
-        readers.append_csv(df, f"{tmp_path}/log")
-    assert spark.read.option("header", True).csv(f"{tmp_path}/log").count() == 4
+        commits.append_csv(df, f"{tmp_path}/log")
+    assert commits.read_appended(spark, f"{tmp_path}/log").count() == 4
     assert readers.markdown(spark.createDataFrame([("a|b\nc", None)], "x string, y string")) == "| x | y |\n|---|---|\n| a\\|b c |  |"
     readers.write_vocabulary(spark, {"அ": 2, "b": 3}, f"{tmp_path}/vocabulary")
     assert readers.read_vocabulary(spark, f"{tmp_path}/vocabulary") == {"அ": 2, "b": 3}
