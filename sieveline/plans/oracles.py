@@ -46,6 +46,11 @@ _PHRASES = """nx AS (SELECT *, lower(token) || ' ' || lower(lead(token) OVER (PA
     isl AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM cand),
     odd AS (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY pos) AS k FROM isl),
     starts AS (SELECT * FROM odd WHERE k % 2 = 1)"""
+#: The items as entries of a lexicon.
+_CAT = """items_ AS (SELECT item_id AS id, lower(name) AS canon, coalesce(kind, '') AS category, CASE size % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity,
+    list_filter([lower(brand), lower(name) || 's', lower(brand) || 'x'], lambda x: x IS NOT NULL) AS variants FROM items WHERE item_id IS NOT NULL AND name IS NOT NULL),
+    cat AS (SELECT id * 4294967296 + generate_subscripts(l, 1) - 1 AS ord, unnest(l) AS surface, canon, category, severity FROM (SELECT *, [canon] || variants AS l FROM items_)),
+    keyed AS (SELECT ord, surface, CASE WHEN ord % 4294967296 = 0 THEN 'canonical' ELSE 'variant' END AS kind, canon, category, severity, contains(surface, ' ') AS phrase FROM cat)"""
 #: The weak tagger: phrases, then exact and suffix matches of high or medium severity.
 _BIO = f"""{_LEX}, {_TOK}, {_WORDS}, {_matched('exact', 'suffix')}, {_PHRASES},
     bio AS (SELECT t.doc_id, t.pos, t.token,
@@ -119,7 +124,7 @@ def _moderated(table: str, key: str, text: str) -> str:
 
 
 SQL = {
-    "a1_lexicon_surfaces": f"WITH {_LEX} SELECT * FROM lexicon",
+    "a1_lexicon_surfaces": f"WITH {_CAT} SELECT ord, surface, kind, canon, category, severity FROM (SELECT *, CASE WHEN phrase THEN max(ord) OVER (PARTITION BY surface) ELSE min(ord) OVER (PARTITION BY surface) END AS best FROM keyed) WHERE ord = best",
     "a16_text_nodes": f"SELECT page_id, count(*) AS nodes, sum(length(n)) AS chars FROM (SELECT page_id, unnest({_NODES}) AS n FROM pages) GROUP BY page_id",
     "c1_nfc": "SELECT doc_id, md5(nfc_normalize(text)) AS h FROM documents",
     "c2_unescape_html": "SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '&amp;', chr(1)), '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp', '&'), chr(1), '&')) AS h FROM pages",
@@ -155,7 +160,9 @@ SQL = {
         m AS (SELECT word, n, ord, canon, severity FROM words, range(0, 6) AS r(n) JOIN lex ON surface = left(word, length(word) - n) WHERE n = 0 OR length(word) - n >= 4),
         best AS (SELECT word, arg_min(canon, n * 1000000000 + ord) AS canon, arg_min(severity, n * 1000000000 + ord) AS severity FROM m GROUP BY word)
         SELECT doc_id, canon, count(*) AS n FROM tok JOIN best ON token = word WHERE severity <> 'low' GROUP BY ALL""",
-    "d9_guard": "SELECT w || e AS word, arg_min(v || 's', k) AS canon FROM (SELECT unnest([" + ", ".join(f"'{w}'" for w in INNOCENT) + "]) AS w), (VALUES (''), ('x'), ('zz')) AS es(e), (SELECT generate_subscripts(l, 1) AS k, unnest(l) AS v FROM (SELECT [" + ", ".join(f"'{w}'" for w in INNOCENT) + "] AS l)) WHERE length(w || e) >= 5 AND length(v) >= 4 AND w || e NOT IN (" + ", ".join(f"'{w}'" for w in INNOCENT) + ") AND levenshtein(w || e, v || 's') <= 1 GROUP BY 1",
+    "d9_guard": f"""WITH g AS (SELECT [{", ".join(f"'{w}'" for w in INNOCENT)}] AS l), s AS (SELECT generate_subscripts(l, 1) AS k, unnest(l) AS v FROM g),
+        w AS (SELECT DISTINCT l[doc_id % {len(INNOCENT)} + 1] || left(regexp_extract(lower(coalesce(text, '')), '[a-z]+'), (doc_id // {len(INNOCENT)} % 3)::INT) AS word FROM documents, g)
+        SELECT word, arg_min(v || 's', k) AS canon FROM w, s WHERE length(word) >= 5 AND length(v) >= 4 AND NOT list_contains((SELECT l FROM g), word) AND levenshtein(word, v || 's') <= 1 GROUP BY 1""",
     "e4_fuzzy_strict": _best("fuzzy1"),
     "e5_fuzzy_maximum": _best("fuzzy_short", "fuzzy2"),
     "e6_substring": _best("substring"),
@@ -183,7 +190,7 @@ SQL = {
     "g9_distinct": f"WITH {_TOK} SELECT count(DISTINCT doc_id) AS docs, count(DISTINCT token) AS words FROM tok",
     "g10_group_sizes": f"SELECT round(avg(n), 6) AS mean, max(n) AS most FROM (SELECT len(regexp_extract_all(text, '{_TOKEN}')) AS n FROM documents)",
     "g11_term_frequencies": f"WITH {_FREQ} SELECT * FROM freq",
-    "g14_lexicon_counts": f"WITH {_LEX}, e AS (SELECT canon, any_value(category) AS category, any_value(severity) AS severity, count(*) - 1 AS v FROM lexicon GROUP BY canon) SELECT category, severity, count(*) AS n, sum(v) AS variants FROM e GROUP BY GROUPING SETS ((category), (severity), ())",
+    "g14_lexicon_counts": f"WITH {_CAT} SELECT category, severity, count(*) AS n, sum(len(variants))::BIGINT AS variants FROM items_ GROUP BY GROUPING SETS ((category), (severity), ())",
     "g16_class_weights": f"""WITH {_BIO}, c AS (SELECT tag, count(*) AS n FROM bio GROUP BY tag), w AS (SELECT tag, sum(n) OVER () / (count(*) OVER () * n) AS w FROM c), x AS (SELECT tag, w / avg(w) OVER () AS w FROM w)
         SELECT t.tag, round(least(coalesce(w, 1.0), 20.0), 6) AS weight FROM (VALUES ('O'), ('B-ABUSE'), ('I-ABUSE')) AS t(tag) LEFT JOIN x ON x.tag = t.tag""",
     "h1_near_duplicates": f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY {_KEY} ORDER BY doc_id) AS n FROM (SELECT doc_id, lang, {_KEY0} AS k FROM documents)) WHERE n = 1",
@@ -200,12 +207,14 @@ SQL = {
     "a12_sequences": f"WITH {_BIO} SELECT doc_id::VARCHAR AS sent_id, count(*)::INT AS n, md5(string_agg(lower(token), ' ' ORDER BY pos)) AS tokens, md5(string_agg(tag, ' ' ORDER BY pos)) AS tags FROM bio GROUP BY doc_id",
     "e12_zipped_tags": f"WITH {_GP} SELECT doc_id::VARCHAR AS sent_id, count(*)::INT AS n, (count(*) FILTER (gold <> pred))::INT AS differ FROM gp GROUP BY doc_id",
     "e10_gold_ids": "SELECT doc_id, lang, gold_id FROM documents JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS gold_id FROM labels) USING (doc_id)",
-    "e15_siblings": "WITH e(canon, script, ref) AS (VALUES ('idiot', 'LATIN', 'முட்டாள்'), ('முட்டாள்', 'TAMIL', 'idiot'), ('scum', 'LATIN', 'கசடு'), ('moron', 'LATIN', NULL)) SELECT a.canon, a.script, b.canon AS sibling, b.script AS sibling_script FROM e a LEFT JOIN e b ON a.ref = b.canon",
+    "e15_siblings": """WITH e AS (SELECT client_id::VARCHAR AS canon, CASE WHEN client_id % 2 = 0 THEN 'LATIN' ELSE 'TAMIL' END AS script, CASE WHEN master_id <> client_id THEN master_id::VARCHAR END AS ref FROM clients), o AS (SELECT DISTINCT canon, script FROM e)
+        SELECT a.canon, a.script, b.canon AS sibling, b.script AS sibling_script, count(*) AS n FROM e a LEFT JOIN o b ON a.ref = b.canon GROUP BY ALL""",
+    "b6_appended_log": "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids, sum(length(props))::BIGINT AS chars, count(DISTINCT event_id) AS events FROM events GROUP BY ALL",
     "e17_neighbours_of_words": """WITH w(query) AS (VALUES ('w0'), ('w7'), ('w100'), ('w499'), ('w1000000000')), v AS (SELECT 'w' || vec_id AS word, embedding::DOUBLE[] AS e FROM embeddings),
         p AS (SELECT a.word AS query, b.word AS neighbor, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) AS score FROM v a JOIN w ON a.word = query JOIN v b ON a.word <> b.word),
         r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbor)::INT AS rank FROM p)
         SELECT w.query, v.word IS NOT NULL AS in_vocab, neighbor, round(score, 5) AS score, rank FROM w LEFT JOIN v ON v.word = w.query LEFT JOIN (SELECT * FROM r WHERE rank <= 3) r ON r.query = w.query""",
-    "j4_query_words": f"WITH {_LEX} SELECT min(ord) AS ord, surface AS word FROM exact GROUP BY surface ORDER BY 1 LIMIT 12",
+    "j4_query_words": f"WITH {_CAT} SELECT surface AS word, min(ord) AS ord FROM keyed WHERE NOT phrase GROUP BY 1",
     "c13_normalize_and_tag": f"WITH c AS ({_CLEAN}), tok AS (SELECT unnest(regexp_extract_all(t, '{_TOKEN}')) AS token FROM c) SELECT {_script('token')} AS script, count(*) AS n FROM tok GROUP BY 1",
     "c21_pool_text": f"SELECT conv_id, turn, md5(lower(t)) AS h FROM ({_CLEAN_TURNS})",
     "g17_pool_statistics": f"""WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 3 THEN '..' WHEN turn % 5 = 4 THEN '' ELSE lower(t) END AS t FROM ({_CLEAN_TURNS})),
@@ -239,7 +248,7 @@ SQL = {
     "a5_csv_round_trip": """SELECT doc_id, md5('"' || text || ', ""') AS h FROM documents""",
     "a8_lines": r"SELECT md5(t) AS h, count(*) AS n FROM (SELECT regexp_replace(text, '[\r\n]+', ' ', 'g') AS t FROM documents) WHERE regexp_matches(t, '\S') GROUP BY 1",
     "a15_split_lines": r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')))::INT AS n FROM documents",
-    "i13_injection": f"""WITH {_LEX}, w AS (SELECT (ord // 4294967296) * 10 + ord % 4294967296 AS id, surface FROM lexicon WHERE severity <> 'low' AND ord % 4294967296 <= 3), fl AS (SELECT unnest(['well', 'then', 'now', 'here', 'today', 'maybe']) AS f),
+    "i13_injection": f"""WITH {_CAT}, w AS (SELECT (ord // 4294967296) * 10 + ord % 4294967296 AS id, surface FROM keyed WHERE severity <> 'low' AND ord % 4294967296 <= 3), fl AS (SELECT unnest(['well', 'then', 'now', 'here', 'today', 'maybe']) AS f),
         r AS (SELECT id, surface, tag, f, row_number() OVER (PARTITION BY id, tag ORDER BY md5('{SEED}' || tag || ':' || id || ':' || f), f) AS k,
             least_ + floor(('0x' || left(md5('{SEED}:' || id || ':' || tag), 8))::BIGINT / 4294967296 * (most - least_ + 1))::INT AS take FROM w, fl, (VALUES ('pre', 1, 3), ('post', 0, 2)) AS t(tag, least_, most)),
         s AS (SELECT id, surface, string_agg(f, ' ' ORDER BY k) FILTER (tag = 'pre' AND k <= take) AS a, string_agg(f, ' ' ORDER BY k) FILTER (tag = 'post' AND k <= take) AS z FROM r GROUP BY id, surface),

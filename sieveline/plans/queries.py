@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import text as T
 from sieveline.operators import chain, corpus, crf, evaluate, heuristic, matching, neighbours, redact, sequences, spans, subwords, tagging, variants
 from sieveline.scratch import cut, new_folder, small
-from sieveline.sources import lexicon, readers
+from sieveline.sources import commits, lexicon, readers
 from sieveline.streaming import scan, state
 
 
@@ -59,8 +59,17 @@ def _match(frame: DataFrame) -> DataFrame:
     return frame.select("word", "rank", "canon", "match_type")
 
 
+def _catalogue(s: SparkSession, d: str) -> DataFrame:
+    """The items as entries of a lexicon: names with a plural, brands as variants that many entries share."""
+    name, brand = F.lower("name"), F.lower("brand")
+    severity = F.when(F.col("size") % 3 == 0, "high").when(F.col("size") % 3 == 1, "medium").otherwise("low")
+    variants = F.filter(F.array(brand, F.concat(name, F.lit("s")), F.concat(brand, F.lit("x"))), lambda x: x.isNotNull())
+    rows = _t(s, d, "items").where("item_id IS NOT NULL AND name IS NOT NULL")
+    return rows.select(F.col("item_id").alias("ord"), name.alias("canon"), variants.alias("variants"), F.coalesce("kind", F.lit("")).alias("category"), severity.alias("severity"))
+
+
 def a1_lexicon_surfaces(s, d):
-    e = lexicon.from_rows(s)
+    e = _catalogue(s, d)
     return lexicon.exact_surfaces(e).unionByName(lexicon.phrase_surfaces(e)).select("ord", "surface", "kind", "canon", "category", "severity")
 
 
@@ -189,10 +198,14 @@ def f1_tamil_verdicts(s, d):
 
 
 def d9_guard(s, d):
-    """Guard words and words one letter longer against a lexicon of words one letter longer: the guard words match none."""
-    words = s.createDataFrame([(w + e, "LATIN") for w in matching.INNOCENT for e in ("", "x", "zz")], "word string, script string")
+    """Guard words, bare and with the first letters of each document behind them, against a lexicon of words one letter longer: bare
+    ones match none."""
+    guard = F.element_at(F.array(*map(F.lit, matching.INNOCENT)), (F.col("doc_id") % len(matching.INNOCENT)).cast("int") + 1)
+    letters = F.regexp_extract(F.lower(F.coalesce("text", F.lit(""))), "[a-z]+", 0)
+    more = F.floor(F.col("doc_id") / len(matching.INNOCENT)).cast("int") % 3
+    words = _t(s, d, "documents").select(F.concat(guard, F.substring(letters, F.lit(1), more)).alias("word")).distinct()
     near = s.createDataFrame([(i, w + "s", w + "s", "", "") for i, w in enumerate(matching.INNOCENT)], "ord int, surface string, canon string, category string, severity string")
-    return _best(matching.fuzzy_matches(words, near, 1, 5))
+    return _best(matching.fuzzy_matches(words.withColumn("script", F.lit("LATIN")), near, 1, 5))
 
 
 def e4_fuzzy_strict(s, d):
@@ -318,7 +331,7 @@ def g11_term_frequencies(s, d):
 
 
 def g14_lexicon_counts(s, d):
-    g = lexicon.from_rows(s).groupingSets([[F.col("category")], [F.col("severity")], []], F.col("category"), F.col("severity"))
+    g = _catalogue(s, d).groupingSets([[F.col("category")], [F.col("severity")], []], F.col("category"), F.col("severity"))
     return g.agg(F.count("*").alias("n"), F.sum(F.size("variants")).alias("variants"))
 
 
@@ -375,9 +388,20 @@ def e10_gold_ids(s, d):
 
 
 def e15_siblings(s, d):
-    rows = [(0, "idiot", [], "", "", "LATIN", "முட்டாள்"), (1, "முட்டாள்", [], "", "", "TAMIL", "idiot"), (2, "scum", [], "", "", "LATIN", "கசடு"), (3, "moron", [], "", "", "LATIN", None)]
-    e = s.createDataFrame(rows, "ord int, canon string, variants array<string>, category string, severity string, script string, cross_ref string")
-    return lexicon.siblings(e)
+    """Clients as entries that refer to their master: a third of them may refer to one."""
+    script = F.when(F.col("client_id") % 2 == 0, "LATIN").otherwise("TAMIL")
+    master = F.when(F.col("master_id") != F.col("client_id"), F.col("master_id")).cast("string")
+    e = _t(s, d, "clients").select("client_id", F.col("client_id").cast("string").alias("canon"), script.alias("script"), master.alias("cross_ref"))
+    return lexicon.siblings(e).groupBy("canon", "script", "sibling", "sibling_script").agg(F.count("*").alias("n"))
+
+
+def b6_appended_log(s, d):
+    """Events appended to a log in two writes, and what a reader then finds."""
+    folder, events = new_folder(s, "log"), _t(s, d, "events").select("event_id", "event_type", "props")
+    for half in (0, 1):
+        commits.append_csv(events.where(F.col("event_id") % 2 == half), folder)
+    back = commits.read_appended(s, folder, events.schema)
+    return back.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.sum(F.length("props")).alias("chars"), F.countDistinct("event_id").alias("events"))
 
 
 def e17_neighbours_of_words(s, d):
@@ -387,7 +411,7 @@ def e17_neighbours_of_words(s, d):
 
 
 def j4_query_words(s, d):
-    return lexicon.query_words(lexicon.from_rows(s), 12)
+    return lexicon.query_words(_catalogue(s, d))
 
 
 def c13_normalize_and_tag(s, d):
@@ -515,7 +539,7 @@ def i11_oversample(s, d):
 
 
 def i13_injection(s, d):
-    e = lexicon.from_rows(s).where("severity != 'low'").select("ord", F.posexplode(F.concat(F.array("canon"), F.slice("variants", 1, 3))).alias("k", "w"))
+    e = _catalogue(s, d).where("severity != 'low'").select("ord", F.posexplode(F.concat(F.array("canon"), F.slice("variants", 1, 3))).alias("k", "w"))
     words = e.select((F.col("ord") * 10 + F.col("k")).cast("long").alias("id"), F.split("w", " ").alias("phrase"))
     out = corpus.injected(words, ["well", "then", "now", "here", "today", "maybe"], 3)
     return out.select("sent_id", F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags"))
