@@ -50,8 +50,11 @@ def _clean(texts: pd.Series, decode: pd.Series, compose: pd.Series) -> pd.Series
     return pd.Series([None if t is None else unicodedata.normalize("NFC", t) if n else t for t, n in zip(out, compose, strict=True)], dtype=object)
 
 
-def clean(c: Column, decode_html: bool = True, nfc: bool = True) -> Column:
-    """HTML entities decoded, then NFC.  Only texts with an entity or beyond Latin-1 letters travel to Python."""
+def clean(c: Column, decode_html: bool = True, nfc: bool = True, by=_clean) -> Column:
+    """HTML entities decoded, then NFC.  Only texts with an entity or beyond Latin-1 letters travel to Python.
+
+    ``by``: what they travel to, a function of the text and the two options.
+    """
     if not decode_html and not nfc:
         return c
     needed = F.lit(False)
@@ -59,7 +62,7 @@ def clean(c: Column, decode_html: bool = True, nfc: bool = True) -> Column:
         needed = needed | c.rlike("&[#A-Za-z]")
     if nfc:
         needed = needed | c.rlike("[^\\x{0000}-\\x{02FF}]")
-    return F.coalesce(_clean(F.when(needed, c), F.lit(decode_html), F.lit(nfc)), c)
+    return F.coalesce(by(F.when(needed, c), F.lit(decode_html), F.lit(nfc)), c)
 
 
 def nfc(c: Column) -> Column:

@@ -93,27 +93,36 @@ def with_spans(rows: DataFrame, entries: DataFrame, spans: str, tokens: str = "t
     else:
         matched = match_words(_vocabulary(rows, tokens), entries, sensitivity).select("word", "match.*").limit(most + 1).collect()
         found = {r.word: {f: r[f] for f in _FIELDS} for r in matched} if len(matched) <= most else None
-    free = lambda i: ~F.array_contains(starts, i + 1) & ~F.array_contains(starts, i)
     if found is None:
         out = _joined_spans(rows, entries, spans, tokens, starts, sensitivity, gate)
     else:
         table = WordTable({w: m for w, m in found.items() if _allowed(m["severity"], sensitivity, gate)})
         tamil = sensitivity == "standard" and any(w > "஀" for w in table.words)
-        known_as = lambda w: F.coalesce(F.when(table.has(w), w), *(_stems(w, table) if tamil else []))
-        # one pass over the tokens gives the places of hits; all else is done for these alone
-        may = lambda w: table.has(w) | _is_tamil(w) if tamil else table.has(w)
-        places = F.filter(F.transform(F.col(tokens), lambda t, i: F.when(may(F.lower(t)), i)), lambda i: i.isNotNull())
-        some = F.filter(places, free) if known else places
-        words = F.transform(some, lambda i: F.struct(i.alias("i"), F.get(tokens, i).alias("t"), F.lower(F.get(tokens, i)).alias("w")))
-        keyed = F.filter(F.transform(words, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"), x["w"].alias("w"), known_as(x["w"]).alias("k"))), lambda x: x["k"].isNotNull())
-        single = F.transform(keyed, lambda x: _single(x, table))
-        out = rows.withColumn(spans, single)
+        out = rows.withColumn(spans, single_spans(F.col(tokens), F.col(starts) if known else None, table, tamil))
     if known:
-        both = F.array_sort(F.concat(F.col(spans), _phrase_spans(F.col(tokens), F.col(starts), phrases)))
-        out = out.withColumn(spans, F.when(F.size(starts) > 0, both).otherwise(F.col(spans)))
+        out = out.withColumn(spans, with_phrases(F.col(spans), F.col(tokens), F.col(starts), phrases))
     return out.withColumn(spans, F.explode(F.array(F.col(spans).cast(f"array<{SPAN}>")))).drop(starts)
 
 
+def single_spans(tokens: Column, starts: Column | None, table: WordTable, tamil: bool = False) -> Column:
+    """The spans of single tokens that the table has, less those of the phrases that begin at ``starts``."""
+    free = lambda i: ~F.array_contains(starts, i + 1) & ~F.array_contains(starts, i)
+    known_as = lambda w: F.coalesce(F.when(table.has(w), w), *(_stems(w, table) if tamil else []))
+    # one pass over the tokens gives the places of hits; all else is done for these alone
+    may = lambda w: table.has(w) | _is_tamil(w) if tamil else table.has(w)
+    places = F.filter(F.transform(tokens, lambda t, i: F.when(may(F.lower(t)), i)), lambda i: i.isNotNull())
+    some = places if starts is None else F.filter(places, free)
+    words = F.transform(some, lambda i: F.struct(i.alias("i"), F.get(tokens, i).alias("t"), F.lower(F.get(tokens, i)).alias("w")))
+    keyed = F.filter(F.transform(words, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"), x["w"].alias("w"), known_as(x["w"]).alias("k"))), lambda x: x["k"].isNotNull())
+    return F.transform(keyed, lambda x: _single(x, table))
+
+
+def with_phrases(spans: Column, tokens: Column, starts: Column, phrases: WordTable) -> Column:
+    """Spans of single tokens and those of the phrases, in the order of the text."""
+    both = F.array_sort(F.concat(spans, _phrase_spans(tokens, starts, phrases)))
+    return F.when(F.size(starts) > 0, both).otherwise(spans)
+
+
 def _single(x: Column, table: WordTable) -> Column:
     """The span of a token that matches by its key: the word itself, or a stem of it."""
     match = table.get(x["k"])

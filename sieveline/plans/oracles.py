@@ -290,3 +290,6 @@ SQL = {
         bad AS (SELECT doc_id FROM tok JOIN best ON lower(token) = word WHERE b.severity <> 'low' UNION SELECT doc_id FROM starts),
         v AS (SELECT toxic = 1 AS g, doc_id IN (SELECT doc_id FROM bad) AS p FROM c), s AS (SELECT {_sums('g', 'p')} FROM v) SELECT tp, fp, fn, tn, {_PRF} FROM s""",
 }
+
+#: The same in Spark's SQL.
+SQL |= {"c15_sql_tokens": SQL["c15_tokens_by_script"], "l4_sql_verdicts": SQL["f3_verdicts"]}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
 from sieveline.operators import chain, corpus, crf, evaluate, heuristic, matching, neighbours, redact, sequences, spans, subwords, tagging, variants
+from sieveline.plans import sql
 from sieveline.scratch import cut, new_folder, small
 from sieveline.sources import commits, lexicon, readers
 from sieveline.streaming import scan, state
@@ -258,6 +259,19 @@ def _verdicts(m):
     return m.select("doc_id", "safe", F.size("flagged_spans").alias("spans"), F.array_join(F.transform("flagged_words", F.lower), ",").alias("words"), F.array_join("categories", ",").alias("categories"))
 
 
+def c15_sql_tokens(s, d):
+    """``c15_tokens_by_script`` in SQL alone."""
+    sql.register(s)
+    return s.sql("SELECT x.script, count(*) AS n, count(DISTINCT x.text) AS words FROM (SELECT tokenize(text) AS t FROM {docs}) LATERAL VIEW explode(t) AS x GROUP BY x.script", docs=_t(s, d, "documents"))
+
+
+def l4_sql_verdicts(s, d):
+    """``f3_verdicts`` in SQL alone; the exploded array of one keeps a verdict from being made anew for each of its fields."""
+    sql.register(s, lexicon.from_rows(s))
+    return s.sql("""SELECT doc_id, m.safe, size(m.flagged_spans) AS spans, array_join(transform(m.flagged_words, w -> lower(w)), ',') AS words, array_join(m.categories, ',') AS categories
+        FROM (SELECT doc_id, moderate(text) AS v FROM {docs}) LATERAL VIEW explode(array(v)) AS m""", docs=_t(s, d, "documents"))
+
+
 def f6_redact(s, d):
     m = redact.redact(tagging.moderate(_t(s, d, "documents"), lexicon.from_rows(s)))
     return m.select("doc_id", F.md5("censored").alias("partial"), "redacted_count")
