@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.text import strip, token_texts
 from sieveline.operators.tagging import moderate
-from sieveline.scratch import new_folder
+from sieveline.scratch import is_file, new_folder
 
 
 def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files: int | None = None) -> DataFrame:
@@ -15,10 +15,16 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file, which is picked from its folder, or a folder of files."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema, one = spark.read.parquet(path).schema, is_file(spark, path)
+    return read_stream(spark, sf_dir, schema, f"{name}.parquet") if one else read_stream(spark, path, schema)
+
+
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events with a time stamp that a watermark accepts."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return read_stream(spark, sf_dir, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:

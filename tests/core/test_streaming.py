@@ -110,3 +110,15 @@ def test_columns_of_a_caller_are_left_alone(spark):
     tokens = spark.createDataFrame([("a", "x", 5)], "token string, word string, known_id int")
     ids = spark.createDataFrame([("a", 7)], "token string, id int")
     assert sequences.token_ids(tokens, "token", ids).first().asDict() == {"token": "a", "word": "x", "known_id": 5, "id": 7}
+
+
+def test_a_table_in_a_folder_of_files_streams_whole(spark, tmp_path):
+    """Large tables are folders named like the files of small ones."""
+    events = spark.range(0, 40, 1, 4).selectExpr("id AS event_id", "concat('k', id % 3) AS event_type", "timestamp_ntz '2024-01-01 00:00:00' AS ts")
+    events.write.parquet(f"{tmp_path}/a/events.parquet")
+    rows = events.toPandas()
+    (tmp_path / "b").mkdir()
+    rows.to_parquet(tmp_path / "b" / "events.parquet", coerce_timestamps="us")
+    for folder in ("a", "b"):
+        got = scan.finished(scan.running_counts(scan.events_stream(spark, f"{tmp_path}/{folder}"), "event_type"), "complete")
+        assert sorted(map(tuple, got.collect())) == [("k0", 14), ("k1", 13), ("k2", 13)]
