@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from operator import add
 
 SPACE = "▁"
 #: What a character that no piece covers costs beside its bytes' own scores.
@@ -177,10 +178,37 @@ class Stream:
 
 
 def encode_marked(text: str, vocabulary: Vocabulary, finder=None) -> list[int]:
+    if finder is not None and len(text) <= 2 * vocabulary.longest:
+        return _encode_short(text, vocabulary, finder)
     stream = Stream(vocabulary, finder)
     return stream.feed(text) + stream.end()
 
 
+def _encode_short(text: str, vocabulary: Vocabulary, finder) -> list[int]:
+    """What ``Stream`` makes of a text that it would read at once, without the state that carries one over to the next."""
+    n, done = len(text), 0
+    score, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    for last, (size, own) in (*finder.iter(text), (n, (0, 0.0))):
+        while done < last:  # positions that nothing further ends at: a character stands for itself where no piece beats it
+            least = score[done]
+            done += 1
+            if least + BYTE_SCORE > score[done]:  # at one byte, the least that it costs
+                single = least + BYTE_SCORE * _width(text[done - 1])
+                if single > score[done]:
+                    score[done], back[done] = single, done - 1
+        if size:
+            s = score[last + 1 - size] + own
+            if s > score[last + 1]:
+                score[last + 1], back[last + 1] = s, last + 1 - size
+    out, at, ids = [], n, vocabulary.ids
+    while at:
+        piece = text[back[at] : at]
+        i = ids.get(piece)
+        out += [i] if i is not None else [vocabulary.byte_ids[b] for b in reversed(piece.encode("utf-8", "surrogatepass"))]
+        at = back[at]
+    return out[::-1]
+
+
 def segments(text: str, vocabulary: Vocabulary) -> list[str]:
     """Stretches of a marked text that no piece crosses: runs of marks with the word that follows, and single newlines
     where no piece holds one."""
@@ -208,8 +236,8 @@ def segments(text: str, vocabulary: Vocabulary) -> list[str]:
 def unbridged(text: str, vocabulary: Vocabulary) -> list[str]:
     """A stretch cut wherever no piece reaches over: there all paths converge."""
     pairs, out, start = vocabulary.pairs, [], 0
-    for k in range(1, len(text)):
-        if text[k - 1 : k + 1] not in pairs:
+    for k, pair in enumerate(map(add, text, text[1:]), 1):
+        if pair not in pairs:
             out.append(text[start:k])
             start = k
     out.append(text[start:])
@@ -217,7 +245,9 @@ def unbridged(text: str, vocabulary: Vocabulary) -> list[str]:
 
 
 def decode_marked(ids: list[int], vocabulary: Vocabulary) -> str:
-    byte = vocabulary.bytes_of
+    byte, texts = vocabulary.bytes_of, vocabulary.texts
+    if byte.keys().isdisjoint(ids):
+        return "".join([texts[i] for i in ids])
     out = b"".join(byte[i] if i in byte else vocabulary.texts[i].encode("utf-8", "surrogatepass") for i in ids)
     return out.decode("utf-8", "replace")
 

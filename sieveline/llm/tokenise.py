@@ -16,7 +16,9 @@ that repeat get the same; an empty table gives an empty result; other columns ar
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import whole_texts
 from sieveline.llm.pieces import SPACE, Vocabulary, count_long, counts, decode, decode_marked, encode_marked, load, marked, segments, unbridged
 
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: A stretch of more characters is not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -60,7 +62,7 @@ def _encode_rows(vocabulary: Vocabulary):
             ids = [i for piece in unbridged(part, vocabulary) for i in within[piece]]
             if decode_marked(ids, vocabulary) != part:
                 wrong.add(part)
-            return np.array(ids, dtype=np.int32).tobytes()
+            return array("i", ids).tobytes()
 
         finder = vocabulary.finder()
         within = _Remembered(lambda part: encode_marked(part, vocabulary, finder))
@@ -89,8 +91,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """doc_id, n_ids, ids and round_trip (whether decoding the ids gives the text again) of every row."""
-    return _rows(docs).mapInArrow(_encode_rows(vocabulary or load()), "doc_id long, n_ids long, ids array<int>, round_trip boolean")
+    """doc_id, n_ids, ids and round_trip (whether decoding the ids gives the text again) of every row.
+
+    The tasks get the vocabulary without its trie, which only counting walks.
+    """
+    return _rows(docs).mapInArrow(_encode_rows(replace(vocabulary or load(), trie={})), "doc_id long, n_ids long, ids array<int>, round_trip boolean")
 
 
 def decoded(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:

@@ -116,3 +116,18 @@ def test_round_trip_and_counts(spark, vocabulary):
     mark = spark.createDataFrame([(1, "a" + SPACE + "b")], "doc_id long, text string")
     assert [r.round_trip for r in encode(mark).collect()] == [False]
     assert encode(df.limit(0)).count() == 0 and token_counts(df.limit(0)).count() == 0
+
+
+def test_short_texts_as_a_stream_and_little_remembered(vocabulary):
+    """Texts that a stream would read at once take a shorter way to the same ids; tasks hold few stretches and no trie."""
+    from sieveline.llm import pieces, tokenise
+
+    rng, finder = random.Random(4), vocabulary.finder()
+    for _ in range(2000):
+        text = "".join(rng.choice(f"{SPACE}abcdehinorstüß中😀\n0") for _ in range(rng.randint(0, 2 * vocabulary.longest + 2)))
+        stream = Stream(vocabulary, finder)
+        want = stream.feed(text) + stream.end()
+        assert encode_marked(text, vocabulary, finder) == want
+        if len(text) <= 2 * vocabulary.longest:
+            assert pieces._encode_short(text, vocabulary, finder) == want
+    assert tokenise.REMEMBERED <= 100_000
