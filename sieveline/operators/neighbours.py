@@ -8,8 +8,8 @@ from pyspark.ml.feature import Word2Vec
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries and vectors of a part.
-ROUND, PART = 2048, 16_384
+#: Queries and vectors of a part, and queries whose scores are in memory at once.
+ROUND, PART, TOGETHER = 2048, 16_384, 64
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -26,13 +26,20 @@ def _block_rows(k: int):
             vectors = vectors.sort_values("id", kind="stable")
             ids, x = vectors["id"].to_numpy(), np.stack(vectors["v"].to_numpy()).astype(float)
             q = np.stack(queries["v"].to_numpy()).astype(float)
-            norms = np.sqrt((q**2).sum(1))[:, None] * np.sqrt((x**2).sum(1))[None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores = np.where(norms > 0, q @ x.T / norms, np.nan)
-            for row, own in enumerate(queries["id"]):
-                good = np.flatnonzero((ids != own) & ~np.isnan(scores[row]))
-                best = good[np.argsort(-scores[row][good], kind="stable")[:k]]
-                out += [(own, ids[i], scores[row][i]) for i in best]
+            lengths, own = np.sqrt((x**2).sum(1)), np.sqrt((q**2).sum(1))
+            names = queries["id"].to_numpy()
+            for at in range(0, len(q), TOGETHER):
+                norms = own[at : at + TOGETHER, None] * lengths[None]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    scores = np.where(norms > 0, q[at : at + TOGETHER] @ x.T / norms, np.nan)
+                for name, row in zip(names[at : at + TOGETHER], scores, strict=True):
+                    good = np.flatnonzero((ids != name) & ~np.isnan(row))
+                    found = row[good]
+                    if len(good) > k:  # all that reach the k-th score, so that its ties are still in order
+                        some = found >= np.partition(found, len(found) - k)[len(found) - k]
+                        good, found = good[some], found[some]
+                    best = good[np.argsort(-found, kind="stable")[:k]]
+                    out += [(name, ids[i], row[i]) for i in best]
         return pd.DataFrame(out, columns=["query", "neighbor", "score"])
 
     return run

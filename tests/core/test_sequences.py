@@ -201,3 +201,28 @@ def test_stream_batches(spark, tmp_path):
     stream = scan.read_stream(spark, f"{tmp_path}/in", "id long", files=1)
     scan.scan_batches(stream, lambda rows, number: seen.append(rows.count()))
     assert seen == [10, 10, 10]
+
+
+def test_nearest_holds_few_scores_at_once():
+    """A part of 2048 queries and 16,384 vectors needs no matrix of them all; ties go to the first."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from sieveline.operators import neighbours
+
+    rng = np.random.default_rng(2)
+    v = pd.DataFrame({"id": np.arange(4000), "v": list(rng.integers(-2, 3, (4000, 4)).astype(float))})
+    tracemalloc.start()
+    got = neighbours._block_rows(3)(v[:1000], v)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    x = np.stack(v["v"])
+    norms = np.sqrt((x**2).sum(1))
+    for own in (0, 63, 64, 999):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = np.nan_to_num(x[own] @ x.T / (norms[own] * norms), nan=-9.0)
+        s[own] = -9.0
+        want = np.sort(s)[::-1][:3] if norms[own] else []
+        assert np.allclose(got[got["query"] == own]["score"], want)
+    assert most < 30e6
