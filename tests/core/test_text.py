@@ -66,3 +66,14 @@ def test_tags_and_polite(spark):
     assert [one(spark, tag, *x) for x in (("threat", ""), ("", "high"), ("", " "))] == ["[REDACTED: THREAT]", "[REDACTED: HIGH]", "[REDACTED: ABUSE]"]
     polite = lambda a, b: T.polite(a, b, redact.POLITE, "?")
     assert [one(spark, polite, *x) for x in (("IDIOT", ""), ("x", "loser"), ("idiotic", ""), ("x", None))] == ["thoughtless person", "person", "thoughtless person", "?"]
+
+
+def test_runs_of_ascii_change_no_token(spark):
+    rng = random.Random(3)
+    signs = "aZé0٣9 \t\n\x1c\x1f\x7f_-.!{~\x85\xa0αжமதி்́ªßﬁ中𝐀😀"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for spaces in (False, True):
+        plain = r"(?U)\p{IsTamil}+|\p{IsLatin}+|\p{Nd}+|\p{L}+|" + (r"\s+|" if spaces else "") + r"[^\s\p{L}\p{Nd}]+"
+        made = df.select(T.token_texts(F.col("t"), spaces).alias("a"), F.regexp_extract_all("t", F.lit(plain), F.lit(0)).alias("b"))
+        assert made.where("a != b").count() == 0
