@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import destuff_punctuation, strip
+from sieveline.operators.spans import quoted
 
 #: Signs that are read as letters (fixed values).
 SWAPS = {"3": "e", "!": "i", "@": "a", "0": "o", "$": "s", "1": "i"}
@@ -20,7 +21,7 @@ DEMO = (("idiot", "idiot", "profanity", "high"), ("moron", "moron", "profanity",
 
 def bare(word: Column) -> Column:
     """Letters and digits of a word, in lower case."""
-    return F.regexp_replace(F.lower(word), r"[^\p{L}\p{Nd}]", "")
+    return F.regexp_replace(F.lower(word), r"[^a-z0-9\p{L}\p{Nd}]+", "")
 
 
 def _words(text: Column) -> Column:
@@ -36,14 +37,17 @@ def detect(rows: DataFrame, text: str = "text", sensitivity: str = "standard", e
     most = {"standard": 0, "strict": 1, "maximum": 2}[sensitivity]
 
     def match(word: Column) -> Column:
-        inside = F.try_element_at(F.filter(listed, lambda e: F.contains(word, e["word"])), F.lit(1))
+        # one pattern of all listed words tells whether to look for the first of them
+        first = F.try_element_at(F.filter(listed, lambda e: F.contains(word, e["word"])), F.lit(1))
+        inside = F.when(word.rlike("|".join(quoted(e[0]) for e in entries)), first) if entries else first
         if not most:
             return inside
         near = F.try_element_at(F.filter(listed, lambda e: (F.length(e["word"]) >= 4) & (F.levenshtein(word, e["word"]) <= most)), F.lit(1))
         return F.coalesce(inside, near)
 
     out = rows.withColumn("clean", F.explode(F.array(clean))).withColumn("tokens", F.explode(F.array(_words(F.col("clean")))))
-    found = F.transform("tokens", lambda t: F.struct(t.alias("token"), match(bare(t)).alias("m")))
+    # bare words are an array of their own, so that each is made once, however often it is looked at
+    found = F.zip_with("tokens", F.transform("tokens", bare), lambda t, b: F.struct(t.alias("token"), match(b).alias("m")))
     out = out.withColumn("flagged_spans", F.explode(F.array(found)))
     out = out.withColumn("merged_tags", F.transform("flagged_spans", lambda x: F.when(x["m"].isNotNull(), "B-ABUSE").otherwise("O")))
     span = lambda x: F.struct(x["token"].alias("token"), F.lit("lexicon").alias("source"), x["m"]["canon"].alias("canon"), x["m"]["category"].alias("category"), x["m"]["severity"].alias("severity"), F.lit("exact").alias("match_type"))

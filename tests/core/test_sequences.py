@@ -226,3 +226,32 @@ def test_nearest_holds_few_scores_at_once():
         want = np.sort(s)[::-1][:3] if norms[own] else []
         assert np.allclose(got[got["query"] == own]["score"], want)
     assert most < 30e6
+
+
+def test_documents_are_whole_sentences_without_a_shuffle(spark):
+    """Sequences and reviews of documents deal out no tokens; counts and copies shuffle no join."""
+    from sieveline.plans import queries
+
+    plan = lambda q: q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    for q in (queries.e12_zipped_tags, queries.a12_sequences, queries.g2_sentences):
+        assert "Exchange" not in plan(q)
+    assert "Join" not in plan(queries.i11_oversample)
+
+
+def test_whole_sequences_check_tags_and_keep_equal_ids_apart(spark):
+    from sieveline.operators import sequences
+
+    df = spark.createDataFrame([(1, [" A", None], ["O", "B-ABUSE"]), (1, ["c"], ["O"]), (2, [], []), (3, None, None)], "k int, tokens array<string>, tags array<string>")
+    got = sequences.whole_sequences(df, "k").collect()
+    assert sorted((r.sent_id, r.tokens, r.tags) for r in got) == [("1", ["a", ""], ["O", "B-ABUSE"]), ("1", ["c"], ["O"])]
+    with pytest.raises(Exception, match="unknown tag"):
+        sequences.whole_sequences(df.withColumn("tags", F.array(F.lit("X"))), "k").collect()
+
+
+def test_copies_of_sentences_by_a_flag_are_those_by_a_join(spark):
+    from sieveline.operators import corpus
+
+    rows = [(s, p, "w", "B-ABUSE" if s % 2 and p == 1 else "O", s % 2 == 1) for s in range(20) for p in range(5)]
+    df = spark.createDataFrame(rows, "sent_id int, pos int, token string, tag string, bad boolean")
+    key = lambda d: sorted((r.sent_id, r.copy, r.pos, r.tag) for r in d.collect())
+    assert key(corpus.oversampled(df)) == key(corpus.oversampled(df, bad=F.col("bad"))) != []
