@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from sieveline.operators import chain as C
+from sieveline.operators.crf import decoded
 
 
 def rows(spark, sentences, **columns):
@@ -74,3 +75,29 @@ def test_nothing_to_learn_from(spark):
     empty = rows(spark, [(1, [], [])])
     assert C.train(empty, chain=C.Chain.empty(64), rounds=3).flat().sum() == 0
     assert C.token_rows(empty, C.Chain.empty(64)).count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 30, 900])
+def test_steps_of_blocks_against_logs(width):
+    """Sentences packed by falling length, scaled: the same as logs, also where probabilities vanish."""
+    rng = np.random.default_rng(4)
+    sizes = np.array([700, 9, 9, 4, 1, 1])
+    em, gold = rng.normal(size=(sizes.sum(), 3)) * width, rng.integers(0, 3, sizes.sum())
+    model = C.Chain(np.zeros((8, 3)), rng.normal(size=3) * width, rng.normal(size=(3, 3)) * width, rng.normal(size=3) * width)
+    at = C._by_step(np.cumsum(sizes) - sizes, sizes, C._steps(sizes))
+    want = C.expectations(em, sizes, gold, model.start, model.moves, model.end)
+    got = C.scaled_expectations(em[at].T, sizes, gold[at], model.start, model.moves, model.end)
+    assert got[0] == pytest.approx(want[0])
+    for a, b in zip(got[1:], (want[1][at].T, *want[2:]), strict=True):
+        assert np.allclose(a, b, atol=1e-6)
+    assert (C.best_paths(model, sizes, em[at].T) == decoded(model.start, model.moves, model.end, sizes, em)[at]).all()
+
+
+def test_long_sentences_are_not_run_again_for_each_few_others(spark):
+    """Every 500 sentences hold one of 4,000 tokens: a task's sentences go by length, so that the long ones are run together."""
+    some = [(i, ["bad", "thing"] * (2000 if i % 500 == 0 else 1), ["B-ABUSE", "I-ABUSE"] * (2000 if i % 500 == 0 else 1)) for i in range(4000)]
+    data = rows(spark, some).coalesce(1)
+    blocks = C.packed(data)
+    assert blocks.count() == 1 and blocks.first().sizes[:9] == [4000] * 8 + [2]
+    assert sum(r.n for r in C.confusion(blocks, C.Chain.empty(64)).collect()) == 8 * 4000 + 3992 * 2
+    assert C.loss_and_gradient(blocks, C.Chain.empty(64))[0] == pytest.approx(math.log(3))
