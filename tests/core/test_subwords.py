@@ -65,3 +65,26 @@ def test_gradient_against_finite_differences():
 def test_nothing_to_learn_from(spark):
     model = S.train(spark.createDataFrame([(None,), (["a"],)], "tokens array<string>"), size=8, buckets=64)
     assert not model.words and S.word_vectors(spark.createDataFrame([("word",)], "word string"), model).first().in_vocab is False
+
+
+def test_pairs_of_a_place_are_one_change():
+    """A word's n-grams are read and changed once for all its pairs of a place, by the sum of what each pair alone gives."""
+    rng = np.random.default_rng(2)
+    words = {"abcd": 0, "efgh": 1, "abcx": 2}
+    model = S.Embedding(words, np.array([3.0, 3.0, 3.0]), rng.normal(size=(64 + 3, 4)).astype(np.float32), rng.normal(size=(3, 4)).astype(np.float32), 64)
+    learner = lambda: S._Learner(model, 2, 0, 1.0, 1e-3, np.random.default_rng(0))
+    both, one, other = learner(), learner(), learner()
+    both.step(np.array([0, 0]), np.array([1, 2]), np.array([5, 5]))
+    one.step(np.array([0]), np.array([1]))
+    other.step(np.array([0]), np.array([2]))
+    assert both.rows - model.rows == pytest.approx(one.rows + other.rows - 2 * model.rows, abs=1e-6)
+    assert (both.row_counts == one.row_counts).all()
+    place, centre, context = S._pairs(np.arange(40), np.repeat([0, 1], 20), 3, rng)
+    assert len(set(place)) == 40 == 1 + (place[1:] != place[:-1]).sum() and (place == centre).all()
+    assert (abs(centre - context) <= 3).all() and (centre // 20 == context // 20).all()
+
+
+def test_rows_that_repeat_are_damped():
+    table, counts = np.zeros((4, 2)), np.zeros(4, np.int64)
+    S._added(table, np.array([2, 0, 2, 3]), np.array([[1.0, 2], [3, 4], [5, 6], [7, 8]]), counts)
+    assert table == pytest.approx(np.array([[3, 4], [0, 0], np.array([6, 8]) / 2**0.5, [7, 8]])) and counts.tolist() == [1, 0, 2, 1]
