@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import whole_texts
 from sieveline.llm.pieces import SPACE, Vocabulary, count_long, counts, decode, decode_marked, encode_marked, load, marked, segments, unbridged
 
-REMEMBERED = 100_000
+#: Stretches that a task remembers: some 400 bytes each.  Frequent ones are lost with the others when it is full.
+REMEMBERED = 250_000
 #: A stretch of more characters is not remembered.
 LONGEST_REMEMBERED = 64
 

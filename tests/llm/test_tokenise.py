@@ -130,3 +130,14 @@ def test_short_texts_as_a_stream_and_little_remembered(vocabulary):
         assert encode_marked(text, vocabulary, finder) == want
         assert pieces._encode_short(text, vocabulary, finder) == want
     assert tokenise.REMEMBERED <= 100_000
+
+
+def test_frequent_stretches_outlast_many_rare_ones():
+    """200,000 rare stretches between two uses of a frequent one do not make it be encoded twice."""
+    from sieveline.llm.tokenise import _Remembered
+
+    made = []
+    known = _Remembered(lambda part: made.append(part) or b"")
+    for part in ("often", *map(str, range(200_000)), "often"):
+        known[part]
+    assert made.count("often") == 1
