@@ -77,3 +77,12 @@ def test_lexicon_file_round_trip(spark, tmp_path):
     assert meta["entries"] == len(lexicon.DEMO) and meta["by_severity"]["medium"] == sum(r[3] == "medium" for r in lexicon.DEMO)
     surfaces = lexicon.exact_surfaces(back).count() + lexicon.phrase_surfaces(back).count()
     assert surfaces == sum(1 + len(r[1]) for r in lexicon.DEMO)
+
+
+def test_a_lexicon_of_rows_needs_no_python_workers(spark):
+    rows = [("a", ("b", "c"), "x", "high"), ("d", (), None, "")]
+    entries = lexicon.from_rows(spark, rows)
+    plan = entries._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "RDD" not in plan
+    assert [tuple(r) for r in entries.orderBy("ord").collect()] == [(0, "a", ["b", "c"], "x", "high", "LATIN", None), (1, "d", [], None, "", "LATIN", None)]
+    assert lexicon.from_rows(spark, ()).count() == 0

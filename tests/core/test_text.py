@@ -1,8 +1,10 @@
 import html
 import random
 import re
+import tracemalloc
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,17 @@ def test_runs_of_ascii_change_no_token(spark):
         plain = r"(?U)\p{IsTamil}+|\p{IsLatin}+|\p{Nd}+|\p{L}+|" + (r"\s+|" if spaces else "") + r"[^\s\p{L}\p{Nd}]+"
         made = df.select(T.token_texts(F.col("t"), spaces).alias("a"), F.regexp_extract_all("t", F.lit(plain), F.lit(0)).alias("b"))
         assert made.where("a != b").count() == 0
+
+
+def test_texts_are_cleaned_a_few_at_a_time():
+    """A batch of long texts is not held as Python objects, and rows that need nothing are not looked at."""
+    texts = pa.array(["é中" * 3_000 + str(i) for i in range(1_000)] + [None])
+    yes = pa.array([True] * len(texts))
+    tracemalloc.start()
+    found = T._clean.func(texts, yes, yes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == ["é中" * 3_000 + str(i) for i in range(1_000)] + [None]
+    assert peak < 6_000_000  # all as Python objects: 12 MB
+    assert T._clean.func(pa.nulls(3, pa.string()), yes[:3], yes[:3]).to_pylist() == [None] * 3
+    assert T._clean.func(pa.array([], pa.string()), yes[:0], yes[:0]).to_pylist() == []
