@@ -56,3 +56,16 @@ def test_odd_rows(spark):
 
 def test_white_space_of_the_pattern():
     assert java_pattern(r"\s+(?!\S)|[^\s\p{L}]+").count("2028") == 3
+
+
+def test_no_word_is_merged_in_python(spark, monkeypatch):
+    """Words that the table of frequent ones lacks, long ones too, are folded by Spark, and each where it stands."""
+    monkeypatch.setattr("sieveline.llm.byte_pairs.MOST_WORDS", 3)
+    monkeypatch.setattr("sieveline.llm.byte_pairs.merged", None)
+    rng = random.Random(7)
+    long = ["".join(rng.choice("aabcdeinorsté中") for _ in range(n)) for n in (130, 199, 200, 201, 900, 3000)]
+    rows = [(t, "kept") for t in [*texts(60), *long, "ab" * 700, "a" * 901, " ".join(long[:3] * 3), None]]
+    got = encode(spark.createDataFrame(rows, "text string, found_0 string"), PATH, PATTERN).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.ids == LIBRARY.encode_ordinary(r.text or "") and r.found_0 == "kept", r.text
