@@ -32,6 +32,8 @@ SIZE, FEATURES = 1 << 14, 9
 BESIDE = (1, 2)
 #: Tokens that a task runs together; a longer sentence is run alone.
 TOKENS = 1 << 18
+#: Such blocks that a file holds, of about five megabytes each.
+BLOCKS = 8
 
 
 @dataclass
@@ -149,7 +151,8 @@ def _by_step(begin: np.ndarray, length: np.ndarray, lasting: np.ndarray) -> np.n
     return begin[np.arange(length.sum()) - np.repeat(starts, lasting)] + np.repeat(np.arange(len(lasting)), lasting)
 
 
-_BLOCK = "words array<int>, word array<int>, before array<int>, after array<int>, gold array<int>, sizes array<int>"
+#: Arrays of a block's tokens go as bytes, not as lists, which engines take apart number by number.
+_BLOCK = "words binary, word binary, before binary, after binary, gold binary, sizes array<int>"
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -169,20 +172,27 @@ def packed(rows: DataFrame) -> DataFrame:
                 length = sizes[some]
                 at = _by_step(begins[some], length, _steps(length))
                 words, word = np.unique(np.ascontiguousarray(found[at][:, own], np.int32).view(f"V{4 * len(own)}").ravel(), return_inverse=True)
-                columns = [words.view(np.int32), word, found[at, BESIDE[0]], found[at, BESIDE[1]], gold[at], length]
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int32))) for x in columns]
-                yield pa.RecordBatch.from_arrays(lists, names=["words", "word", "before", "after", "gold", "sizes"])
+                columns = [words.view(np.int32), word, found[at, BESIDE[0]], found[at, BESIDE[1]], gold[at]]
+                made = [pa.array([np.ascontiguousarray(x, np.int32).tobytes()], pa.binary()) for x in columns]
+                made.append(pa.ListArray.from_arrays(pa.array([0, len(length)], pa.int32()), pa.array(length.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(made, names=["words", "word", "before", "after", "gold", "sizes"])
 
     taught = rows.where(f"size(tags) > 0 AND size(features) = {FEATURES} * size(tags)").select("features", "tags")
     return taught.mapInArrow(run, _BLOCK)
 
 
+def blocks_of(rows: DataFrame, name: str) -> DataFrame:
+    """Sentences (features, tags) dealt evenly, packed and written once."""
+    parts = rows.sparkSession.sparkContext.defaultParallelism
+    return cut(packed(rows.select("features", "tags").repartition(parts)), name, BLOCKS)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """words, word, before, after, gold and sizes of each block."""
     for batch in batches:
         for k in range(batch.num_rows):
-            made = [batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(6)]
-            yield [made[0].reshape(-1, FEATURES - len(BESIDE)), *made[1:]]
+            made = [np.frombuffer(batch.column(c)[k].as_buffer(), np.int32) for c in range(5)]
+            yield [made[0].reshape(-1, FEATURES - len(BESIDE)), *made[1:], batch.column(5)[k].values.to_numpy(zero_copy_only=False)]
 
 
 def _emissions(chain: Chain, block: list[np.ndarray]) -> np.ndarray:
@@ -315,9 +325,8 @@ def _direction(gradient: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]])
 def train(rows: DataFrame, held_out: DataFrame | None = None, chain: Chain | None = None, class_weights: list[float] | None = None, rounds: int = 30, every: int = 5, patience: int = 2, decay: float = 1e-4, memory: int = 8) -> Chain:
     """A chain that fits ``rows`` (features, tags), and its log.  ``held_out`` rows are looked at ``every`` so many rounds."""
     # each round goes over the sentences again, so they are dealt evenly and packed once
-    parts = rows.sparkSession.sparkContext.defaultParallelism
-    rows = cut(packed(rows.select("features", "tags").repartition(parts)), "chain")
-    held_out = cut(packed(held_out.select("features", "tags").repartition(parts)), "chain-held") if held_out is not None else None
+    rows = blocks_of(rows, "chain")
+    held_out = blocks_of(held_out, "chain-held") if held_out is not None else None
     chain = chain or Chain.empty()
     x, steps, best = chain.flat(), [], (-1.0, chain)
     loss, gradient = loss_and_gradient(rows, chain, class_weights, decay)

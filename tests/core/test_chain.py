@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sieveline.operators import chain as C
 from sieveline.operators.crf import decoded
@@ -101,3 +102,13 @@ def test_long_sentences_are_not_run_again_for_each_few_others(spark):
     assert blocks.count() == 1 and blocks.first().sizes[:9] == [4000] * 8 + [2]
     assert sum(r.n for r in C.confusion(blocks, C.Chain.empty(64)).collect()) == 8 * 4000 + 3992 * 2
     assert C.loss_and_gradient(blocks, C.Chain.empty(64))[0] == pytest.approx(math.log(3))
+
+
+def test_files_of_blocks_hold_few(spark, monkeypatch):
+    """A reader takes all rows of a file at once, and a block has megabytes: files hold a bounded number of them."""
+    monkeypatch.setattr(C, "BLOCKS", 1)
+    n = C.TOKENS // 2 + 1  # two of such sentences do not go into a block
+    rows = spark.range(8).selectExpr(f"array_repeat(1, {C.FEATURES * n}) AS features", f"array_repeat(0, {n}) AS tags")
+    blocks = C.blocks_of(rows, "blocks")
+    assert [r["count"] for r in blocks.groupBy(F.input_file_name()).count().collect()] == [1] * 8
+    assert C.loss_and_gradient(blocks, C.Chain.empty(64))[0] == pytest.approx(math.log(3))
